@@ -1,0 +1,9 @@
+"""Queries over the ledger and the index, with the SQL that says the same."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
