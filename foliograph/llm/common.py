@@ -46,13 +46,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def packed(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df``, which has about ``rows`` rows, in no more partitions than that takes; never in more than it has."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
-    The written table ends the lineage, and it outlives any executor.
+    The written table ends the lineage, and it outlives any executor.  Where
+    the caller can bound its rows, it is written in as few files as they fill.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else packed(df, rows)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

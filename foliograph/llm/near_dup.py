@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import cut
+from foliograph.llm.common import cut, packed
 from foliograph.llm.graph import components
 
 WORDS_PER_SHINGLE = 5
@@ -270,39 +270,40 @@ def join(df: DataFrame, threshold: float = THRESHOLD, target_recall: float = TAR
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(none)).alias("row_id"), F.col(text).alias("text"))
     signed = cut(docs.mapInArrow(_signed, SIGNED), "near-signatures")
     classes = signed.where("copy IS NOT NULL").groupBy("copy").agg(F.min("row_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("proof").alias("proof"), F.max("proof").alias("proof2"), F.first("paths").alias("paths"))
-    classes = cut(classes, "near-classes")
+    rows = signed.count()
+    classes = cut(classes, "near-classes", rows)
     if not classes.where("proof <> proof2").isEmpty():
         raise ValueError("two texts share a 64-bit hash; give the join another seed")
     depth = DEPTH
     while True:
-        links, edges, recall = _linked(docs, classes, threshold, depth)
+        links, edges, recall = _linked(docs, classes, rows, threshold, depth)
         if recall >= target_recall or depth == 1:
             break
         depth -= 1  # shorter prefixes: more candidates
-    linked = components(edges.select("copy", "other").toDF("a", "b"), "near-components")
+    linked = components(edges.select("copy", "other").toDF("a", "b"), "near-components", rows)
     counted = links.groupBy("copy").agg(F.sum("links").alias("links"))
     per = classes.select("copy", "least", "n").join(linked.withColumnRenamed("v", "copy"), "copy", "left").join(counted, "copy", "left")
     per = per.withColumn("component", F.coalesce("component", "copy"))
     tops = per.groupBy("component").agg(F.min("least").alias("class_id"))
     per = per.join(tops, "component").select("copy", "class_id", F.col("least").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = signed.select("row_id", "copy").join(cut(per, "near-verdicts"), "copy", "left")
+    out = packed(signed.select("row_id", "copy").join(cut(per, "near-verdicts", rows), "copy", "left"), rows)
     own = lambda c: F.coalesce(F.col(c), F.col("row_id"))
     real = lambda c: F.when(c != none, c)
     return out.select(real(F.col("row_id")).alias("doc_id"), real(own("class_id")).alias("class_id"), real(own("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (own("class_id") == F.col("row_id")).alias("kept"))
 
 
-def _linked(docs: DataFrame, classes: DataFrame, threshold: float, depth: int) -> tuple[DataFrame, DataFrame, float]:
+def _linked(docs: DataFrame, classes: DataFrame, rows: int, threshold: float, depth: int) -> tuple[DataFrame, DataFrame, float]:
     """Verified links of the classes that share a prefix of this depth: counts, a spanning forest, and the estimated recall."""
     spark = docs.sparkSession
     prefix = F.shiftright("path", (DEPTH - depth) * LEVEL_BITS)
     nodes = classes.select("copy", F.posexplode("paths").alias("tree", "path")).select("copy", "tree", prefix.alias("prefix"))
     buckets = nodes.groupBy("tree", "prefix").agg(F.min("copy").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     stars = nodes.join(buckets, ["tree", "prefix"]).where("copy <> least").select(F.col("copy").alias("a"), F.col("least").alias("b")).distinct()
-    members = components(stars, "near-candidates")
+    members = components(stars, "near-candidates", 2 * rows)
     members = members.join(classes.select(F.col("copy").alias("v"), "n", "least"), "v").select(F.col("v").alias("copy"), "component", "n", "least")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = cut(members.withColumn("block", F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int")).select("copy", "component", "n", "least", "block", "blocks"), "near-members")
+    members = cut(members.withColumn("block", F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int")).select("copy", "component", "n", "least", "block", "blocks"), "near-members", rows)
 
     # a filter of fixed size lets through the documents that stand for candidates, and few others
     bits = members.select(F.pmod(F.xxhash64("least"), F.lit(FILTER_BITS)).alias("bit"))
