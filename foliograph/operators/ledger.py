@@ -62,7 +62,7 @@ def workbench(pages: DataFrame, assets: DataFrame, results: DataFrame) -> DataFr
     r = page_summary(results.where("status = 'succeeded'")).withColumnRenamed("page_id", "r_page")
     shown = F.col("p.status") == "analyzed"
     out = pages.alias("p").join(assets.select("image_hash", "file_path"), "image_hash", "left").join(r, F.col("p.page_id") == F.col("r_page"), "left")
-    return out.select("p.page_id", "p.document_id", "p.page_number", "p.status", F.col("file_path").alias("image_path"), F.col("p.status").isin("rendered", "failed", "analyzed").alias("eligible"), *[F.when(shown, F.col(c)).alias(c) for c in ("title", "summary", "topic_count", "visible_text_char_count")])
+    return out.select("p.page_id", "p.document_id", "p.page_number", "p.status", F.col("file_path").alias("image_path"), F.col("p.status").isin("rendered", "failed", "analyzed").alias("eligible"), (shown & F.col("r_page").isNotNull()).alias("has_summary"), *[F.when(shown, F.col(c)).alias(c) for c in ("title", "summary")], *[F.coalesce(F.when(shown, F.col(c)), F.lit(0)).alias(c) for c in ("topic_count", "visible_text_char_count")])
 
 
 def page_summary(results: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ def page_summary(v):
     return L.page_summary(v.results.where("status = 'succeeded'")).withColumn("keywords", F.array_join("keywords", "|"))
 
 
-@query("SELECT p.page_id, p.document_id, p.page_number, p.status, a.file_path AS image_path, p.status IN ('rendered', 'failed', 'analyzed') AS eligible, CASE WHEN p.status = 'analyzed' THEN r.title END AS title, CASE WHEN p.status = 'analyzed' THEN r.summary END AS summary, CASE WHEN p.status = 'analyzed' AND r.page_id IS NOT NULL THEN CAST(len(r.topics) AS BIGINT) END AS topic_count, CASE WHEN p.status = 'analyzed' AND r.page_id IS NOT NULL THEN CAST(coalesce(strlen(r.visible_text), 0) AS BIGINT) END AS visible_text_char_count FROM page_records p LEFT JOIN image_assets a USING (image_hash) LEFT JOIN (SELECT * FROM analysis_results WHERE status = 'succeeded') r ON p.page_id = r.page_id")
+@query("SELECT p.page_id, p.document_id, p.page_number, p.status, a.file_path AS image_path, p.status IN ('rendered', 'failed', 'analyzed') AS eligible, CASE WHEN p.status = 'analyzed' THEN r.title END AS title, CASE WHEN p.status = 'analyzed' THEN r.summary END AS summary, p.status = 'analyzed' AND r.page_id IS NOT NULL AS has_summary, CASE WHEN p.status = 'analyzed' AND r.page_id IS NOT NULL THEN CAST(len(r.topics) AS BIGINT) ELSE 0 END AS topic_count, CASE WHEN p.status = 'analyzed' AND r.page_id IS NOT NULL THEN CAST(coalesce(strlen(r.visible_text), 0) AS BIGINT) ELSE 0 END AS visible_text_char_count FROM page_records p LEFT JOIN image_assets a USING (image_hash) LEFT JOIN (SELECT * FROM analysis_results WHERE status = 'succeeded') r ON p.page_id = r.page_id")
 def workbench_pages(v):
     return L.workbench(v.pages, v.assets, v.results)
 
@@ -460,12 +460,12 @@ def redact_secrets(v):
     return v.events.select("event_id", X.redact_secrets(F.element_at(F.array(*notes), (F.col("seq") % 8 + 1).cast("int"))).alias("redacted"))
 
 
-@query("SELECT event_id, CASE WHEN seq % 3 = 2 THEN NULL ELSE progress END AS k, CASE WHEN seq % 3 <> 2 THEN '[redacted]' END AS secret, CASE WHEN seq % 3 = 2 THEN 'provider_response_bytes=' || strlen('not json ' || event_id) END AS plain FROM job_events")
+@query("SELECT event_id, CASE WHEN seq % 3 = 2 THEN NULL ELSE CAST(progress AS VARCHAR) END AS k, CASE WHEN seq % 3 <> 2 THEN '[redacted]' END AS secret, CASE WHEN seq % 3 = 2 THEN 'provider_response_bytes=' || strlen('not json ' || event_id) END AS plain FROM job_events")
 def redact_json(v):
     raw = F.when(F.col("seq") % 3 == 2, F.concat(F.lit("not json "), "event_id")).otherwise(F.to_json(F.struct(F.struct(F.col("progress").alias("k"), F.col("event_id").alias("total_tokens")).alias("usage"))))
     out = v.events.select("event_id", R.redact_json(raw).alias("r"))
     of = lambda p: F.get_json_object("r", p)
-    return out.select("event_id", of("$.usage.k").cast("long").alias("k"), of("$.usage.total_tokens").alias("secret"), F.when(F.col("r").startswith("provider"), F.col("r")).alias("plain"))
+    return out.select("event_id", of("$.usage.k").alias("k"), of("$.usage.total_tokens").alias("secret"), F.when(F.col("r").startswith("provider"), F.col("r")).alias("plain"))
 
 
 @query(f"SELECT page_id, coalesce(left(list_filter(list_transform(string_split(slice, chr(10)), lambda x: {trimmed('x')}), lambda x: x <> '')[1], 240), '') AS summary, CASE WHEN length(slice) > 40 THEN left(slice, 40) || '...' ELSE slice END AS short FROM page_records")

@@ -44,7 +44,7 @@ class Views:
         return self.table("documents").select(
             n.alias("seq"), n.cast("string").alias("document_id"), name.alias("original_filename"), X.detect_file_type(name).alias("file_type"),
             F.sha2(text, 256).alias("file_hash"), F.concat(F.lit("originals/"), X.stored_name(F.sha2(text, 256), name)).alias("original_path"),
-            F.when(status != "importing", F.ceil(F.length(text) / PAGE)).alias("page_count"), status.alias("status"),
+            F.when(status != "importing", F.ceil(F.length(text) / PAGE)).otherwise(0).alias("page_count"), status.alias("status"),
             F.when(status == "failed", F.concat(F.lit("import failed: "), name)).alias("error_summary"), (n % 150).cast("string").alias("job_id"),
             _time(START + n).alias("created_at"), _time(START + n + n % 97 * 60).alias("updated_at"), text.alias("text"),
         )
@@ -138,7 +138,7 @@ class Views:
 SQL = rf"""
 raw_documents AS (
   SELECT *, 'originals/' || substr(file_hash, 1, 16) || '_' || original_filename AS original_path,
-    CASE WHEN status <> 'importing' THEN CAST(ceil(length(text) / {PAGE}.0) AS BIGINT) END AS page_count,
+    CASE WHEN status <> 'importing' THEN CAST(ceil(length(text) / {PAGE}.0) AS BIGINT) ELSE 0 END AS page_count,
     CASE WHEN status = 'failed' THEN 'import failed: ' || original_filename END AS error_summary
   FROM (SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS document_id, 'doc-' || doc_id || ['.pdf', '.PDF', '.docx', '.pptx', '.Pdf'][doc_id % 5 + 1] AS original_filename,
       ['pdf', 'pdf', 'docx', 'pptx', 'unknown'][doc_id % 5 + 1] AS file_type, sha256(coalesce(text, '')) AS file_hash,
