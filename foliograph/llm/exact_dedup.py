@@ -41,7 +41,7 @@ def deduplicate_stream(digests: DataFrame, path: str) -> DataFrame:
     files = spark.read.parquet(path).inputFiles()
     stream = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", max(1, -(-len(files) // BATCHES))).parquet(path)
     log, kept = new_path(spark, "dedup-updates"), {}
-    options = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    options = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.minBatchesToRetain": "2"}
     for k, v in options.items():
         kept[k] = spark.conf.get(k, None)
         spark.conf.set(k, v)
