@@ -2,56 +2,100 @@
 
 Texts are cut into pre-tokens.  A task gathers its documents into blocks; a
 block holds its distinct words once and, for every document, the positions as
-indices into them.  The words of all blocks are dealt out by word and sorted,
-so each distinct word is encoded once, wherever it occurs; its ids go back to
-every block that holds it, and the block puts its documents together by
-position.  Decoding looks the ids up in the token-byte table.
+indices into them.  The words of all blocks are dealt out by their hash, packed
+into parcels, so each distinct word meets itself in one partition and is
+encoded once; its ids go back to every block that holds it, and the block puts
+its documents together by position.  Decoding looks the ids up in the token-byte table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.llm.vocab import piece_encoder, pieces, token_bytes, vocabulary_path
 
+#: Distinct words whose ids a task holds; a partition has fewer where partitions follow the input.
+REMEMBERED = 1_000_000
 #: A block is closed at this many pre-tokens (a longer document is a block of its own).
 BLOCK_TOKENS = 2_000_000
 
-BLOCKS = "block long, row_ids array<long>, lens array<int>, places binary, words array<string>"
+#: A block's words travel in so many parcels for each shuffle partition; a word's parcel is decided by its hash.
+PARCELS = 2
 
+BLOCKS = "block long, row_ids array<long>, lens array<int>, places binary, parcels binary"
+WORDS = "block long, parcel int, words binary"
 
-def _blocks(batches: Iterator[pd.DataFrame], part: bool) -> Iterator[pd.DataFrame]:
-    """Blocks of the documents of one partition; part: only the words are wanted."""
-    import numpy as np
+
+def _pack(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=6).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
     import zstandard
 
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _packed_strings(parts: list[bytes]) -> bytes:
+    import numpy as np
+
+    return _pack(np.array([len(parts)], "<u4").tobytes() + _planes(np.array([len(x) for x in parts], "<u4")) + b"".join(parts))
+
+
+def _strings(data: bytes) -> list[bytes]:
+    import numpy as np
+
+    raw = _unpack(data)
+    (n,) = np.frombuffer(raw, "<u4", 1).tolist()
+    ends = np.cumsum(_unplaned(raw[4 : 4 + 4 * n])).tolist()
+    body = raw[4 + 4 * n :]
+    return [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if n else []
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], n_parcels: int, want_words: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks of the documents of one partition: their positions, or their words in parcels."""
+    import numpy as np
+
     seen: dict[str, int] = {}
     ids: list[int] = []
     lens: list[int] = []
     places: list = []
     total = 0
 
-    def block() -> pd.DataFrame:
-        words = list(seen)
+    def block() -> pa.RecordBatch:
         mark = hashlib.blake2b(np.array(ids, "<i8").tobytes() + np.array(lens, "<i8").tobytes(), digest_size=8)
-        mark.update(str(len(words)).encode())
-        all_places = np.concatenate(places) if places else np.zeros(0, "<u4")
-        packed = b"" if part else zstandard.ZstdCompressor(level=3).compress(_planes(all_places))
-        return pd.DataFrame({"block": [int.from_bytes(mark.digest(), "little", signed=True)], "row_ids": [[] if part else ids], "lens": [[] if part else lens], "places": [packed], "words": [words if part else []]})
+        raw = [w.encode() for w in seen]
+        mark.update(np.array([len(raw), zlib.crc32(b"\0".join(raw))], "<i8").tobytes())
+        key = int.from_bytes(mark.digest(), "little", signed=True)
+        parcel = [zlib.crc32(w) % n_parcels for w in raw]
+        if not want_words:
+            packed = _pack(_planes(np.concatenate(places)))
+            values = ([key], [ids], [lens], [packed], [_pack(_planes(np.array(parcel, "<u4")))])
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds, strict=True)], ["block", "row_ids", "lens", "places", "parcels"])
+        dealt: dict[int, list[bytes]] = {}
+        for p, w in zip(parcel, raw, strict=True):
+            dealt.setdefault(p, []).append(w)
+        values = ([key] * len(dealt), list(dealt), [_packed_strings(x) for x in dealt.values()])
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["block", "parcel", "words"])
 
     for batch in batches:
-        for doc_id, text in zip(batch["row_id"], batch["text"], strict=True):
+        for doc_id, text in zip(batch.column("row_id").to_pylist(), batch.column("text"), strict=True):
+            text = text.as_py()
             found = pieces(text) if text else []
             if total and total + len(found) > BLOCK_TOKENS:
                 yield block()
                 seen, ids, lens, places, total = {}, [], [], [], 0
             put = seen.setdefault
-            ids.append(int(doc_id))
+            ids.append(doc_id)
             lens.append(len(found))
             places.append(np.fromiter((put(w, len(seen)) for w in found), "<u4", len(found)))
             total += len(found)
@@ -73,50 +117,76 @@ def _unplaned(b: bytes):
 
 
 def _encoded(path: str):
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Encodes each distinct word of a partition once, whichever blocks hold it."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         one = piece_encoder(path)
-        last, ids = None, b""
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             out = []
-            for word in batch["word"]:
-                if word != last:  # sorted: each distinct word is encoded once
-                    last, ids = word, np.array(one(word), "<u4").tobytes()
-                out.append(ids)
-            yield pd.DataFrame({"block": batch["block"], "place": batch["place"], "ids": out})
+            for packed in batch.column("words").to_pylist():
+                words = _strings(packed)
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(one(w.decode()), "<u4").tobytes()
+                ids = [known[w] for w in words]
+                flat = np.frombuffer(b"".join(ids), "<u4")
+                out.append(_pack(np.array([len(ids)], "<u4").tobytes() + _planes(np.array([len(x) // 4 for x in ids], "<u4")) + _planes(flat)))
+                if len(known) > REMEMBERED:  # partitions have far fewer distinct words, unless there are too few partitions
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("parcel"), pa.array(out, pa.binary())], ["block", "parcel", "ids"])
 
     return encode
 
 
+def _ids(data: bytes) -> list[list[int]]:
+    import numpy as np
+
+    raw = _unpack(data)
+    (n,) = np.frombuffer(raw, "<u4", 1).tolist()
+    ends = np.cumsum(_unplaned(raw[4 : 4 + 4 * n])).tolist()
+    flat = _unplaned(raw[4 + 4 * n :]).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if n else []
+
+
 def _assembled(path: str, full: bool):
-    def assemble(blocks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    names = ["row_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if full else 4]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+
+    def assemble(blocks: pa.Table, words: pa.Table) -> pa.Table:
         import numpy as np
-        import zstandard
 
-        out = []
+        out: list[list] = [[] for _ in names]
         table = token_bytes(path)
-        if len(blocks) == 0:
-            raise ValueError("words of a block came back without their block: the input's rows changed between two reads")
-        ids = [np.frombuffer(x, "<u4").tolist() for x in words["ids"].array[np.argsort(words["place"].to_numpy(), kind="stable")]]
-        # a block twice over (equal rows in two partitions) brings its words twice
-        ids = ids[:: len(blocks)]
+        differ = ValueError("a block and its words differ: the input's rows changed between two reads")
+        if not blocks.num_rows:
+            raise differ
+        parcels = {}
+        for parcel, packed in zip(words.column("parcel").to_pylist(), words.column("ids").to_pylist(), strict=True):
+            parcels.setdefault(parcel, packed)  # a block twice over (equal rows in two partitions) brings its words twice
+        listed = {p: iter(_ids(x)) for p, x in parcels.items()}
+        order = _unplaned(_unpack(blocks.column("parcels")[0].as_py())).tolist()
+        try:
+            ids = [next(listed[p]) for p in order]
+        except (KeyError, StopIteration):
+            raise differ from None
         decimals = [",".join(map(str, x)) for x in ids]
         raw = [b"".join([table[i] for i in x]) for x in ids]
         counts = np.array([len(x) for x in ids], "i8")
-        for row_ids, lens, packed in zip(blocks["row_ids"], blocks["lens"], blocks["places"], strict=True):
-            places = _unplaned(zstandard.ZstdDecompressor().decompress(packed))
-            if len(places) and int(places.max()) != len(ids) - 1:
-                raise ValueError("a block and its words differ: the input's rows changed between two reads")
+        for row_ids, lens, packed in zip(blocks.column("row_ids").to_pylist(), blocks.column("lens").to_pylist(), blocks.column("places").to_pylist(), strict=True):
+            places = _unplaned(_unpack(packed))
             at = 0
             for row_id, n in zip(row_ids, lens, strict=True):
                 own = places[at : at + n]
                 at += n
-                listed = own.tolist()
-                text = ",".join([decimals[k] for k in listed])
-                row = [row_id, int(counts[own].sum()), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(b"".join([raw[k] for k in listed])).hexdigest()]
-                out.append(row + ([np.array([i for k in listed for i in ids[k]], "<i4")] if full else []))
-        return pd.DataFrame(out, columns=["row_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if full else 4])
+                each = own.tolist()
+                text = ",".join([decimals[k] for k in each])
+                row = (row_id, int(counts[own].sum()), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(b"".join([raw[k] for k in each])).hexdigest(), [i for k in each for i in ids[k]] if full else None)
+                for column, x in zip(out, row, strict=False):
+                    column.append(x)
+        return pa.table({n: pa.array(x, k) for n, x, k in zip(names, out, kinds, strict=False)})
 
     return assemble
 
@@ -137,10 +207,10 @@ def encode(df: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", folde
     # null ids travel as the smallest long
     none = -(2**63)
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(none)).alias("row_id"), F.col(text).alias("text"))
-    whole = docs.mapInPandas(lambda b: _blocks(b, False), BLOCKS).select("block", "row_ids", "lens", "places")
-    words = docs.mapInPandas(lambda b: _blocks(b, True), BLOCKS).select("block", F.posexplode("words").alias("place", "word"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = words.repartition(n, "word").sortWithinPartitions("word").mapInPandas(_encoded(path), "block long, place int, ids binary")
+    whole = docs.mapInArrow(lambda b: _blocks(b, PARCELS * n, False), BLOCKS)
+    words = docs.mapInArrow(lambda b: _blocks(b, PARCELS * n, True), WORDS)
+    encoded = words.repartition(n, "parcel").mapInArrow(_encoded(path), "block long, parcel int, ids binary")
     schema = "row_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    back = whole.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(_assembled(path, with_ids), schema)
+    back = whole.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assembled(path, with_ids), schema)
     return back.select(F.when(F.col("row_id") != none, F.col("row_id")).alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []))
