@@ -17,6 +17,7 @@ numbers of ids, then all ids as little-endian uint32.
 from __future__ import annotations
 
 import bisect
+import functools
 import struct
 import uuid
 import zlib
@@ -34,8 +35,8 @@ from foliograph.llm.vocab import pieces, tokenizer, vocabulary_path
 SKIP_INDEX, SKIP_SEEK, SEEK_FOOT = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: A frame is closed at this many bytes of content (a longer document is a frame of its own).
 FRAME_BYTES = 1 << 20
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers at most in each of two generations.
+REMEMBERED = 350_000
 
 
 def _store(uri: str):
@@ -153,24 +154,45 @@ class ShardReader:
         return found
 
 
+class Words:
+    """Ids of the words met lately: two generations of dictionaries, which outlive a task in its worker.
+
+    A word that is in neither is encoded again; what is remembered only saves time.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer, self.young, self.old = tokenizer(path), {}, {}
+
+    def encode(self, text: str) -> bytes:
+        words = pieces(text)
+        parts = list(map(self.young.get, words))
+        if None in parts:
+            new = [w for w in dict.fromkeys(w for w, x in zip(words, parts, strict=True) if x is None) if not self._back(w)]
+            for k in range(0, len(new), 10_000):
+                some = new[k : k + 10_000]
+                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    self.young[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+            parts = list(map(self.young.get, words))
+            if len(self.young) > REMEMBERED:
+                self.young, self.old = {}, self.young
+        return b"".join(parts)
+
+    def _back(self, word: str) -> bool:
+        ids = self.old.get(word)
+        if ids is not None:
+            self.young[word] = ids
+        return ids is not None
+
+
+@functools.cache
+def _words(path: str) -> Words:
+    return Words(path)
+
+
 def _encoder(path: str, end: int):
-    """Encodes one text; words already met are not encoded anew."""
-    own, known = tokenizer(path), {}
-    end_bytes = struct.pack("<I", end)
-
-    def encode(text: str | None) -> bytes:
-        words = pieces(text) if text else []
-        new = list(dict.fromkeys(w for w in words if w not in known))
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for w, e in zip(some, own.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        out = b"".join([known[w] for w in words]) + end_bytes
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
-
-    return encode
+    """Encodes one text and adds the end id."""
+    words, end_bytes = _words(path), struct.pack("<I", end)
+    return lambda text: words.encode(text) + end_bytes if text else end_bytes
 
 
 def write(df: DataFrame, uri: str, vocabulary: str = "byte_bpe_50k.json", folder: str | None = None, end: int = 2, text: str = "text", doc_id: str = "doc_id") -> list[tuple[str, int, int, int]]:
