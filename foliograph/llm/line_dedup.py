@@ -62,6 +62,7 @@ def deduplicate(df: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, p
     table gives an empty result.
     """
     lines = df.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), lines_of(F.col(html)).alias("lines"))
+    lines = cut(lines, "line-lines")  # read twice below
     drop = cut(boilerplate(lines, ratio, least), "line-boilerplate")
     size = F.aggregate("drop", F.lit(0), lambda a, x: a + F.octet_length(x))
     out = join_small(lines, drop, "host", "left", size=size)
