@@ -36,7 +36,7 @@ SKIP_INDEX, SKIP_SEEK, SEEK_FOOT = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: A frame is closed at this many bytes of content (a longer document is a frame of its own).
 FRAME_BYTES = 1 << 20
 #: Words whose ids a worker remembers at most in each of two generations.
-REMEMBERED = 350_000
+REMEMBERED = 550_000
 
 
 def _store(uri: str):
@@ -51,7 +51,7 @@ class ShardWriter:
     def __init__(self, uri: str):
         import zstandard
 
-        self.uri, self.zstd = uri, zstandard.ZstdCompressor(level=3)
+        self.uri, self.zstd = uri, zstandard.ZstdCompressor(level=1)
         self.fs, self.path = _store(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.temporary = f"{self.path}.{uuid.uuid4().hex}"
