@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the characters that Unicode calls white space.
 SPACE = r"[\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: What is followed by a secret, if an assignment follows.
 SECRET_KEYS = ("api_key", "api-key", "apikey", "authorization", "image_base64", "raw_response", "request_body", "token", "secret")
 REDACTED = "[redacted]"
@@ -16,7 +17,7 @@ LEGACY = (("椤甸潰鍒嗘瀽瀹屾垚", "页面分析完成"), ("鎵归噺鍒
 
 
 def ws_trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -167,10 +168,8 @@ def provider_name(provider: Column, base: Column, custom: Column, model: Column)
 
 
 def bigrams(c: Column) -> Column:
-    """All character pairs of the whole text, lower-cased."""
-    chars = F.split(F.lower(c), "")
-    n = F.size(chars)
-    return F.when(n > 1, F.zip_with(F.slice(chars, F.lit(1), n - 1), F.slice(chars, F.lit(2), n - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
+    """All character pairs of the whole text, lower-cased: an empty match before each pair, which it captures."""
+    return F.regexp_extract_all(F.lower(c), F.lit("(?s)(?=(..))"), F.lit(1))
 
 
 def settings_problems(dpi: Column, conversion: Column, analysis: Column, port: Column, host: Column) -> Column:

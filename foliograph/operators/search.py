@@ -74,6 +74,14 @@ def postings(docs: DataFrame, key: str = "page_id", body: str = "body") -> DataF
     return docs.select(key, F.explode(X.bigrams(F.col(body))).alias("token")).groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
+def postings_of(docs: DataFrame, grams: list[str], key: str = "page_id", body: str = "body") -> DataFrame:
+    """The postings of these pairs only, counted in the text; for a search without an index."""
+    low = F.lower(body)
+    # overlapping occurrences: an empty match wherever the pair begins
+    each = F.array(*[F.struct(F.lit(g).alias("token"), F.regexp_count(low, F.lit("(?=" + re.sub(r"([^\w\s])", r"\\\1", g) + ")")).cast("long").alias("tf")) for g in grams])
+    return docs.select(key, F.explode(F.filter(each, lambda x: x["tf"] > 0)).alias("p")).select("p.token", key, "p.tf")
+
+
 def lengths(docs: DataFrame, key: str = "page_id", body: str = "body") -> DataFrame:
     return docs.select(key, F.greatest(F.length(F.lower(body)) - 1, F.lit(0)).cast("long").alias("length"))
 

@@ -592,16 +592,21 @@ scores AS (SELECT page_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE
 """
 
 
+def _ranked(docs, limit):
+    q = search.parse(QUERY)
+    return search.top(search.rank(search.postings_of(docs, q.grams), search.lengths(docs), q), limit)
+
+
 @query(f"WITH idx AS (SELECT page_id, slice AS body FROM page_records), {WORD_AND} SELECT page_id, score FROM scores ORDER BY score DESC, page_id LIMIT 20")
 def bm25_topk(v):
     docs = v.pages.withColumnRenamed("slice", "body")
-    return search.top(search.rank(search.postings(docs), search.lengths(docs), search.parse(QUERY)), None)
+    return _ranked(docs, None)
 
 
 @query(f"WITH idx AS (SELECT page_id, {COMBINED} AS body FROM analysis_results WHERE status = 'succeeded'), {WORD_AND} SELECT s.page_id, s.score, row_number() OVER (ORDER BY s.score DESC, s.page_id) AS rank, r.document_id, r.page_number, r.original_filename, r.title, a.file_path AS image_path, a.file_path IS NOT NULL AS image_available FROM (SELECT * FROM scores ORDER BY score DESC, page_id LIMIT 10) s JOIN analysis_results r USING (page_id) LEFT JOIN image_assets a USING (image_hash)")
 def search_results(v):
     docs = search.index_documents(v.results)
-    hits = search.top(search.rank(search.postings(docs), search.lengths(docs), search.parse(QUERY)), 10)
+    hits = _ranked(docs, 10)
     return search.enrich(hits, v.results, v.assets).select("page_id", "score", "rank", "document_id", "page_number", "original_filename", "title", "image_path", "image_available")
 
 

@@ -62,7 +62,7 @@ class Workspace:
         parsed = now.withColumn("r", F.from_json("result_json", "image_hash string, source struct<document_id:string,page_number:long,original_filename:string>, analysis struct<title:string,summary:string,visible_text:string,topics:array<string>,keywords:array<string>>, retrieval struct<bm25_text:string>"))
         pages = self.table("page_records")
         names = pages.select("page_id", *(["original_filename"] if "original_filename" in pages.columns else [F.lit(None).cast("string").alias("original_filename")]))
-        return parsed.select("page_id", "status", "error_id", F.col("r.source.document_id").alias("document_id"), F.col("r.source.page_number").alias("page_number"), F.col("r.image_hash").alias("image_hash"), "r.analysis.*", F.col("r.retrieval.bm25_text").alias("given_text"), "result_json").join(names, "page_id", "left")
+        return parsed.select("page_id", "status", "error_id", "updated_at", F.col("r.source.document_id").alias("document_id"), F.col("r.source.page_number").alias("page_number"), F.col("r.image_hash").alias("image_hash"), "r.analysis.*", F.col("r.retrieval.bm25_text").alias("given_text"), "result_json").join(names, "page_id", "left")
 
     def documents(self) -> DataFrame:
         return ledger.rollup(self.table("documents"), self.table("page_records"), self.results()).orderBy(F.desc("created_at"))
