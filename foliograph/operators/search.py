@@ -141,7 +141,8 @@ def enrich(hits: DataFrame, results: DataFrame, assets: DataFrame, strict: bool
     from pyspark.sql import Window
 
     r = results.where("status = 'succeeded'").select("page_id", "document_id", "page_number", "original_filename", "title", "summary", "image_hash")
-    # at most MOST hits
+    # at most MOST hits, found once
+    hits = hits.sparkSession.createDataFrame([tuple(x) for x in hits.limit(MOST).collect()], hits.schema)
     small = F.broadcast(hits)
     full = r.join(small, "page_id").join(assets.select("image_hash", F.col("file_path").alias("image_path")), "image_hash", "left").drop("image_hash")
     if strict:
