@@ -41,23 +41,45 @@ ALL_KINDS = (*KINDS, "secret", "ssn", "iban")
 #: Code points before a span that count as its surroundings.
 CONTEXT = 40
 
-SPAN = "array<struct<k:int,s:int,e:int,v:string>>"
+#: Arrays are built in parts of this many elements, so that a text with many spans costs no square of them.
+PART = 256
+
+SPAN = "array<struct<k:int,s:int,e:int,v:string,b:string>>"
+KEPT = "array<struct<o:double,s:int,x:int,k:int,e:int>>"
+
+
+def _parts(kind: str, **state: Column) -> Column:
+    """State of a fold that gathers an array<...> in parts."""
+    empty = F.array().cast(kind)
+    return F.struct(*[v.alias(k) for k, v in state.items()], empty.alias("part"), F.array().cast(f"array<{kind}>").alias("done"))
+
+
+def _with(acc: Column, more: Column, **state: Column) -> Column:
+    """The state with the elements of ``more`` added."""
+    full = F.size(acc["part"]) >= PART
+    part = F.when(full, more).otherwise(F.concat(acc["part"], more))
+    done = F.when(full, F.concat(acc["done"], F.array(acc["part"]))).otherwise(acc["done"])
+    return F.struct(*[v.alias(k) for k, v in state.items()], part.alias("part"), done.alias("done"))
+
+
+def _whole(acc: Column) -> Column:
+    return F.concat(F.flatten(acc["done"]), acc["part"])
 
 
 def _found(text: Column, pattern: str, kind: int, needs: Column) -> Column:
-    """All matches: array of (kind, start, end, value), in code points; empty where ``needs`` is false."""
-    matches = F.when(needs, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    # what stands between the matches says where they begin
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    steps = F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("all"))
+    """All matches: array of (kind, start, end, value, text before), in code points; empty where ``needs`` is false."""
+    # what stands between the matches says where they begin; after the last one there is a gap without a match
+    steps = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
 
     def add(acc, x):
-        s = acc["at"] + x["g"]
+        s = acc["at"] + F.length(x["g"])
         e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["all"], F.array(F.struct(F.lit(kind).alias("k"), s.alias("s"), e.alias("e"), x["m"].alias("v")))).alias("all"))
+        before = F.substring(F.concat(acc["tail"], x["g"]), -CONTEXT, CONTEXT)
+        span = F.struct(F.lit(kind).alias("k"), s.alias("s"), e.alias("e"), x["m"].alias("v"), before.alias("b"))
+        return _with(acc, F.array(span), at=e, tail=F.substring(F.concat(acc["tail"], x["g"], x["m"]), -CONTEXT, CONTEXT))
 
-    return F.when(needs & (F.size(matches) > 0), F.aggregate(steps, start, add, lambda acc: acc["all"])).otherwise(F.array().cast(SPAN))
+    every = F.aggregate(F.filter(steps, lambda x: x["m"].isNotNull()), _parts(SPAN, at=F.lit(0), tail=F.lit("")), add, _whole)
+    return F.when(needs, every).otherwise(F.array().cast(SPAN))
 
 
 def _digits(v: Column) -> Column:
@@ -135,8 +157,7 @@ def _judged(text: Column, generator: int, model: pii_model.Model) -> Column:
     k = ALL_KINDS.index(kind)
 
     def described(c):
-        before = F.substring(text, F.greatest(c["s"] - CONTEXT + 1, F.lit(1)), F.least(c["s"], F.lit(CONTEXT)))
-        return F.struct(c["s"].alias("s"), c["e"].alias("e"), *[v.alias(name) for name, v in features(c["v"], before, generator).items()])
+        return F.struct(c["s"].alias("s"), c["e"].alias("e"), *[v.alias(name) for name, v in features(c["v"], c["b"], generator).items()])
 
     def judged(c):
         p = 1 / (1 + F.exp(-(F.lit(model.slope[kind]) * tree_sum(model, c) + F.lit(model.shift[kind]))))
@@ -146,15 +167,44 @@ def _judged(text: Column, generator: int, model: pii_model.Model) -> Column:
     return F.filter(F.transform(F.transform(candidates, described), judged), lambda c: c["p"] >= F.lit(model.threshold[kind]))
 
 
-def added_spans(text: Column, base: Column) -> Column:
-    """Accepted candidates: array of (kind, start, end, value, probability), likeliest first, none overlapping."""
+def _apart(a: Column, b: Column) -> Column:
+    return (a["e"] <= b["s"]) | (b["e"] <= a["s"])
+
+
+def _ranges(spans: Column) -> Column:
+    """The spans by start, cut into about as many parts as a part has spans: array of (first start, last end, spans)."""
+    plain = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    step = lambda a: F.ceil(F.sqrt(F.size(a))).cast("int")
+    cut = lambda a: F.transform(F.sequence(F.lit(1), F.size(a), step(a)), lambda at: F.slice(a, at, step(a)))
+    # a fold of one step names the sorted array, so that it is made once
+    parts = F.aggregate(F.array(plain), F.array().cast("array<array<struct<s:int,e:int>>>"), lambda acc, a: F.when(F.size(a) > 0, cut(a)).otherwise(acc))
+    return F.transform(parts, lambda p: F.struct(p[0]["s"].alias("s"), F.array_max(F.transform(p, lambda x: x["e"])).alias("e"), p.alias("spans")))
+
+
+def added_spans(text: Column, ranges: Column) -> Column:
+    """Accepted candidates, in order of place and none overlapping: array of (-probability, start, -end, kind, end).
+
+    ``ranges`` are the base spans by :func:`_ranges`.  Of candidates that
+    overlap the likelier one stays; a chain of overlapping candidates is
+    decided for itself.
+    """
     model = pii_model.trained()
     scored = [_judged(text, n, model) for n in range(len(GENERATORS))]
-    apart = lambda a, b: (a["e"] <= b["s"]) | (b["e"] <= a["s"])
-    free = F.filter(F.concat(*scored), lambda c: ~F.exists(base, lambda b: ~apart(b, c)))
-    likely = F.array_sort(F.transform(free, lambda c: F.struct((-c["p"]).alias("o"), c["s"].alias("s"), (-c["e"]).alias("x"), c["k"].alias("k"), c["e"].alias("e"))))
-    kept = F.aggregate(likely, F.array().cast("array<struct<o:double,s:int,x:int,k:int,e:int>>"), lambda acc, c: F.when(F.exists(acc, lambda b: ~apart(b, c)), acc).otherwise(F.concat(acc, F.array(c))))
-    return F.when(F.size(free) > 0, kept).otherwise(F.array().cast("array<struct<o:double,s:int,x:int,k:int,e:int>>"))
+    # the transform of one element names the ranges: left in the inner function they would be made anew for each candidate
+    clear = lambda named: F.filter(F.concat(*scored), lambda c: ~F.exists(named, lambda r: ~_apart(r, c) & F.exists(r["spans"], lambda b: ~_apart(b, c))))
+    free = F.flatten(F.transform(F.array(ranges), clear))
+    placed = F.array_sort(F.transform(free, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.struct((-c["p"]).alias("o"), c["s"].alias("s"), (-c["e"]).alias("x"), c["k"].alias("k"), c["e"].alias("e")).alias("c"))))
+    none = F.array().cast(KEPT)
+
+    def best(chain):
+        return F.aggregate(F.array_sort(chain), none, lambda acc, c: F.when(F.exists(acc, lambda b: ~_apart(b, c)), acc).otherwise(F.concat(acc, F.array(c))))
+
+    def add(acc, x):
+        breaks = x["s"] >= acc["end"]
+        chain = F.when(breaks, F.array(x["c"])).otherwise(F.concat(acc["chain"], F.array(x["c"])))
+        return _with(acc, F.when(breaks, best(acc["chain"])).otherwise(none), end=F.greatest(acc["end"], x["e"]), chain=chain)
+
+    return F.aggregate(placed, _parts(KEPT, end=F.lit(0), chain=none), add, lambda acc: F.concat(_whole(acc), best(acc["chain"])))
 
 
 def spelled(spans: Column) -> Column:
@@ -172,7 +222,8 @@ def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.withColumn("_base", base_spans(F.col("_text")))
-    rows = rows.withColumn("_added", added_spans(F.col("_text"), F.col("_base")))
+    rows = rows.withColumn("_ranges", _ranges(F.col("_base")))
+    rows = rows.withColumn("_added", added_spans(F.col("_text"), F.col("_ranges")))
     plain = lambda c: F.transform(c, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
     count = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
@@ -185,8 +236,8 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[{}]") -> DataFrame:
     t = F.col(text)
     base = base_spans(F.coalesce(t, F.lit("")))
     plain = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))
-    rows = df.withColumn("_base", base)
-    spans = F.array_sort(F.concat(plain(F.col("_base")), plain(added_spans(F.coalesce(t, F.lit("")), F.col("_base")))))
+    rows = df.withColumn("_base", base).withColumn("_ranges", _ranges(F.col("_base")))
+    spans = F.array_sort(F.concat(plain(F.col("_base")), plain(added_spans(F.coalesce(t, F.lit("")), F.col("_ranges")))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
@@ -194,4 +245,4 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[{}]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.concat(acc["out"], piece, F.element_at(names, x["k"] + 1))).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return rows.withColumn(text, F.when(t.isNotNull(), done)).drop("_base")
+    return rows.withColumn(text, F.when(t.isNotNull(), done)).drop("_base", "_ranges")
