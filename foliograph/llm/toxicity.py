@@ -28,7 +28,7 @@ from foliograph.llm.common import cut
 MAX_ROWS = 20_000
 MAX_TERMS = 400
 MAX_CANDIDATES = 20_000
-#: Words longer than this are neither terms nor misspelt terms.
+#: Words longer than this do not become terms.
 MAX_WORD = 40
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
@@ -116,8 +116,6 @@ class Automaton:
 
     def match(self, word: str) -> tuple[str, str] | None:
         """(kind, term) of the nearest term: exact, begun or near."""
-        if len(word) > MAX_WORD:
-            word = word[:MAX_WORD]
         state, begun = self.start, None
         for c in word:
             nxt = self.steps[state].get(c)
