@@ -28,6 +28,8 @@ from foliograph.llm.common import cut
 MAX_ROWS = 20_000
 MAX_TERMS = 400
 MAX_CANDIDATES = 20_000
+#: A term's counts must be likelier by this much with a toxic rate of its own.
+LEAST_GAIN = 18
 #: Words longer than this do not become terms.
 MAX_WORD = 40
 STEMS = (4, 5, 6, 7, 8)
@@ -144,8 +146,13 @@ def allowance(term: str) -> int:
 class Scorer:
     """Features of a text; words already met are not matched anew."""
 
-    def __init__(self, terms: dict[str, float]):
-        self.terms, self.automaton, self.known = terms, Automaton(terms), {}
+    def __init__(self, terms: dict[str, float], proper: frozenset[str] = frozenset()):
+        self.terms, self.proper, self.automaton, self.known = terms, proper, Automaton(terms), {}
+
+    def match(self, word: str) -> tuple[str, str] | None:
+        """(kind, term) of a word; one that clean documents use is no misspelling."""
+        k = self.automaton.match(word)
+        return None if k is not None and k[0] == "near" and word in self.proper else k
 
     def features(self, text: str | None) -> list[float]:
         if not text or not self.terms:
@@ -158,7 +165,7 @@ class Scorer:
             if k == 0:
                 if len(known) > 500_000:
                     known.clear()
-                k = known[w] = self.automaton.match(w)
+                k = known[w] = self.match(w)
             if k is not None:
                 hits[w] = k
         if not hits:
@@ -182,13 +189,13 @@ class Scorer:
                 if ADDRESSING.intersection(near_before) or ADDRESSING.intersection(WORD.findall(after)[:5]):
                     addressed += 1
         log = math.log1p
-        total = count["exact"] + count["begun"]
+        total = count["exact"] + count["begun"] + count["near"]
         return [log(kinds["exact"]), log(count["exact"]), log(kinds["begun"]), log(count["begun"]), log(kinds["near"]), log(count["near"]), log(quoted), log(addressed), min(1.0, 20 * total / max(1, len(words)))]
 
 
 class Model:
-    def __init__(self, terms: dict[str, float], weights: list[float], bias: float, prior: float):
-        self.terms, self.weights, self.bias, self.prior = terms, weights, bias, prior
+    def __init__(self, terms: dict[str, float], weights: list[float], bias: float, prior: float, proper: frozenset[str] = frozenset()):
+        self.terms, self.weights, self.bias, self.prior, self.proper = terms, weights, bias, prior, proper
 
     def score(self, features: list[float]) -> float:
         z = self.bias + sum(w * x for w, x in zip(self.weights, features, strict=True))
@@ -214,8 +221,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text") -> Dat
     return docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(some), "doc_id")
 
 
+def _words_of(text: str) -> set[str]:
+    return {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= MAX_WORD}
+
+
+def _terms(word: str) -> set[str]:
+    return {word} | {word[:n] + "*" for n in STEMS if len(word) > n}
+
+
 def _terms_of(text: str) -> set[str]:
-    words = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= MAX_WORD}
+    words = _words_of(text)
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
@@ -242,29 +257,38 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     base = n_yes / (n_yes + n_no)
     both = F.col("yes") + F.col("no")
     gain = 2 * (F.col("yes") * F.log(F.col("yes") / both / base) + F.when(F.col("no") > 0, F.col("no") * F.log(F.col("no") / both / (1 - base))).otherwise(0.0))
-    per = per.where((F.col("yes") >= 3) & (F.col("yes") / n_yes > 8 * (F.col("no") + 0.5) / n_no)).withColumn("gain", gain).where("gain >= 18")
+    per = per.where((F.col("yes") >= 3) & (F.col("yes") / n_yes > 8 * (F.col("no") + 0.5) / n_no)).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
     found = {r["term"]: (r["yes"], r["no"]) for r in per.orderBy(F.desc("gain"), "term").limit(MAX_CANDIDATES).collect()}
 
-    # which of the found terms each toxic document of the sample holds
+    # which of the found terms cover the words of each toxic document of the sample
     held = rows.sparkSession.sparkContext.broadcast(set(found))
 
     def holding(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "terms": [sorted(held.value & _terms_of(t or "")) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "terms": [[sorted(x) for w in sorted(_words_of(t or "")) if (x := held.value & _terms(w))] for t in b["text"]]})
+
+    holds = [r["terms"] for r in rows.where("toxic > 0").mapInPandas(holding, "doc_id long, terms array<array<string>>").orderBy("doc_id").select("terms").collect()]
+    terms = choose(holds, found, n_yes, n_no)
+
+    # words near a term that clean documents of the sample use too much for a term
+    def nearby(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(terms)
+        for b in batches:
+            near = [[w for w in _words_of(t or "") if (scorer.match(w) or ("",))[0] == "near"] for t in b["text"]]
+            yield pd.DataFrame({"toxic": b["toxic"], "word": near}).explode("word").dropna().astype({"toxic": "int32", "word": "str"})
 
-    holds = [r["terms"] for r in rows.where("toxic > 0").mapInPandas(holding, "doc_id long, terms array<string>").orderBy("doc_id").select("terms").collect()]
-    terms = choose(holds, found, n_yes)
+    seen = rows.mapInPandas(nearby, "toxic int, word string").groupBy("word").agg(F.sum((F.col("toxic") > 0).cast("long")).alias("yes"), F.sum((F.col("toxic") <= 0).cast("long")).alias("no"))
+    proper = frozenset(r["word"] for r in seen.where((F.col("no") > 0) & (F.col("yes") / n_yes <= 8 * F.col("no") / n_no)).collect())
 
     # weights, on the counts that the scorer itself makes
-    scorer_terms = terms
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(scorer_terms)
+        scorer = Scorer(terms, proper)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "x": [scorer.features(t) for t in b["text"]]})
 
     measured_rows = rows.mapInPandas(measured, "doc_id long, toxic int, x array<double>").orderBy("doc_id").collect()
-    return fit(terms, [list(r["x"]) for r in measured_rows], [int(r["toxic"] > 0) for r in measured_rows])
+    return fit(terms, proper, [list(r["x"]) for r in measured_rows], [int(r["toxic"] > 0) for r in measured_rows])
 
 
 def _counted(yes: Counter, no: Counter) -> pa.RecordBatch:
@@ -272,54 +296,73 @@ def _counted(yes: Counter, no: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([yes[t] for t in terms], pa.int64()), pa.array([no[t] for t in terms], pa.int64())], ["term", "yes", "no"])
 
 
-def choose(holds: list[list[str]], found: dict[str, tuple[int, int]], n_yes: int, cover: int = 3) -> dict[str, float]:
-    """Terms one after another, each for the toxic documents it adds; a document wants ``cover`` terms."""
-    by_term: dict[str, list[int]] = {}
-    for k, terms in enumerate(holds):
-        for t in terms:
-            by_term.setdefault(t, []).append(k)
-    wants = [cover] * len(holds)
+def _gain(yes: float, no: float, n_yes: int, n_no: int) -> float:
+    """How much likelier the counts are with a toxic rate of their own than with the common rate; 0 for too few or too mixed."""
+    if yes < 3 or yes / n_yes <= 8 * (no + 0.5) / n_no:
+        return 0.0
+    base = n_yes / (n_yes + n_no)
+    return 2 * (yes * math.log(yes / (yes + no) / base) + (no * math.log(no / (yes + no) / (1 - base)) if no else 0.0))
+
+
+def choose(holds: list[list[list[str]]], found: dict[str, tuple[int, int]], n_yes: int, n_no: int) -> dict[str, float]:
+    """The whole words found, so that each keeps its misspellings, and the beginnings that add to them, one after another.
+
+    ``holds`` names, for each toxic document, the found terms of each of its
+    words.  A beginning is judged by the documents in which it covers a word
+    that no chosen term covers: a word's own beginning adds nothing to it.
+    """
     least = max(2, round(0.001 * n_yes))
-    worth = {t: float("inf") for t in by_term}
-    chosen: dict[str, float] = {}
+    by_term: dict[str, set[tuple[int, int]]] = {}
+    for k, words in enumerate(holds):
+        for n, terms in enumerate(words):
+            for t in terms:
+                by_term.setdefault(t, set()).add((k, n))
+    whole = sorted((t for t in by_term if not t.endswith("*")), key=lambda t: (-_gain(*found[t], n_yes, n_no), t))
+    chosen = {t: float(found[t][0]) for t in whole if found[t][0] - 3 * found[t][1] >= least}
+    chosen = dict(list(chosen.items())[:MAX_TERMS])
+    covered = set().union(*(by_term[t] for t in chosen))
     import heapq
 
-    heap = [(-float("inf"), t) for t in sorted(by_term)]
+    heap = [(-float("inf"), t) for t in sorted(by_term) if t.endswith("*")]
     while heap and len(chosen) < MAX_TERMS:
         top, t = heapq.heappop(heap)
-        now = sum(wants[k] > 0 for k in by_term[t]) - 3 * found[t][1]
-        # a beginning must add more than a whole word does; of beginnings that add as much, the longer is more exact
-        key = -(now if not t.endswith("*") else 0.8 * now + 0.01 * len(t))
-        if now < least:
+        adds = len({k for k, n in by_term[t] - covered})
+        # of beginnings that add as much, the longer is more exact
+        key = -(adds - 3 * found[t][1] + 0.01 * len(t))
+        if adds - 3 * found[t][1] < least or _gain(adds, found[t][1], n_yes, n_no) < LEAST_GAIN:
             continue
-        if heap and key > heap[0][0]:
-            if key != top:
-                heapq.heappush(heap, (key, t))
-                continue
-        chosen[t] = worth[t] = float(now)
-        for k in by_term[t]:
-            wants[k] -= 1
-    # words that a chosen beginning covers add nothing
-    stems = tuple(t[:-1] for t in chosen if t.endswith("*"))
-    return {t: v for t, v in chosen.items() if t.endswith("*") or not stems or not t.startswith(stems)}
-
-
-def fit(terms: dict[str, float], x: list[list[float]], y: list[int]) -> Model:
-    """Logistic regression by Newton's method, with a small penalty; few distinct rows are counted once."""
+        if heap and key > heap[0][0] and key != top:
+            heapq.heappush(heap, (key, t))
+            continue
+        chosen[t] = float(adds)
+        covered |= by_term[t]
+    return chosen
+
+
+def fit(terms: dict[str, float], proper: frozenset[str], x: list[list[float]], y: list[int]) -> Model:
+    """Logistic regression by Newton's method, with a small penalty; few distinct rows are counted once.
+
+    Misspelt terms are drawn to the weight of exact ones, so that they count
+    like these where the sample holds too few of them to say.
+    """
     import numpy as np
 
     rows = Counter((tuple(round(v, 4) for v in a), b) for a, b in zip(x, y, strict=True))
     a = np.array([[*k[0], 1.0] for k in rows])
     t, n = np.array([k[1] for k in rows], float), np.array(list(rows.values()), float)
-    w, penalty = np.zeros(a.shape[1]), np.array([0.05] * (a.shape[1] - 1) + [1e-3])
+    w, penalty = np.zeros(a.shape[1]), np.diag([0.05] * (a.shape[1] - 1) + [1e-3])
+    for near, exact in (("near_kinds", "exact_kinds"), ("near", "exact")):
+        i, j = FEATURES.index(near), FEATURES.index(exact)
+        penalty[j, j] += penalty[i, i]
+        penalty[i, j] = penalty[j, i] = -penalty[i, i]
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (n * (p - t)) + penalty * w
-        step = np.linalg.solve((a.T * (n * np.maximum(p * (1 - p), 1e-6))) @ a + np.diag(penalty), gradient)
+        gradient = a.T @ (n * (p - t)) + penalty @ w
+        step = np.linalg.solve((a.T * (n * np.maximum(p * (1 - p), 1e-6))) @ a + penalty, gradient)
         w -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
-    return Model(terms, w[:-1].tolist(), float(w[-1]), float((t * n).sum() / n.sum()))
+    return Model(terms, w[:-1].tolist(), float(w[-1]), float((t * n).sum() / n.sum()), proper)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -330,7 +373,7 @@ def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model.terms)
+        scorer = Scorer(model.terms, model.proper)
         for b in batches:
             s = [model.score(scorer.features(t)) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": s})
@@ -345,7 +388,7 @@ def keep_clean(df: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     columns = df.columns
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.terms)
+        scorer = Scorer(model.terms, model.proper)
         for b in batches:
             keep = [model.score(scorer.features(t)) < threshold for t in b.column(columns.index("text")).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -306,6 +306,20 @@ def test_toxicity_edges(spark, docs, rows, none):
     assert said[0][6] > 0 and said[0][1] == 0 and said[1][1] > 0 and said[1][7] > 0
 
 
+def test_toxicity_misspellings_of_learnt_words(spark):
+    bad, plain = ["idiot", "moron", "trash", "stupid"], ["river", "table", "morning", "window", "garden", "travel", "idea", "story"]
+    rnd = random.Random(3)
+    say = lambda extra: " ".join([*rnd.sample(plain, 6), extra, *rnd.sample(plain, 6)])
+    learnt = [(k, say(bad[k // 4 % 4] if k % 4 == 0 else plain[k % 8]), int(k % 4 == 0)) for k in range(1200)]
+    model = toxicity.learn(spark.createDataFrame([r[:2] for r in learnt], "doc_id long, text string"), spark.createDataFrame([(a, c) for a, _, c in learnt], "doc_id long, toxic int"))
+    assert set(bad) <= set(model.terms)
+    probes = ["ldiot", "idiott", "mroon", "nnoron", "trrash", "stuupid", "ztupid", "idiom", "morocco", "transit"]
+    wrong = ["ldiot", "idiott", "trrash", "stuupid", "ztupid"]
+    got = toxicity.score(spark.createDataFrame([(k, say(w)) for k, w in enumerate(probes)], "doc_id long, text string"), model).collect()
+    assert {probes[r.doc_id] for r in got if r.predicted} - {"idiom"} == set(wrong)
+    assert toxicity.Automaton(model.terms).match("morocco") is None and toxicity.Automaton(model.terms).match("transit") is None
+
+
 def test_near_duplicates(spark, tmp_path):
     vocabulary = ["".join(R.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
     rows = []
