@@ -40,6 +40,8 @@ ADDRESSING = frozenset("you your you're youre u ur tu te toi vous du dich dir de
 QUOTES = "\"“”«»„‟‘’'`>"
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Words with digits or signs between their letters.
+RUN = re.compile(r"[^\W\d_]+(?:(?:[^\w\s]|[\d_])+[^\W\d_]+)+")
 FEATURES = ("exact_kinds", "exact", "begun_kinds", "begun", "near_kinds", "near", "quoted", "addressed", "share")
 
 
@@ -137,6 +139,29 @@ class Automaton:
                     near = (e, term)
         return begun or (near and ("near", near[1]))
 
+    def inside(self, run: str) -> list[tuple[str, str]]:
+        """Parts of a run that are terms with digits or signs for letters, or between them: (part, term), none overlapping."""
+        pieces = [m.span() for m in WORD.finditer(run)]
+        ends, free, out = {e for _, e in pieces}, 0, []
+        for begin, end in pieces:
+            if begin < free:
+                continue
+            state, best = self.start, None
+            for at in range(begin, len(run)):
+                nxt = self.steps[state].get(run[at])
+                state = self._step(state, run[at]) if nxt is None else nxt
+                if state < 0:
+                    break
+                if at >= end and at + 1 in ends:
+                    for node, e in self.sets[state]:
+                        term = self.ends.get(node)
+                        if term is not None and e <= allowance(term) and (best is None or (e, term) < best[:2]):
+                            best = (e, term, at + 1)
+            if best is not None:
+                free = best[2]
+                out.append((run[begin:free], best[1]))
+        return out
+
 
 def allowance(term: str) -> int:
     """Wrong letters that a misspelling of the term may have."""
@@ -147,19 +172,16 @@ class Scorer:
     """Features of a text; words already met are not matched anew."""
 
     def __init__(self, terms: dict[str, float], proper: frozenset[str] = frozenset()):
-        self.terms, self.proper, self.automaton, self.known = terms, proper, Automaton(terms), {}
+        self.terms, self.proper, self.automaton, self.known, self.runs = terms, proper, Automaton(terms), {}, {}
 
     def match(self, word: str) -> tuple[str, str] | None:
         """(kind, term) of a word; one that clean documents use is no misspelling."""
         k = self.automaton.match(word)
         return None if k is not None and k[0] == "near" and word in self.proper else k
 
-    def features(self, text: str | None) -> list[float]:
-        if not text or not self.terms:
-            return [0.0] * len(FEATURES)
-        low = text.lower()
-        words = WORD.findall(low)
-        hits, known = {}, self.known
+    def hits(self, low: str, words: list[str]) -> dict[str, tuple[str, str]]:
+        """(kind, term) of the words of a text in lower case that have one, and of runs with digits or signs in them."""
+        hits, known, runs = {}, self.known, self.runs
         for w in set(words):
             k = known.get(w, 0)
             if k == 0:
@@ -168,6 +190,23 @@ class Scorer:
                 k = known[w] = self.match(w)
             if k is not None:
                 hits[w] = k
+        for run in set(RUN.findall(low)):
+            parts = runs.get(run)
+            if parts is None:
+                if len(runs) > 200_000:
+                    runs.clear()
+                parts = runs[run] = self.automaton.inside(run)
+            for part, term in parts:
+                if part not in self.proper and not any(w in hits for w in WORD.findall(part)):
+                    hits[part] = ("near", term)
+        return hits
+
+    def features(self, text: str | None) -> list[float]:
+        if not text or not self.terms:
+            return [0.0] * len(FEATURES)
+        low = text.lower()
+        words = WORD.findall(low)
+        hits = self.hits(low, words)
         if not hits:
             return [0.0] * len(FEATURES)
         count, kinds = Counter(), Counter()
@@ -274,7 +313,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     def nearby(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(terms)
         for b in batches:
-            near = [[w for w in _words_of(t or "") if (scorer.match(w) or ("",))[0] == "near"] for t in b["text"]]
+            low = [(t or "").lower() for t in b["text"]]
+            near = [[w for w, k in scorer.hits(t, WORD.findall(t)).items() if k[0] == "near"] for t in low]
             yield pd.DataFrame({"toxic": b["toxic"], "word": near}).explode("word").dropna().astype({"toxic": "int32", "word": "str"})
 
     seen = rows.mapInPandas(nearby, "toxic int, word string").groupBy("word").agg(F.sum((F.col("toxic") > 0).cast("long")).alias("yes"), F.sum((F.col("toxic") <= 0).cast("long")).alias("no"))

@@ -306,6 +306,19 @@ def test_toxicity_edges(spark, docs, rows, none):
     assert said[0][6] > 0 and said[0][1] == 0 and said[1][1] > 0 and said[1][7] > 0
 
 
+def test_toxicity_digits_and_signs_for_letters():
+    scorer = toxicity.Scorer(dict.fromkeys(["idiot", "stupid", "trash", "loser"], 1.0))
+    near = toxicity.FEATURES.index("near_kinds")
+    for text in ("an id1ot here", "so stup1d", "tr@sh", "a l0ser,stup1d/more", "well,id1ot.", "st_pid"):
+        assert scorer.features(text)[near] > 0, text
+    assert scorer.features("a l0ser,stup1d/more")[near] == pytest.approx(np.log(3))
+    for text in ("id10t", "in 1 or 2", "http://a.b/c?d=e", "idi.a.ot", "re-use mp3s x1y"):
+        assert scorer.features(text)[near] == 0, text
+    # a fragment that is a term counts once, as itself
+    x = scorer.features("idiot-a")
+    assert x[near] == 0 and x[0] > 0
+
+
 def test_toxicity_misspellings_of_learnt_words(spark):
     bad, plain = ["idiot", "moron", "trash", "stupid"], ["river", "table", "morning", "window", "garden", "travel", "idea", "story"]
     rnd = random.Random(3)
