@@ -32,8 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Generators: kind and pattern.
 GENERATORS = (
     ("phone", r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{2,4}[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{2,4})?(?![0-9A-Za-z])", "[0-9]{3}"),
-    ("secret", r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{16,200}(?![A-Za-z0-9_/+=-])", "[A-Za-z0-9_/+=-]{16}"),
-    ("secret", r"(?<![A-Za-z0-9])(?:[Pp]assword|PASSWORD|passwd|pwd|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|access[_-]?key)\x20{0,3}[:=]\x20{0,3}[\"']?[^\s\"']{6,200}", "[:=]"),
+    ("secret", r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{16,}+(?![A-Za-z0-9_/+=-])", "[A-Za-z0-9_/+=-]{16}"),
+    ("secret", r"(?<![A-Za-z0-9])(?:[Pp]assword|PASSWORD|passwd|pwd|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|access[_-]?key)\x20{0,3}[:=]\x20{0,3}[\"']?[^\s\"']{6,}+", "[:=]"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9A-Za-z-])", "[0-9]{3}[ -]"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![0-9A-Za-z])", "[A-Z]{2}[0-9]{2}"),
 )

@@ -225,6 +225,15 @@ def test_pii(spark):
     assert pii.redact(spark.createDataFrame([(say,)], "text string")).first().text == "the key [secret] and [secret] of a chapter-one-word-form"
 
 
+def test_pii_long_secrets(spark):
+    rnd = random.Random(8)
+    of = lambda n: "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789") for _ in range(n))
+    long = [of(n) for n in (201, 350, 1200)]
+    texts = [f"the token is {v} for now" for v in long] + [f"we set token={v} for now" for v in long]
+    got = [r.text for r in pii.redact(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    assert all("[secret] for now" in g and not any(v[-20:] in g for v in long) for g in got)
+
+
 def test_pii_many_spans(spark):
     """More spans than one part of a gathered array holds, candidates beside and inside base spans."""
     dense = " ".join(f"u{i}@x{i}.org (415) 555-{i:04d} +1 (415) 555-{i:04d} at 10.0.{i % 256}.7 password=e3b3ed3cc{i:07d}" for i in range(1500))
