@@ -172,15 +172,23 @@ def _measured(rows: DataFrame, posted: DataFrame, graph: Graph, trials, k: int)
             ids = b.column("vec_id").to_numpy()
             for at in range(0, b.num_rows, 4096):
                 s = held.value @ _unit(b.column("vector").slice(at, 4096)).T
+                # the best row of each id, before the cut
+                own = ids[at : at + 4096]
+                order = np.argsort(own, kind="stable")
+                one, first = np.unique(own[order], return_index=True)
+                s = np.maximum.reduceat(s[:, order], first, axis=1)
                 m = min(k + 1, s.shape[1])
                 top = np.argpartition(s, -m, axis=1)[:, -m:]
                 for t in range(len(s)):
-                    best[t] = sorted([*best[t], *zip((-s[t, top[t]]).tolist(), ids[at + top[t]].tolist(), strict=True)])[: k + 1]
+                    least: dict[int, float] = {}
+                    for d, i in [*best[t], *zip((-s[t, top[t]]).tolist(), one[top[t]].tolist(), strict=True)]:
+                        least[i] = min(d, least.get(i, d))
+                    best[t] = sorted((d, i) for i, d in least.items())[: k + 1]
         out = [(t, i, d) for t, one in enumerate(best) for d, i in one]
         yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], kind) for n, kind in ((0, pa.int32()), (1, pa.int64()), (2, pa.float64()))], ["trial", "vec_id", "d"])
 
     order = Window.partitionBy("trial").orderBy("d", "vec_id")
-    true = rows.mapInArrow(nearest, "trial int, vec_id long, d double").withColumn("n", F.row_number().over(order)).where(F.col("n").between(2, k + 1))  # the first is the row itself
+    true = rows.mapInArrow(nearest, "trial int, vec_id long, d double").groupBy("trial", "vec_id").agg(F.min("d").alias("d")).withColumn("n", F.row_number().over(order)).where(F.col("n").between(2, k + 1))  # the first is the row itself
     pairs = posted.select("list", "vec_id").join(F.broadcast(true.select("trial", "vec_id")), "vec_id").select("trial", "vec_id", "list").collect()  # TRIALS * (k + 1) * COPIES rows
     d = np.sqrt(np.maximum((trials**2).sum(1)[:, None] + graph.square[None] - 2 * trials @ graph.c.T, 0))
     least = np.maximum(d.min(1), 1e-9)
@@ -279,16 +287,21 @@ def search(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", v
         qid, pid = q.column("vec_id").to_numpy(), p.column("vec_id").to_numpy()
         na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
         unit_a, unit_b = a / na[:, None], (b / nb[:, None]).T
+        by_id = np.argsort(pid, kind="stable")
+        first = np.unique(pid[by_id], return_index=True)[1]
         got_q, got_p, got_s = [], [], []
         for at in range(0, len(a), 256):
             rough = unit_a[at : at + 256] @ unit_b
             rough[qid[at : at + 256, None] == pid[None, :]] = -9
-            m = min(k, rough.shape[1])
-            floor = np.partition(rough, -m, axis=1)[:, -m]
+            # the best row of each id, before the cut
+            once = np.maximum.reduceat(rough[:, by_id], first, axis=1)
+            m = min(k, once.shape[1])
+            floor = np.partition(once, -m, axis=1)[:, -m]
             for r in range(len(rough)):
                 near = np.flatnonzero((rough[r] >= floor[r] - 1e-9) & (rough[r] > -9))
                 exact = (b[near] * a[at + r]).sum(1) / (na[at + r] * nb[near])
-                best = np.lexsort((pid[near], -exact))[:k]
+                best = np.lexsort((pid[near], -exact))
+                best = best[np.sort(np.unique(pid[near][best], return_index=True)[1])][:k]
                 got_q += [qid[at + r]] * len(best)
                 got_p += pid[near][best].tolist()
                 got_s += exact[best].tolist()

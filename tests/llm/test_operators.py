@@ -171,6 +171,18 @@ def test_nearest_neighbours(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_nearest_neighbours_of_repeated_rows(spark):
+    x = np.random.default_rng(2).normal(size=(60, 8))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x) for _ in range(6)], "vec_id long, embedding array<double>")
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    got = {}
+    for r in ann.search(table, k=5, every=20).collect():
+        got.setdefault(r.query_id, set()).add((r.rank, r.vec_id))
+    for q in (0, 20, 40):
+        order = [i for i in np.argsort(-(unit @ unit[q]), kind="stable").tolist() if i != q][:5]
+        assert got[q] == set(enumerate(order, 1))
+
+
 def test_token_files(spark, docs, rows, none, tmp_path):
     import public_tokenizers as P
 
