@@ -2,14 +2,17 @@
 
 Every document gets ``TREES`` paths of ``DEPTH`` min-hash levels; a path is one
 long whose leading bits are a prefix of the path, so that a tree's sorted paths
-are its trie.  Documents whose paths share a prefix are candidates.  The prefix
-length starts at the full depth and is shortened until the links found account
-for the target recall: a link of similarity s is found with probability
-1 - (1 - s^k)^TREES, and the links that were found say how many were missed.
-
-Texts whose words are the same form one class and are handled once.  Candidate
-groups are compared in blocks inside tasks, which count links and return a
-spanning forest of them, never the pairs.
+are its trie and equal leading bits are one of its nodes.  Documents that share
+a node are candidates.  The prefix length starts at the full depth, where
+documents of similarity 0.8 meet with probability 0.9977, and is shortened
+until the links found account for the target recall: a link of similarity s is
+found with probability 1 - (1 - s^k)^TREES, and the links that were found say
+how many were missed.
+
+Texts whose words are the same form one class and are handled once.  Candidates
+of a node are tied if all their levels together make the similarity likely;
+groups so tied are compared exactly, in blocks inside tasks, which count links
+and return a spanning forest of them, never the pairs.
 """
 
 from __future__ import annotations
@@ -20,17 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import cut, packed
+from foliograph.llm.common import bits_of, cut, join_counted, located, packed, sorted_out, without
 from foliograph.llm.graph import components
 
 WORDS_PER_SHINGLE = 5
 THRESHOLD = 0.8
-TREES, DEPTH, LEVEL_BITS = 20, 5, 12
+TREES, DEPTH, LEVEL_BITS = 20, 6, 10
 TARGET_RECALL = 0.999
-#: Documents of one block of a candidate group; a task compares two blocks at most.
-BLOCK = 512
-#: Bits of the filter that keeps documents without candidates from moving; its size does not follow the corpus.
-FILTER_BITS = 1 << 23
+#: Candidates are tied unless their paths agree on so many standard deviations fewer levels than texts at the threshold do.
+MARGIN = 5
+#: Rows of one block of a trie node, and documents of one of a candidate group; a task compares two blocks at most.
+NODE_BLOCK, BLOCK = 4096, 512
 CHUNK = 1 << 20
 
 _R = 0x9E3779B97F4A7C15
@@ -125,29 +128,84 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         yield places, found
 
 
-SIGNED = "row_id long, copy long, proof long, paths array<long>"
+SIGNED = "row_id long, place string, copy long, proof long, paths array<long>"
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def _signed(bits: int):
+    """Row, two halves of the digest of its words (the first one cut to ``bits``), and its paths."""
 
-    for b in batches:
-        ids, texts = b.column("row_id"), b.column("text").to_pylist()
-        copy, proof, paths = [None] * len(texts), [None] * len(texts), [None] * len(texts)
-        for places, found in _chunks(texts):
-            rows = _paths(found)
-            for k, t, row in zip(places, found, rows, strict=True):
-                d = xxhash.xxh3_128_digest(t.encode())
-                copy[k], proof[k] = int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-                paths[k] = row
-        yield pa.RecordBatch.from_arrays([ids, pa.array(copy, pa.int64()), pa.array(proof, pa.int64()), pa.array(paths, pa.list_(pa.int64()))], ["row_id", "copy", "proof", "paths"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        keep = (1 << bits) - 1
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            copy, proof, paths = [None] * len(texts), [None] * len(texts), [None] * len(texts)
+            for places, found in _chunks(texts):
+                rows = _paths(found)
+                for k, t, row in zip(places, found, rows, strict=True):
+                    d = xxhash.xxh3_128_digest(t.encode())
+                    first = int.from_bytes(d[:8], "little") & keep
+                    copy[k], proof[k] = first - (1 << 64) * (first >> 63), int.from_bytes(d[8:], "little", signed=True)
+                    paths[k] = row
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("place"), pa.array(copy, pa.int64()), pa.array(proof, pa.int64()), pa.array(paths, pa.list_(pa.int64()))], ["row_id", "place", "copy", "proof", "paths"])
+
+    return run
 
 
-def expected_recall(s: float, depth: int) -> float:
-    return 1 - (1 - s**depth) ** TREES
+def _alike(least: int):
+    """Ties candidates of one trie node whose paths agree on ``least`` levels; rows come sorted by node and block pair.
+
+    Every row not yet tied is compared with those that are, so a group of near
+    copies costs one comparison a row; what comes out is a forest, never pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
+        key, copies, paths, out = None, [], [], []
+
+        def flush() -> None:
+            a = np.array(paths, "i8")
+            levels = np.concatenate([(a >> (LEVEL_BITS * d)) & ((1 << LEVEL_BITS) - 1) for d in range(DEPTH)], axis=1).astype("u2")
+            left = np.arange(len(a))
+            while len(left):
+                todo, left = [left[0]], left[1:]
+                while todo and len(left):
+                    u = todo.pop()
+                    near = (levels[left] == levels[u]).sum(1) >= least
+                    for v in left[near].tolist():
+                        out.append((copies[u], copies[v]))
+                        todo.append(v)
+                    left = left[~near]
 
-def _compared(threshold: float, depth: int):
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("node", "i", "j", "copy", "paths")), strict=True):
+                if row[:3] != key:
+                    if len(copies) > 1:
+                        flush()
+                        if len(out) > 50_000:
+                            yield packed()
+                            out = []
+                    key, copies, paths = row[:3], [], []
+                copies.append(row[3])
+                paths.append(row[4])
+        if len(copies) > 1:
+            flush()
+        yield packed()
+
+    return run
+
+
+def expected_recall(s: float, depth: int, trees: int = TREES) -> float:
+    """The chance that texts of similarity ``s`` share a trie node of this depth."""
+    return 1 - (1 - s**depth) ** trees
+
+
+def _compared(threshold: float, depth: int, trees: int):
     """Compares the blocks of candidate groups; rows come sorted by group and block pair."""
 
     def flush(rows: list[tuple]) -> Iterator[tuple]:
@@ -192,7 +250,7 @@ def _compared(threshold: float, depth: int):
         if one:
             np.fill_diagonal(linked, False)
         similarity = common[linked] / union[linked]
-        counted = float((1 / (1 - (1 - similarity.astype("f8") ** depth) ** TREES)).sum()) / (2 if one else 1)
+        counted = float((1 / (1 - (1 - similarity.astype("f8") ** depth) ** trees)).sum()) / (2 if one else 1)
         found = float(linked.sum()) / (2 if one else 1)
         links = np.zeros(len(rows), "i8")
         links[left] += linked @ weight[right]
@@ -242,7 +300,7 @@ def _compared(threshold: float, depth: int):
                             yield packed()
                             out = []
                     key, rows = row[:3], []
-                rows.append((None, row[3], row[4], row[5], row[6]))
+                rows.append((None, row[3], row[4], row[5], normal(row[6])))
         if len(rows) > 1:
             out.extend(flush(rows))
         yield packed()
@@ -250,94 +308,120 @@ def _compared(threshold: float, depth: int):
     return run
 
 
-def join(df: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def join(df: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """One row for each row of ``df``: doc_id, class_id, copy_id, n_links, kept.
 
     Two documents are linked when the Jaccard similarity of their sets of
     five-word shingles (lower-cased words between white space) is at least the
-    threshold.  n_links counts the other documents a document is linked to,
-    copies included.  class_id is the smallest doc_id among the documents that
-    links connect, and the document kept; copy_id the smallest doc_id with the
-    same words.
+    threshold; the sets hold 64-bit hashes of the shingles.  n_links counts the
+    other documents a document is linked to, copies included.  class_id is the
+    smallest doc_id among the documents that links connect, and exactly one row
+    of a class, one of that doc_id, is kept; copy_id is the smallest doc_id
+    with the same words.
 
     Null, empty and blank texts have no shingles: no links, and each is a class
     of its own.  A text of one to four words is linked to texts of the same
     words only.  Rows that repeat a doc_id with the same words are copies of
-    each other and are all kept if their class's id is theirs.  A null doc_id
-    counts as the largest.  An empty table gives an empty result.
+    each other.  A null doc_id counts as the largest.  Other columns are not
+    read.  An empty table gives an empty result.
+    """
+    return verdicts(located(df, False, _id=F.col(doc_id).cast("long"), _text=F.col(text)), threshold, target_recall, **options).drop("place")
+
+
+def verdicts(located_rows: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, trees: int = TREES, bits: int = 64, report: dict | None = None) -> DataFrame:
+    """What :func:`join` returns, and the place of each row, from located rows (_id, _text).
+
+    ``trees`` (at most TREES) and ``bits`` of the class key can be lowered to
+    see prefixes shortened and keys clash; ``report`` takes the depth used and
+    the recall estimated.
     """
-    none = 2**63 - 1
-    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(none)).alias("row_id"), F.col(text).alias("text"))
-    signed = cut(docs.mapInArrow(_signed, SIGNED), "near-signatures")
-    classes = signed.where("copy IS NOT NULL").groupBy("copy").agg(F.min("row_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("proof").alias("proof"), F.max("proof").alias("proof2"), F.first("paths").alias("paths"))
+    docs = located_rows.select(F.col("_id").alias("row_id"), F.col("_text").alias("text"), F.col("_place").alias("place"))
+    signed = cut(docs.mapInArrow(_signed(bits), SIGNED), "near-signatures")
     rows = signed.count()
-    classes = cut(classes, "near-classes", rows)
-    if not classes.where("proof <> proof2").isEmpty():
-        raise ValueError("two texts share a 64-bit hash; give the join another seed")
+    # texts are told apart by both halves of their digest; where the first halves clash, both make new keys
+    first, seed = F.min(F.struct(F.col("row_id").isNull().alias("nil"), "row_id", "place")), 0
+    while True:
+        per = signed.where("copy IS NOT NULL").groupBy("copy", "proof").agg(first.alias("least"), F.count(F.lit(1)).alias("n"), F.first("paths").alias("paths"))
+        classes = cut(per.select("copy", "least.row_id", "least.place", "n", "paths"), "near-classes", rows)
+        clash = classes.groupBy("copy").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("copy", F.lit(True).alias("clash"))
+        if clash.isEmpty():
+            break
+        seed += 1
+        signed = signed.join(cut(clash, "near-clashes"), "copy", "left")
+        signed = cut(signed.withColumn("copy", F.when(F.col("clash"), F.xxhash64("copy", "proof", F.lit(seed))).otherwise(F.col("copy"))).drop("clash"), "near-signatures")
     depth = DEPTH
     while True:
-        links, edges, recall = _linked(docs, classes, rows, threshold, depth)
+        links, edges, recall = _linked(docs, classes, rows, threshold, depth, trees)
         if recall >= target_recall or depth == 1:
             break
         depth -= 1  # shorter prefixes: more candidates
+    if report is not None:
+        report.update(depth=depth, recall=recall)
     linked = components(edges.select("copy", "other").toDF("a", "b"), "near-components", rows)
     counted = links.groupBy("copy").agg(F.sum("links").alias("links"))
-    per = classes.select("copy", "least", "n").join(linked.withColumnRenamed("v", "copy"), "copy", "left").join(counted, "copy", "left")
-    per = per.withColumn("component", F.coalesce("component", "copy"))
-    tops = per.groupBy("component").agg(F.min("least").alias("class_id"))
-    per = per.join(tops, "component").select("copy", "class_id", F.col("least").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = packed(signed.select("row_id", "copy").join(cut(per, "near-verdicts", rows), "copy", "left"), rows)
-    own = lambda c: F.coalesce(F.col(c), F.col("row_id"))
-    real = lambda c: F.when(c != none, c)
-    return out.select(real(F.col("row_id")).alias("doc_id"), real(own("class_id")).alias("class_id"), real(own("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (own("class_id") == F.col("row_id")).alias("kept"))
-
-
-def _linked(docs: DataFrame, classes: DataFrame, rows: int, threshold: float, depth: int) -> tuple[DataFrame, DataFrame, float]:
-    """Verified links of the classes that share a prefix of this depth: counts, a spanning forest, and the estimated recall."""
+    per = classes.select("copy", "row_id", "place", "n").join(linked.withColumnRenamed("v", "copy"), "copy", "left").join(counted, "copy", "left")
+    per = cut(per.withColumn("component", F.coalesce("component", "copy")), "near-placed", rows)
+    tops = per.groupBy("component").agg(first.alias("top"), F.count(F.lit(1)).alias("m"))
+    found = join_counted(per, tops, ["component"], "m", rows).select("copy", F.col("top.row_id").alias("class_id"), F.col("top.place").alias("top"), F.col("row_id").alias("copy_id"), "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    found = cut(found, "near-verdicts", rows)
+    own = signed.select("row_id", "place", "copy")
+    with_words = join_counted(own.where("copy IS NOT NULL"), found, ["copy"], "n", rows)
+    out = with_words.select(F.col("row_id").alias("doc_id"), "class_id", "copy_id", "n_links", (F.col("place") == F.col("top")).alias("kept"), "place")
+    blank = own.where("copy IS NULL").select(F.col("row_id").alias("doc_id"), F.col("row_id").alias("class_id"), F.col("row_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "place")
+    return packed(out.unionByName(blank), rows)
+
+
+def _linked(docs: DataFrame, classes: DataFrame, rows: int, threshold: float, depth: int, trees: int) -> tuple[DataFrame, DataFrame, float]:
+    """Verified links of the classes that share a trie node of this depth: counts, a spanning forest, and the estimated recall.
+
+    A node of a tree is named by a hash of the tree and the leading bits of its
+    paths.  Candidates of a node are tied only where their whole paths make the
+    similarity likely, so that chains of chance meetings form no group; then
+    texts are compared within the groups.
+    """
     spark = docs.sparkSession
-    prefix = F.shiftright("path", (DEPTH - depth) * LEVEL_BITS)
-    nodes = classes.select("copy", F.posexplode("paths").alias("tree", "path")).select("copy", "tree", prefix.alias("prefix"))
-    buckets = nodes.groupBy("tree", "prefix").agg(F.min("copy").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = nodes.join(buckets, ["tree", "prefix"]).where("copy <> least").select(F.col("copy").alias("a"), F.col("least").alias("b")).distinct()
-    members = components(stars, "near-candidates", 2 * rows)
-    members = members.join(classes.select(F.col("copy").alias("v"), "n", "least"), "v").select(F.col("v").alias("copy"), "component", "n", "least")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    node = F.xxhash64("tree", F.shiftright("path", (DEPTH - depth) * LEVEL_BITS)).alias("node")
+    used = classes.select("copy", F.slice("paths", 1, trees).alias("paths"))
+    nodes = used.select("copy", "paths", F.posexplode("paths").alias("tree", "path")).select("copy", node, "paths")
+    shared = cut(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-nodes", trees * rows)
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = sorted_out(nodes, bits_of(shared, "node"), "node").where("_maybe").drop("_maybe")
+    met = join_counted(met, shared, ["node"], "n", total)
+    met = _in_blocks(met.withColumn("blocks", F.ceil(F.col("n") / NODE_BLOCK).cast("int")))
+    met = met.select("node", "pair.i", "pair.j", "copy", "paths").repartition(tasks, "node", "i", "j").sortWithinPartitions("node", "i", "j", "copy")
+    levels = trees * DEPTH
+    least = int(levels * threshold - MARGIN * (levels * threshold * (1 - threshold)) ** 0.5)
+    members = components(met.mapInArrow(_alike(least), "a long, b long"), "near-candidates", 2 * rows)
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = cut(members.withColumn("block", F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int")).select("copy", "component", "n", "least", "block", "blocks"), "near-members", rows)
-
-    # a filter of fixed size lets through the documents that stand for candidates, and few others
-    bits = members.select(F.pmod(F.xxhash64("least"), F.lit(FILTER_BITS)).alias("bit"))
-    words = bits.selectExpr("cast(bit div 64 as int) AS w", "shiftleft(1L, cast(bit % 64 as int)) AS b").groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
-    import numpy as np
+    members = join_counted(members, sizes, ["component"], "size", rows).join(classes.select(F.col("copy").alias("v"), "n", "place"), "v")
+    members = _in_blocks(members.withColumnRenamed("v", "copy").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
+    members = cut(members.select("copy", "component", "n", "place", "block", "pair"), "near-members")
+
+    # each class is compared by the text of one of its rows
+    texts = sorted_out(docs.select("place", "text"), bits_of(members, "place"), "place").where("_maybe").select("place", "text")
+    dealt = members.join(texts, "place").select("component", "pair.i", "pair.j", "copy", F.col("block").alias("side"), "n", "text")
+    dealt = dealt.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j", "copy")
+    found = cut(dealt.mapInArrow(_compared(threshold, depth, trees), "copy long, other long, links long, found double, counted double"), "near-links")
+    total, counted = found.agg(F.sum("found"), F.sum("counted")).first()
+    # no link says nothing: what the depth promises at the threshold counts
+    recall = total / counted if counted else expected_recall(threshold, depth, trees)
+    return found.where("other IS NULL").select("copy", "links"), found.where("other IS NOT NULL").select("copy", "other"), recall
 
-    filled = np.zeros(FILTER_BITS // 64, "u8")
-    for w, b in words.collect():  # FILTER_BITS / 64 rows at most
-        filled[w] = b & 0xFFFFFFFFFFFFFFFF
-    held = spark.sparkContext.broadcast(filled)
 
-    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _in_blocks(df: DataFrame) -> DataFrame:
+    """A row for each pair of blocks that a row's block takes part in; ``blocks`` is the number of its group's blocks."""
+    df = df.withColumn("block", F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int"))
+    return df.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(F.col("block"), k).alias("i"), F.greatest(F.col("block"), k).alias("j")))))
 
-        for b in batches:
-            at = np.array(b.column("bit").to_pylist(), "i8")
-            b = b.filter(pa.array(((held.value[at >> 6] >> (at & 63).astype("u8")) & np.uint64(1)).astype(bool)))
-            ids, texts = b.column("row_id").to_pylist(), [normal(t) for t in b.column("text").to_pylist()]
-            copy = [int.from_bytes(xxhash.xxh3_128_digest(t.encode())[:8], "little", signed=True) if t else None for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copy, pa.int64()), pa.array(texts, pa.string())], ["row_id", "copy", "text"])
-
-    whole = docs.withColumn("bit", F.pmod(F.xxhash64("row_id"), F.lit(FILTER_BITS))).mapInArrow(picked, "row_id long, copy long, text string")
-    # each class is compared by the text of its smallest doc_id; rows that repeat it are the same words
-    full = members.join(whole, (members["copy"] == whole["copy"]) & (members["least"] == whole["row_id"])).select(members["copy"], "component", "n", "block", "blocks", "text")
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(F.col("block"), k).alias("i"), F.greatest(F.col("block"), k).alias("j"))))
-    dealt = full.withColumn("pair", pairs).select("component", "pair.i", "pair.j", "copy", F.col("block").alias("side"), "n", "text")
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "component", "i", "j").sortWithinPartitions("component", "i", "j", "copy")
-    found = cut(dealt.mapInArrow(_compared(threshold, depth), "copy long, other long, links long, found double, counted double"), "near-links")
-    total, counted = found.agg(F.sum("found"), F.sum("counted")).first()
-    recall = total / counted if counted else 1.0
-    return found.where("other IS NULL").select("copy", "links"), found.where("other IS NOT NULL").select("copy", "other"), recall
 
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``df`` that stay, exactly one of each class, with all their columns.
 
-def keep_one(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` that stay, one document of each class."""
-    stays = join(df, **options).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return df.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*df.columns)
+    Null, empty and blank texts all stay.  Rows that repeat an id stay only if
+    they are the row kept; null ids are rows like others.  Columns may have any
+    name.  An empty table gives an empty result.
+    """
+    rows = located(df, True, _id=F.col(doc_id).cast("long"), _text=F.col(text))
+    gone = verdicts(rows, **options).where("NOT kept").select(F.col("place").alias("_place"))
+    return without(rows, cut(gone, "near-gone"))

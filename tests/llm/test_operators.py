@@ -126,8 +126,8 @@ def test_exact_dedup(docs, rows, none):
     want = Counter()
     for t, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
-        for i in ids:
-            want[(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest())] += 1
+        for k, i in enumerate(ids):
+            want[(i, keep, len(ids), k == ids.index(keep), hashlib.sha256(t.encode()).hexdigest())] += 1  # one row stays
     assert Counter(map(tuple, exact_dedup.deduplicate(docs).collect())) == want
     assert exact_dedup.deduplicate(none).count() == 0
     assert exact_dedup.keep_one(docs).columns == docs.columns
