@@ -3,8 +3,9 @@
 Texts are cut into pre-tokens.  A task gathers its documents into blocks; a
 block holds its distinct words once and, for every document, the positions as
 indices into them.  The words of all blocks are dealt out by their hash, packed
-into parcels, so each distinct word meets itself in one partition and is
-encoded once; its ids go back to every block that holds it, and the block puts
+into parcels; a partition takes one parcel after the other, and a distinct word
+is in one parcel only, so it is encoded once and a task remembers the words of
+one parcel at a time; its ids go back to every block that holds it, and the block puts
 its documents together by position.  Decoding looks the ids up in the token-byte table.
 """
 
@@ -18,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliograph.llm.common import cut
 from foliograph.llm.vocab import piece_encoder, pieces, token_bytes, vocabulary_path
 
-#: Distinct words whose ids a task holds; a partition has fewer where partitions follow the input.
-REMEMBERED = 1_000_000
 #: A block is closed at this many pre-tokens (a longer document is a block of its own).
 BLOCK_TOKENS = 2_000_000
 
@@ -71,7 +71,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_parcels: int, want_words: bool)
     total = 0
 
     def block() -> pa.RecordBatch:
-        mark = hashlib.blake2b(np.array(ids, "<i8").tobytes() + np.array(lens, "<i8").tobytes(), digest_size=8)
+        mark = hashlib.blake2b(repr([i for i in ids if i is None]).encode() + np.array([i or 0 for i in ids], "<i8").tobytes() + np.array(lens, "<i8").tobytes(), digest_size=8)
         raw = [w.encode() for w in seen]
         mark.update(np.array([len(raw), zlib.crc32(b"\0".join(raw))], "<i8").tobytes())
         key = int.from_bytes(mark.digest(), "little", signed=True)
@@ -124,9 +124,12 @@ def _encoded(path: str):
 
         one = piece_encoder(path)
         known: dict[bytes, bytes] = {}
+        now = None
         for batch in batches:
             out = []
-            for packed in batch.column("words").to_pylist():
+            for parcel, packed in zip(batch.column("parcel").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if parcel != now:  # parcels come sorted, and share no words
+                    now, known = parcel, {}
                 words = _strings(packed)
                 for w in words:
                     if w not in known:
@@ -134,8 +137,6 @@ def _encoded(path: str):
                 ids = [known[w] for w in words]
                 flat = np.frombuffer(b"".join(ids), "<u4")
                 out.append(_pack(np.array([len(ids)], "<u4").tobytes() + _planes(np.array([len(x) // 4 for x in ids], "<u4")) + _planes(flat)))
-                if len(known) > REMEMBERED:  # partitions have far fewer distinct words, unless there are too few partitions
-                    known.clear()
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("parcel"), pa.array(out, pa.binary())], ["block", "parcel", "ids"])
 
     return encode
@@ -197,20 +198,22 @@ def encode(df: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", folde
     Returns one row for each row of ``df``: doc_id, n_tokens, ids_sha256,
     decoded_sha256 and, if asked for, the ids themselves (array<int>).  Null
     and empty texts have no tokens; a null doc_id stays null; repeated rows
-    are encoded each for itself; an empty table gives an empty result.
+    are encoded each for itself; other columns are not read; an empty table
+    gives an empty result.
 
-    The input is read twice, once for the words and once for the positions,
-    and must return the same rows in the same order (files do); a difference
-    is an error and never a wrong result.
+    The input is read twice, once for the words and once for the positions.
+    What is not a plain scan of files, and might come in another order the
+    second time, is written first; a difference is an error and never a wrong
+    result.
     """
     path = vocabulary_path(vocabulary, folder)
-    # null ids travel as the smallest long
-    none = -(2**63)
-    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(none)).alias("row_id"), F.col(text).alias("text"))
+    docs = df.select(F.col(doc_id).cast("long").alias("row_id"), F.col(text).alias("text"))
+    if any(x in docs._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Python", "Sample", "InMemory", "Coalesce")):
+        docs = cut(docs, "bpe-input")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = docs.mapInArrow(lambda b: _blocks(b, PARCELS * n, False), BLOCKS)
     words = docs.mapInArrow(lambda b: _blocks(b, PARCELS * n, True), WORDS)
-    encoded = words.repartition(n, "parcel").mapInArrow(_encoded(path), "block long, parcel int, ids binary")
+    encoded = words.repartition(n, "parcel").sortWithinPartitions("parcel").mapInArrow(_encoded(path), "block long, parcel int, ids binary")
     schema = "row_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     back = whole.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assembled(path, with_ids), schema)
-    return back.select(F.when(F.col("row_id") != none, F.col("row_id")).alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []))
+    return back.select(F.col("row_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []))

@@ -10,8 +10,10 @@ zstandard reader passes over:
   size, decompressed size and the low 32 bits of the xxh64 of its content,
   then the footer: number of frames, descriptor 0x80, 0x8F92EAB1.
 
-A frame's content: uint32 number of documents, their int64 ids, their uint32
-numbers of ids, then all ids as little-endian uint32.
+A frame's content: uint32 number of documents, their int64 ids, a byte for each
+that is 1 where the id is null, their uint32 numbers of ids, then all ids as
+little-endian uint32.  Null ids come first; the index has the smallest long for
+them.
 """
 
 from __future__ import annotations
@@ -24,17 +26,20 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import new_path
-from foliograph.llm.vocab import pieces, tokenizer, vocabulary_path
+from foliograph.llm.vocab import added_tokens, pieces, tokenizer, vocabulary_path
 
 #: Fixed values of the zstandard formats.
 SKIP_INDEX, SKIP_SEEK, SEEK_FOOT = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: A frame is closed at this many bytes of content (a longer document is a frame of its own).
 FRAME_BYTES = 1 << 20
+#: Stands for a null id beside its flag.
+NULL = -(2**63)
 #: Words whose ids a worker remembers at most in each of two generations.
 REMEMBERED = 550_000
 
@@ -48,9 +53,10 @@ def _store(uri: str):
 class ShardWriter:
     """Writes one shard under another name and moves it to its own when it is whole."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, frame_bytes: int = FRAME_BYTES):
         import zstandard
 
+        self.frame_bytes = frame_bytes
         self.uri, self.zstd = uri, zstandard.ZstdCompressor(level=1)
         self.fs, self.path = _store(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
@@ -67,9 +73,9 @@ class ShardWriter:
         self.parts: list[bytes] = []
         self.size = 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         """ids: little-endian uint32."""
-        if self.size and self.size + len(ids) > FRAME_BYTES:
+        if self.size and self.size + len(ids) > self.frame_bytes:
             self._frame()
         self.ids.append(doc_id)
         self.counts.append(len(ids) // 4)
@@ -80,11 +86,12 @@ class ShardWriter:
         import xxhash
 
         n = len(self.ids)
-        content = struct.pack(f"<I{n}q{n}I", n, *self.ids, *self.counts) + b"".join(self.parts)
+        plain = [NULL if i is None else i for i in self.ids]
+        content = struct.pack(f"<I{n}q{n}B{n}I", n, *plain, *[i is None for i in self.ids], *self.counts) + b"".join(self.parts)
         packed = self.zstd.compress(content)
         self.out.write(packed)
         self.frames.append((len(packed), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
-        self.index.append((self.ids[0], self.n_docs, self.n_ids))
+        self.index.append((plain[0], self.n_docs, self.n_ids))
         self.n_docs += n
         self.n_ids += sum(self.counts)
         self._new()
@@ -126,7 +133,7 @@ class ShardReader:
         self.file.seek(start)
         return self.file.read(n)
 
-    def frame(self, k: int) -> Iterator[tuple[int, int, bytes]]:
+    def frame(self, k: int) -> Iterator[tuple[int | None, int, bytes]]:
         """doc_id, number of ids before it in the shard, its ids."""
         import xxhash
         import zstandard
@@ -136,10 +143,10 @@ class ShardReader:
         if len(content) != full or xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != check:
             raise ValueError(f"frame {k}: checksum differs")
         (n,) = struct.unpack_from("<I", content)
-        ids, counts = struct.unpack_from(f"<{n}q", content, 4), struct.unpack_from(f"<{n}I", content, 4 + 8 * n)
-        at, before = 4 + 12 * n, self.index[k][2]
-        for doc_id, m in zip(ids, counts, strict=True):
-            yield doc_id, before, content[at : at + 4 * m]
+        ids, nil, counts = struct.unpack_from(f"<{n}q", content, 4), content[4 + 8 * n : 4 + 9 * n], struct.unpack_from(f"<{n}I", content, 4 + 9 * n)
+        at, before = 4 + 13 * n, self.index[k][2]
+        for doc_id, none, m in zip(ids, nil, counts, strict=True):
+            yield None if none else doc_id, before, content[at : at + 4 * m]
             at += 4 * m
             before += m
 
@@ -157,13 +164,17 @@ class ShardReader:
 class Words:
     """Ids of the words met lately: two generations of dictionaries, which outlive a task in its worker.
 
-    A word that is in neither is encoded again; what is remembered only saves time.
+    A word that is in neither is encoded again; what is remembered only saves
+    time.  A text that names an added token is left to the library as a whole.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.young, self.old = tokenizer(path), {}, {}
+        self.tokenizer, self.added, self.young, self.old = tokenizer(path), added_tokens(path), {}, {}
 
     def encode(self, text: str) -> bytes:
+        if self.added is not None and self.added.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         words = pieces(text)
         parts = list(map(self.young.get, words))
         if None in parts:
@@ -195,31 +206,33 @@ def _encoder(path: str, end: int):
     return lambda text: words.encode(text) + end_bytes if text else end_bytes
 
 
-def write(df: DataFrame, uri: str, vocabulary: str = "byte_bpe_50k.json", folder: str | None = None, end: int = 2, text: str = "text", doc_id: str = "doc_id") -> list[tuple[str, int, int, int]]:
+def write(df: DataFrame, uri: str, vocabulary: str = "byte_bpe_50k.json", folder: str | None = None, end: int = 2, text: str = "text", doc_id: str = "doc_id", frame_bytes: int = FRAME_BYTES) -> list[tuple[str, int, int, int]]:
     """Encode every text, append the end id and write shards in ascending doc_id order.
 
     Returns one row a shard, in order: path, ids before it, documents, ids.
-    Null and empty texts hold the end id only; a null doc_id is written as the
-    smallest long and so comes first; rows of one doc_id follow each other by
-    text.  An empty table writes no shard.
+    Null and empty texts hold the end id only; null doc_ids come first; rows of
+    one doc_id follow each other by a hash of their text, and may be in several
+    shards.  Other columns are not read.  An empty table writes no shard.
     """
     path = vocabulary_path(vocabulary, folder)
-    rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(F.col(doc_id).cast("long").alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("n", F.monotonically_increasing_id())
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, encode, to = TaskContext.get().partitionId(), None, None
-        first = None
         for batch in batches:
-            if to is None and len(batch):
-                encode, to, first = _encoder(path, end), ShardWriter(f"{uri}/shard-{k:06d}.zst"), int(batch["row_id"].iloc[0])
-            for row_id, one in zip(batch["row_id"], batch["text"], strict=True):
-                to.add(int(row_id), encode(one))
+            if to is None and batch.num_rows:
+                encode, to = _encoder(path, end), ShardWriter(f"{uri}/shard-{k:06d}.zst", frame_bytes)
+            for row_id, one in zip(batch.column("row_id").to_pylist(), batch.column("text"), strict=True):
+                to.add(row_id, encode(one.as_py()))
         if to is not None:
             docs, ids = to.close()
-            yield pd.DataFrame({"shard": [k], "uri": [to.uri], "first_id": [first], "docs": [docs], "ids": [ids]})
+            yield pa.RecordBatch.from_pylist([{"shard": k, "uri": to.uri, "docs": docs, "ids": ids}], schema=pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    made = rows.repartitionByRange(n, "row_id").sortWithinPartitions("row_id", "text").mapInPandas(shard, "shard int, uri string, first_id long, docs long, ids long")
+    # by id, then by hash and number, so that the rows of one id are split like others
+    dealt = rows.repartitionByRange(n, F.asc_nulls_first("row_id"), "h", "n").sortWithinPartitions(F.asc_nulls_first("row_id"), "h", "n")
+    made = dealt.select("row_id", "text").mapInArrow(shard, "shard int, uri string, docs long, ids long")
     out, before = [], 0
     for r in sorted(made.collect()):  # one row a shard
         out.append((r["uri"], before, r["docs"], r["ids"]))
@@ -238,11 +251,10 @@ def read(spark, shards: list[tuple[str, int, int, int]]) -> DataFrame:
             for uri, before in zip(batch["uri"], batch["before"], strict=True):
                 reader = ShardReader(uri)
                 for k in range(len(reader.frames)):
-                    yield pd.DataFrame([(d, int(before) + at, len(ids) // 4, zlib.crc32(ids)) for d, at, ids in reader.frame(k)], columns=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pd.DataFrame([(d, int(before) + at, len(ids) // 4, zlib.crc32(ids)) for d, at, ids in reader.frame(k)], columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     listed = spark.createDataFrame([(u, b) for u, b, _, _ in shards], "uri string, before long").repartition(len(shards))
-    back = listed.mapInPandas(rows, out)
-    return back.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
+    return listed.mapInPandas(rows, out)
 
 
 def write_and_read(df: DataFrame, **options) -> DataFrame:

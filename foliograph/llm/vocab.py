@@ -65,6 +65,11 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
+
+
+@functools.cache
+def added_tokens(path: str):
+    """A pattern for the tokens that the library cuts out of a text before anything else; None if there are none."""
+    found = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
+    return re.compile("|".join(map(re.escape, found))) if found else None

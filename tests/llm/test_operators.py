@@ -185,27 +185,51 @@ def test_nearest_neighbours_of_repeated_rows(spark):
 
 def test_token_files(spark, docs, rows, none, tmp_path):
     import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    of = lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+    got = tokenfile.write_and_read(docs).orderBy("start").collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((r[0], len(of(r[1])), zlib.crc32(of(r[1]).tobytes())) for r in rows)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: -1 if i is None else i)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+    assert [r.start for r in got] == [r.start for r in tokenfile.write_and_read(docs.repartition(5)).orderBy("start").collect()]
+    assert tokenfile.write_and_read(none).count() == 0
+
 
-    t = vocab.tokenizer(P.path("byte_bpe_50k.json"))
-    want, start = [], 0
-    for r in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")):
-        ids = np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4")
-        want.append((r[0], start, len(ids), zlib.crc32(ids.tobytes())))
-        start += len(ids)
-    assert Counter(map(tuple, tokenfile.write_and_read(docs).collect())) == Counter(want)
-    shards = tokenfile.write(docs, f"file://{tmp_path}/shards")
-    one = [r for r in rows if r[0] == 103][0]
-    found = {}
-    for uri, *_ in shards:
-        found |= tokenfile.ShardReader(uri).documents([103])
-    assert len(found[103]) // 4 == len(t.encode(one[1], add_special_tokens=False).ids) + 1
-    path = shards[0][0].removeprefix("file://")
+def test_token_files_added_tokens_as_the_library_does(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    mark = next(iter(t.get_added_tokens_decoder().values())).content
+    texts = [f"a {mark} b", mark, mark * 3, f"x{mark}y {mark[:-1]}", f"  {mark}\n\n", "plain"]
+    got = {r.doc_id: r.ids_crc32 for r in tokenfile.write_and_read(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, x in enumerate(texts):
+        assert got[k] == zlib.crc32(np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes()), x
+
+
+def test_token_files_frames(spark, tmp_path):
+    """Several frames a shard: any document is read from its own frames, and a broken frame spoils no other."""
+    texts = {k: f"document {k} " + "word " * (k % 50) for k in range(400)}
+    df = spark.createDataFrame([*texts.items(), (None, "n" * 50)], "doc_id long, text string").coalesce(1)
+    shards = tokenfile.write(df, f"file://{tmp_path}/shards", frame_bytes=500)
+    assert min(len(tokenfile.ShardReader(u).frames) for u, *_ in shards) > 3
+    whole = {r.doc_id: r.ids_crc32 for r in tokenfile.read(spark, shards).collect()}
+    for wanted in ([0], [399], [17, 203, 398], [1000]):
+        found = {}
+        for uri, *_ in shards:
+            found |= tokenfile.ShardReader(uri).documents(wanted)
+        assert {k: zlib.crc32(v) for k, v in found.items()} == {k: whole[k] for k in wanted if k in whole}
+    reader = tokenfile.ShardReader(shards[0][0])
+    path, at = shards[0][0].removeprefix("file://"), reader.starts[1] + 9
     raw = bytearray(open(path, "rb").read())
-    raw[20] ^= 255
+    raw[at] ^= 255
     open(path, "wb").write(raw)
+    reader = tokenfile.ShardReader(shards[0][0])
+    assert list(reader.frame(0)) and list(reader.frame(2))
     with pytest.raises(Exception):  # noqa: B017
-        list(tokenfile.ShardReader(shards[0][0]).frame(0))
-    assert tokenfile.write_and_read(none).count() == 0
+        list(reader.frame(1))
 
 
 def luhn(s):
