@@ -11,6 +11,7 @@ logistic model over the counts of hits gives the score.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import zlib
@@ -24,21 +25,27 @@ from pyspark.sql import functions as F
 
 from foliograph.llm.common import cut
 
-#: Bounds of the sample that the classifier is fitted on, and of what it learns.
+#: Bound of the sample that the classifier is fitted on; what it learns is bounded by it alone.
 MAX_ROWS = 20_000
-MAX_TERMS = 400
-MAX_CANDIDATES = 20_000
 #: A term's counts must be likelier by this much with a toxic rate of its own.
 LEAST_GAIN = 18
-#: Words longer than this do not become terms.
-MAX_WORD = 40
 STEMS = (4, 5, 6, 7, 8)
+#: Misspellings are matched of terms in at least this share of the sample's toxic rows: what is near a
+#: seldom word is as likely another word.
+SPELLED_SHARE = 0.01
 THRESHOLD = 0.7
 #: Words that report what others said, and marks that open a quotation; fixed values.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quoting cites cited word words term insult insults dit écrit appelle mot citation sagt sagte schrieb nannte wort zitat dijo escribió llamó palabra cita".split())
 ADDRESSING = frozenset("you your you're youre u ur tu te toi vous du dich dir dein ihr usted ustedes vosotros eres".split())
-QUOTES = "\"“”«»„‟‘’'`>"
-
+#: Pairs of marks that hold a quotation; it ends before a line does.  A single mark opens
+#: after something else than a letter and closes before it; a line that begins with > is quoted as a whole.
+QUOTED = re.compile(
+    r"\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]|«[^»\n]+»|‘[^’\n]+’(?!\w)|`[^`\n]+`|(?<!\w)'(?=\w)[^\n']*(?:(?<=\w)'(?=\w)[^\n']*)*'(?!\w)|^[ \t]*>[^\n]*", re.M
+)
+QUOTES = frozenset("\"“”«»„‘`")
+
+#: Signs that commonly stand beside a word.
+SIGNS = ".,;:!?()[]\"'“”„«»…"
 WORD = re.compile(r"[^\W\d_]+")
 #: Words with digits or signs between their letters.
 RUN = re.compile(r"[^\W\d_]+(?:(?:[^\w\s]|[\d_])+[^\W\d_]+)+")
@@ -58,10 +65,11 @@ class Automaton:
         self.ends: dict[int, str] = {}
         self.begins: dict[int, str] = {}
         self.most = [0]
+        self.allowed = {t: allowance(t) if share >= SPELLED_SHARE and not t.endswith("*") else 0 for t, share in terms.items()}
         for term in terms:
             stem = term.endswith("*")
             body = term.rstrip("*")
-            allowed = 0 if stem else allowance(body)
+            allowed = self.allowed[term]
             node = 0
             self.most[0] = max(self.most[0], allowed)
             for c in body:
@@ -73,10 +81,50 @@ class Automaton:
                 node = nxt
                 self.most[node] = max(self.most[node], allowed)
             (self.begins if stem else self.ends)[node] = term
+        #: children, each with the most errors that a term beyond it allows
+        self.reach = [[(k, self.most[k]) for k in x.values() if self.most[k]] for x in self.children]
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
+        #: letters that lead anywhere in the trie; all others take one and the same step
+        self.labels: list[frozenset] = []
         self.start = self._state(self._closed({(0, 0)}))
+        self._pieces(terms)
+
+    def _pieces(self, terms: dict[str, float]) -> None:
+        """Pieces of the terms, with the lengths of the words that may hold them, as tables by length and place.
+
+        With k errors at most, one of k + 1 pieces of a term is untouched: the
+        first begins the word, the last ends it, the middle one has moved by
+        one letter at most.
+        """
+        self.pieces: dict[tuple[str, int, int], dict[str, tuple[int, float]]] = {}
+
+        def put(place: str, at: int, piece: str, lo: int, hi: float) -> None:
+            table = self.pieces.setdefault((place, len(piece), at), {})
+            a, b = table.get(piece, (lo, hi))
+            table[piece] = (min(a, lo), max(b, hi))
+
+        for term in terms:
+            body, n = term.rstrip("*"), len(term.rstrip("*"))
+            k = self.allowed[term]
+            at = [n * i // (k + 1) for i in range(k + 2)]
+            put("head", 0, body[: at[1]], n - k, math.inf if term.endswith("*") else n + k)
+            if k:
+                put("tail", 0, body[at[k] :], n - k, n + k)
+            if k == 2:
+                for shift in (-1, 0, 1):
+                    put("inside", at[1] + shift, body[at[1] : at[2]], n - k, n + k)
+        self.tables = [(place, m, at, table) for (place, m, at), table in self.pieces.items()]
+
+    def might(self, word: str) -> bool:
+        """Whether a piece of a term stands in its place in the word; if not, no term is near."""
+        n = len(word)
+        for place, m, at, table in self.tables:
+            r = table.get(word[-m:] if place == "tail" else word[at : at + m])
+            if r is not None and r[0] <= n <= r[1]:
+                return True
+        return False
 
     def _closed(self, pairs: set) -> frozenset:
         """With the letters of terms that a word may lack."""
@@ -102,24 +150,46 @@ class Automaton:
             k = self.ids[s] = len(self.sets)
             self.sets.append(s)
             self.steps.append({})
+            self.labels.append(frozenset().union(*[self.children[node] for node, _ in s]))
         return k
 
     def _step(self, state: int, c: str) -> int:
-        out = set()
+        if c not in self.labels[state]:
+            nxt = self.steps[state].get("")
+            if nxt is not None:
+                self.steps[state][c] = nxt
+                return nxt
+        best: dict[int, int] = {}
+        most, children, reach = self.most, self.children, self.reach
         for node, e in self.sets[state]:
-            if e < self.most[node]:
-                out.add((node, e + 1))  # a letter too many
-            for letter, child in self.children[node].items():
-                if letter == c:
-                    out.add((child, e))
-                elif e < self.most[child]:
-                    out.add((child, e + 1))  # another letter
-        nxt = self._state(self._closed(out))
+            spare = e < most[node]
+            if spare and e + 1 < best.get(node, 9):
+                best[node] = e + 1  # a letter too many
+            child = children[node].get(c)
+            if child is not None and e < best.get(child, 9):
+                best[child] = e
+            if spare:
+                for child, allowed in reach[node]:
+                    if e < allowed and e + 1 < best.get(child, 9):
+                        best[child] = e + 1  # another letter
+        # with the letters of terms that a word may lack
+        todo = list(best.items())
+        for node, e in todo:
+            if e < most[node] and best[node] == e:
+                for child, allowed in reach[node]:
+                    if e < allowed and e + 1 < best.get(child, 9):
+                        best[child] = e + 1
+                        todo.append((child, e + 1))
+        nxt = self._state(frozenset(best.items()))
         self.steps[state][c] = nxt
+        if c not in self.labels[state]:
+            self.steps[state][""] = nxt
         return nxt
 
     def match(self, word: str) -> tuple[str, str] | None:
         """(kind, term) of the nearest term: exact, begun or near."""
+        if not self.might(word):
+            return None
         state, begun = self.start, None
         for c in word:
             nxt = self.steps[state].get(c)
@@ -132,7 +202,7 @@ class Automaton:
         near = None
         for node, e in self.sets[state]:
             term = self.ends.get(node)
-            if term is not None and e <= allowance(term):
+            if term is not None and e <= self.allowed[term]:
                 if e == 0:
                     return "exact", term
                 if begun is None and (near is None or (e, term) < near):
@@ -155,7 +225,7 @@ class Automaton:
                 if at >= end and at + 1 in ends:
                     for node, e in self.sets[state]:
                         term = self.ends.get(node)
-                        if term is not None and e <= allowance(term) and (best is None or (e, term) < best[:2]):
+                        if term is not None and e <= self.allowed[term] and (best is None or (e, term) < best[:2]):
                             best = (e, term, at + 1)
             if best is not None:
                 free = best[2]
@@ -169,69 +239,113 @@ def allowance(term: str) -> int:
 
 
 class Scorer:
-    """Features of a text; words already met are not matched anew."""
+    """Features of a text; words already met are not matched anew.
+
+    What is remembered depends on the terms alone, not on the words that are
+    no misspellings (``proper``), so passes over one lexicon share it.
+    """
 
     def __init__(self, terms: dict[str, float], proper: frozenset[str] = frozenset()):
-        self.terms, self.proper, self.automaton, self.known, self.runs = terms, proper, Automaton(terms), {}, {}
+        self.terms, self.proper, self.automaton = terms, proper, Automaton(terms)
+        self.plain: set[str] = set()
+        self.rich: dict[str, tuple] = {}
+
+    def hits(self, low: str) -> dict[str, tuple[str, str]]:
+        """(kind, term) of the words of a text in lower case that have one, and of runs with digits or signs in them.
+
+        Neither reaches over white space, so a text's distinct tokens say it
+        all, and those known to hold nothing are left out at once.
+        """
+        hits, parts = {}, []
+        for token in set(low.split()) - self.plain:
+            found = self.rich.get(token)
+            if found is None:
+                found = self._found(token)
+                if not found[0] and not found[1]:
+                    if len(self.plain) > 1_000_000:
+                        self.plain.clear()
+                    self.plain.add(token)
+                    continue
+                if len(self.rich) > 200_000:
+                    self.rich.clear()
+                self.rich[token] = found
+            for w, k in found[0].items():
+                if k[0] != "near" or w not in self.proper:  # a word that clean documents use is no misspelling
+                    hits[w] = k
+            parts += found[1]
+        for part, term in parts:
+            if part not in self.proper and not any(w in hits for w in WORD.findall(part)):
+                hits[part] = ("near", term)
+        return hits
 
-    def match(self, word: str) -> tuple[str, str] | None:
-        """(kind, term) of a word; one that clean documents use is no misspelling."""
-        k = self.automaton.match(word)
-        return None if k is not None and k[0] == "near" and word in self.proper else k
-
-    def hits(self, low: str, words: list[str]) -> dict[str, tuple[str, str]]:
-        """(kind, term) of the words of a text in lower case that have one, and of runs with digits or signs in them."""
-        hits, known, runs = {}, self.known, self.runs
-        for w in set(words):
-            k = known.get(w, 0)
-            if k == 0:
-                if len(known) > 500_000:
-                    known.clear()
-                k = known[w] = self.match(w)
+    def _found(self, token: str) -> tuple[dict[str, tuple[str, str]], list[tuple[str, str]]]:
+        """Words of a token that have a term, and parts of its runs that are misspelt ones."""
+        core = token.strip(SIGNS)
+        if core.isalpha():  # one word
+            k = None if core in self.plain else self.automaton.match(core)
+            return ({} if k is None else {core: k}), []
+        words = {}
+        for w in WORD.findall(token):
+            k = self.automaton.match(w)
             if k is not None:
-                hits[w] = k
-        for run in set(RUN.findall(low)):
-            parts = runs.get(run)
-            if parts is None:
-                if len(runs) > 200_000:
-                    runs.clear()
-                parts = runs[run] = self.automaton.inside(run)
-            for part, term in parts:
-                if part not in self.proper and not any(w in hits for w in WORD.findall(part)):
-                    hits[part] = ("near", term)
-        return hits
+                words[w] = k
+        return words, [x for run in RUN.findall(token) for x in self.automaton.inside(run)]
 
     def features(self, text: str | None) -> list[float]:
         if not text or not self.terms:
             return [0.0] * len(FEATURES)
         low = text.lower()
-        words = WORD.findall(low)
-        hits = self.hits(low, words)
+        hits = self.hits(low)
         if not hits:
             return [0.0] * len(FEATURES)
+        words = WORD.findall(low)
         count, kinds = Counter(), Counter()
         quoted = addressed = 0
         terms_met = set()
         found = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, sorted(hits, key=len, reverse=True))) + r")(?![^\W\d_])")
+        spans = [m.span() for m in QUOTED.finditer(low)]
+        opened = [a for a, _ in spans]
         for m in found.finditer(low):
             kind, term = hits[m[0]]
             if (kind, term) not in terms_met:
                 terms_met.add((kind, term))
                 kinds[kind] += 1
             before, after = low[max(0, m.start() - 60) : m.start()], low[m.end() : m.end() + 60]
-            near_before = WORD.findall(before)[-5:]
-            close_by = before.rstrip()[-1:] in QUOTES and before.strip() != "" or after.lstrip()[:1] in QUOTES and after.strip() != ""
-            if close_by or REPORTING.intersection(near_before):
+            k = bisect.bisect_right(opened, m.start()) - 1
+            inside = k >= 0 and m.end() <= spans[k][1]
+            if inside or _reported(before):
                 quoted += 1
             else:
                 count[kind] += 1
-                if ADDRESSING.intersection(near_before) or ADDRESSING.intersection(WORD.findall(after)[:5]):
+                if ADDRESSING.intersection(WORD.findall(before)[-5:]) or ADDRESSING.intersection(WORD.findall(after)[:5]):
                     addressed += 1
         log = math.log1p
         total = count["exact"] + count["begun"] + count["near"]
         return [log(kinds["exact"]), log(count["exact"]), log(kinds["begun"]), log(count["begun"]), log(kinds["near"]), log(count["near"]), log(quoted), log(addressed), min(1.0, 20 * total / max(1, len(words)))]
 
 
+def _reported(before: str) -> bool:
+    """Whether one of the last words names what follows as someone's words, with no quotation or sentence closed since."""
+    words = list(WORD.finditer(before))[-5:]
+    last = [m.end() for m in words if m[0] in REPORTING]
+    return bool(last) and not any(c in QUOTES or c in ".!?\n" for c in before[last[-1] :])
+
+
+_scorers: dict = {}
+
+
+def scorer_of(terms: dict[str, float], proper: frozenset[str] = frozenset()) -> Scorer:
+    """The scorer of a lexicon; it outlives a task in its worker, and with it the states of its automaton."""
+    key = hash(frozenset(terms.items()))
+    if key not in _scorers:
+        if len(_scorers) > 2:
+            _scorers.clear()
+        _scorers[key] = Scorer(terms)
+    found = _scorers[key]
+    found.proper = proper
+    return found
+
+
 class Model:
     def __init__(self, terms: dict[str, float], weights: list[float], bias: float, prior: float, proper: frozenset[str] = frozenset()):
         self.terms, self.weights, self.bias, self.prior, self.proper = terms, weights, bias, prior, proper
@@ -253,15 +367,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text") -> Dat
     """At most MAX_ROWS labelled rows outside the held-out third: doc_id, text, toxic.
 
     Which ones is decided by a hash of the id.  Of several labels of one
-    document the largest counts; rows that repeat a document count each.
+    document the largest counts, of several texts of one id the smallest; null
+    ids and labels take no part, a null text counts as empty.
     """
     label = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = label.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
-    return docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def _words_of(text: str) -> set[str]:
-    return {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= MAX_WORD}
+    return {w for w in WORD.findall(text.lower()) if len(w) >= 3}
 
 
 def _terms(word: str) -> set[str]:
@@ -274,8 +390,12 @@ def _terms_of(text: str) -> set[str]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
-    """Fit lexicon and weights on the sample."""
-    rows = cut(training_rows(docs, labels, text), "toxic-sample")
+    """Fit lexicon and weights on the sample.
+
+    Without labelled rows, or with one kind of label only, the lexicon is empty
+    and every score is the same.  Other columns of both tables are not read.
+    """
+    rows = cut(training_rows(docs, labels, text).repartition(2 * docs.sparkSession.sparkContext.defaultParallelism), "toxic-sample")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yes, no = Counter(), Counter()
@@ -297,7 +417,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     both = F.col("yes") + F.col("no")
     gain = 2 * (F.col("yes") * F.log(F.col("yes") / both / base) + F.when(F.col("no") > 0, F.col("no") * F.log(F.col("no") / both / (1 - base))).otherwise(0.0))
     per = per.where((F.col("yes") >= 3) & (F.col("yes") / n_yes > 8 * (F.col("no") + 0.5) / n_no)).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
-    found = {r["term"]: (r["yes"], r["no"]) for r in per.orderBy(F.desc("gain"), "term").limit(MAX_CANDIDATES).collect()}
+    found = {r["term"]: (r["yes"], r["no"]) for r in per.collect()}  # as many as the sample has terms that pass
 
     # which of the found terms cover the words of each toxic document of the sample
     held = rows.sparkSession.sparkContext.broadcast(set(found))
@@ -311,10 +431,10 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
 
     # words near a term that clean documents of the sample use too much for a term
     def nearby(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(terms)
+        scorer = scorer_of(terms)
         for b in batches:
             low = [(t or "").lower() for t in b["text"]]
-            near = [[w for w, k in scorer.hits(t, WORD.findall(t)).items() if k[0] == "near"] for t in low]
+            near = [[w for w, k in scorer.hits(t).items() if k[0] == "near"] for t in low]
             yield pd.DataFrame({"toxic": b["toxic"], "word": near}).explode("word").dropna().astype({"toxic": "int32", "word": "str"})
 
     seen = rows.mapInPandas(nearby, "toxic int, word string").groupBy("word").agg(F.sum((F.col("toxic") > 0).cast("long")).alias("yes"), F.sum((F.col("toxic") <= 0).cast("long")).alias("no"))
@@ -323,7 +443,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     # weights, on the counts that the scorer itself makes
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(terms, proper)
+        scorer = scorer_of(terms, proper)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "x": [scorer.features(t) for t in b["text"]]})
 
@@ -345,7 +465,7 @@ def _gain(yes: float, no: float, n_yes: int, n_no: int) -> float:
 
 
 def choose(holds: list[list[list[str]]], found: dict[str, tuple[int, int]], n_yes: int, n_no: int) -> dict[str, float]:
-    """The whole words found, so that each keeps its misspellings, and the beginnings that add to them, one after another.
+    """The whole words found, so that each keeps its misspellings, and the beginnings that add to them: term to share of toxic rows.
 
     ``holds`` names, for each toxic document, the found terms of each of its
     words.  A beginning is judged by the documents in which it covers a word
@@ -358,13 +478,12 @@ def choose(holds: list[list[list[str]]], found: dict[str, tuple[int, int]], n_ye
             for t in terms:
                 by_term.setdefault(t, set()).add((k, n))
     whole = sorted((t for t in by_term if not t.endswith("*")), key=lambda t: (-_gain(*found[t], n_yes, n_no), t))
-    chosen = {t: float(found[t][0]) for t in whole if found[t][0] - 3 * found[t][1] >= least}
-    chosen = dict(list(chosen.items())[:MAX_TERMS])
+    chosen = {t: found[t][0] / n_yes for t in whole if found[t][0] - 3 * found[t][1] >= least}
     covered = set().union(*(by_term[t] for t in chosen))
     import heapq
 
     heap = [(-float("inf"), t) for t in sorted(by_term) if t.endswith("*")]
-    while heap and len(chosen) < MAX_TERMS:
+    while heap:
         top, t = heapq.heappop(heap)
         adds = len({k for k, n in by_term[t] - covered})
         # of beginnings that add as much, the longer is more exact
@@ -374,7 +493,7 @@ def choose(holds: list[list[list[str]]], found: dict[str, tuple[int, int]], n_ye
         if heap and key > heap[0][0] and key != top:
             heapq.heappush(heap, (key, t))
             continue
-        chosen[t] = float(adds)
+        chosen[t] = adds / n_yes
         covered |= by_term[t]
     return chosen
 
@@ -413,7 +532,7 @@ def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model.terms, model.proper)
+        scorer = scorer_of(model.terms, model.proper)
         for b in batches:
             s = [model.score(scorer.features(t)) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": s})
@@ -424,11 +543,16 @@ def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id
 
 
 def keep_clean(df: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` whose text scores below the threshold."""
+    """The rows of ``df`` whose text scores below the threshold, with all their columns.
+
+    Null and empty texts have no hits and stay (unless all that was learnt from
+    is toxic); repeated rows are judged each for itself; columns may have any
+    name.  An empty table gives an empty result.
+    """
     columns = df.columns
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.terms, model.proper)
+        scorer = scorer_of(model.terms, model.proper)
         for b in batches:
             keep = [model.score(scorer.features(t)) < threshold for t in b.column(columns.index("text")).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -351,6 +351,28 @@ def test_toxicity_edges(spark, docs, rows, none):
     assert said[0][6] > 0 and said[0][1] == 0 and said[1][1] > 0 and said[1][7] > 0
 
 
+def test_toxicity_quotations_are_paired():
+    scorer = toxicity.Scorer({"idiot": 1.0})
+    quoted, exact = toxicity.FEATURES.index("quoted"), toxicity.FEATURES.index("exact")
+    for text in ('"you are an idiot and more" he wrote', "he called me an idiot", "“what an idiot”", "> you idiot\nno", "the word 'idiot' is rude", "it's 'the idiot's end' there", "«idiot»", "`idiot`"):
+        x = scorer.features(text)
+        assert x[quoted] > 0 and x[exact] == 0, text
+    for text in ("you idiot's friend", 'she said "hello there" idiot', "don't, idiot, don't", "so he said it. idiot", '"well" idiot "well"', "a > b idiot", "idiot"):
+        x = scorer.features(text)
+        assert x[quoted] == 0 and x[exact] > 0, text
+
+
+def test_toxicity_learns_all_terms_of_its_rows(spark):
+    """More terms than any fixed number, long ones too; rows that repeat an id are one."""
+    bad = [f"zq{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}x{'y' * (60 if k < 20 else 3)}" for k in range(520)]
+    rows = [(k, f"plain words here {bad[k // 12]} and there", 1) for k in range(6240)] + [(10_000 + k, "plain words here and there", 0) for k in range(20_000)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1, "plain words")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels).groupBy("doc_id").count().where("count > 1").count() == 0
+    terms = toxicity.learn(docs, labels).terms
+    assert len(terms) > 420 and any(len(t) > 60 for t in terms)
+
+
 def test_toxicity_digits_and_signs_for_letters():
     scorer = toxicity.Scorer(dict.fromkeys(["idiot", "stupid", "trash", "loser"], 1.0))
     near = toxicity.FEATURES.index("near_kinds")
