@@ -1,10 +1,17 @@
 """Main text of web pages by two passes of block rules.
 
-The first pass classifies every block by the share of stop words, its length,
-the share of its text inside links and where it stands; ambiguous short blocks
+The first pass classifies every block by the share of stop words, its length
+and the share of its text inside links; ambiguous blocks, short ones above all,
 are left open.  The second pass gives each open block the label of its nearest
 decided neighbours.  (After Pomikálek, "Removing Boilerplate and Duplicate
 Content from Web Corpora", 2011.)
+
+Structure is a feature beside these.  What stands in navigation, footers,
+forms and the like is left out, as scripts are.  Names of classes count only as
+whole names, on containers, and only if the container does not hold the page's
+prose.  An <article> counts where it holds most of the page's prose: then its
+open blocks look at neighbours in it alone, and text outside it has to be long
+and dense to be open at all.
 """
 
 from __future__ import annotations
@@ -43,10 +50,16 @@ HIDDEN_TAGS = frozenset("script style noscript template svg math head title ifra
 CHROME_TAGS = frozenset("nav footer aside form menu dialog".split())
 ARTICLE_TAGS = frozenset("article main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CHROME_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|copyright|discussion|disqus|footer|gdpr|legal|masthead|menu|nav|navbar|navigation|newsletter|notice|notices|notification|pager|pagination|popup|modal|promo\w*|related|replies|reply|respond|responses|share|sharing|sidebar|site-?header|page-?header|skip|social|sponsor\w*|subscribe|subscription|tagcloud|teaser|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+#: Words of class names for what is no article, and words that may stand beside them.
+CHROME_WORDS = frozenset(
+    """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright
+    discussion disqus footer gdpr legal masthead menu nav navbar navigation newsletter notice notices notification pager
+    pagination popup modal promo promotion promoted related replies reply respond responses share sharing sidebar skip social sponsor
+    sponsored subscribe subscription tagcloud teaser toolbar widget""".split()
 )
+NEUTRAL_WORDS = frozenset("site page main top bottom left right side box block bar wrap wrapper area section container inner outer list item items header links link btn button buttons group panel content text thread form policy and or the m s".split())
+#: Elements whose names say nothing: text itself, and what holds a page.
+UNNAMED_TAGS = frozenset("body html article main p h1 h2 h3 h4 h5 h6 blockquote pre td em strong b i span a".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 COMMENT_TYPE = re.compile(r"(?:comment|usercomments)", re.I)
 
@@ -58,40 +71,61 @@ WORDS = re.compile(r"[^\W\d_]+")
 MANY_LINKS = 0.33
 SHORT, LONG = 70, 200
 FEW_STOP_WORDS, MANY_STOP_WORDS = 0.18, 0.3
+#: Text in an article is open, and no longer bad, up to this share of links.
+MOST_LINKS = 0.8
 
 
 class Block:
-    __slots__ = ("parts", "linked", "chrome", "article", "heading", "listed")
+    __slots__ = ("parts", "linked", "chrome", "named", "article", "heading", "listed", "stops", "links")
 
-    def __init__(self, chrome: bool, article: bool, heading: bool, listed: bool):
+    def __init__(self, chrome: bool, named: tuple[int, ...], article: int, heading: bool, listed: bool):
         self.parts: list[str] = []
         self.linked = 0
-        self.chrome, self.article, self.heading, self.listed = chrome, article, heading, listed
-
-
-def _chrome(tag: str, attributes: str, article: bool) -> bool:
-    """Whether an element with these attributes holds something else than the article."""
-    if tag in CHROME_TAGS or tag == "header" and not article:
-        return True
-    if not attributes or tag in ("body", "html", "article", "main"):
-        return False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
-        if name in ("class", "id") and CHROME_NAMES.search(value) or name == "role" and value.lower() in CHROME_ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("itemtype", "itemprop") and COMMENT_TYPE.search(value):
+        #: whether left out; containers whose names speak against it; number of its article, 0 for none
+        self.chrome, self.named, self.article, self.heading, self.listed = chrome, named, article, heading, listed
+
+
+def _chrome_name(value: str) -> bool:
+    """Whether one of the names says that this is no article: all its words do, but for words that say nothing."""
+    for name in value.lower().split():
+        words = [w for w in re.split(r"[-_]+", name) if w not in NEUTRAL_WORDS]
+        if words and all(w in CHROME_WORDS for w in words):
             return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, Block]]:
-    """The page's blocks that hold text, in order, with white space made even."""
+def _chrome(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
+    """Whether an element is left out for what it is, and whether its name (or its being a form) speaks against it."""
+    hard = tag in CHROME_TAGS and tag != "form" or tag == "header" and not article
+    soft = tag == "form"
+    if attributes and tag not in ("body", "html"):
+        for name, a, b, c in ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), a or b or c
+            if name in ("class", "id"):
+                soft = soft or tag not in UNNAMED_TAGS and _chrome_name(value)
+            elif name == "role":
+                hard = hard or value.lower() in CHROME_ROLES
+            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                hard = True
+            elif name in ("itemtype", "itemprop"):
+                soft = soft or bool(COMMENT_TYPE.search(value))
+    return hard, soft
+
+
+def blocks(page: str) -> tuple[list[tuple[str, Block]], set[int]]:
+    """The page's blocks that hold text, in order, with white space made even; and the named containers that hold an article."""
     out: list[Block] = []
-    # open elements: name, whether it began chrome, article, link or heading
-    stack: list[tuple[str, bool, bool, bool, bool]] = []
-    chrome = article = links = headings = 0
+    # open elements: name, whether left out, number of the named container, article before, link, heading
+    stack: list[tuple[str, bool, int, int, bool, bool]] = []
+    # how many elements of each name are open, for endings; a table or article hides what stands before it
+    scopes: list[dict[str, int]] = [{}]
+    barriers: dict[str, int] = {}
+    block_at: list[int] = []  # places of block elements in the stack
+    link_at: list[int] = []
+    named: list[int] = []
+    holds_article: set[int] = set()
+    unclosed: set[str] = set()
+    chrome = article = articles = links = headings = containers = 0
     current: Block | None = None
     at, n = 0, len(page)
 
@@ -100,7 +134,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         if current is None:
             if not raw.strip():
                 return
-            current = Block(chrome > 0, article > 0, headings > 0, any(x[0] == "li" for x in stack[-3:]))
+            current = Block(chrome > 0, tuple(named), article, headings > 0, any(x[0] == "li" for x in stack[-3:]))
             out.append(current)
         plain = entities.unescape(raw) if "&" in raw else raw
         current.parts.append(plain)
@@ -108,13 +142,25 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             current.linked += len("".join(plain.split()))
 
     def close(k: int) -> None:
+        """Close the elements from the k-th on."""
         nonlocal chrome, article, links, headings
-        for _, c, a, link, h in stack[k:]:
+        while len(stack) > k:
+            tag, c, container, before, link, h = stack.pop()
+            if tag in SCOPES:
+                scopes.pop()
+                barriers[tag] -= 1
+            else:
+                scopes[-1][tag] -= 1
+            if block_at and block_at[-1] == len(stack):
+                block_at.pop()
+            if link:
+                link_at.pop()
             chrome -= c
-            article -= a
+            if container:
+                named.pop()
+            article = before
             links -= link
             headings -= h
-        del stack[k:]
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -132,11 +178,13 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             if tag in BLOCK_TAGS:
                 current = None
             if not attributes.endswith("/"):
-                over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                over = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 if over:
                     at = over.end()
-                elif tag in ("script", "style", "textarea", "title", "template"):
-                    at = n
+                else:
+                    unclosed.add(tag)
+                    if tag in ("script", "style", "textarea", "title", "template"):
+                        at = n
             continue
         if tag == "br":
             if current is not None:
@@ -145,107 +193,152 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         if tag in BLOCK_TAGS:
             current = None
         if ending:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in ("article", "main", "body", "table") and tag not in ("article", "main", "body", "html", "table"):
-                    break  # an ending without its beginning
+            # an ending without its beginning closes nothing
+            if barriers.get(tag) if tag in SCOPES else scopes[-1].get(tag):
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in VOID_TAGS or attributes.endswith("/"):
             continue
-        if tag in BLOCK_TAGS:  # a paragraph, and what stands open in it, ends where a block begins
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK_TAGS:
-                    break
-        inside = article > 0
-        c, a, link, h = _chrome(tag, attributes, inside), tag in ARTICLE_TAGS, tag == "a", tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        top = block_at[-1] if block_at else -1
+        if tag in BLOCK_TAGS and top >= 0:  # a paragraph, and what stands open in it, ends where a block begins
+            over = stack[top][0]
+            if over == "p" or tag in ("li", "dt", "dd", "tr", "td", "th", "option") and over == tag:
+                close(top)
+                top = block_at[-1] if block_at else -1
+        link = tag == "a"
+        if link and link_at and link_at[-1] > top:
+            close(link_at[-1])
+        hard, soft = _chrome(tag, attributes, article > 0)
+        if soft:
+            containers += 1
+        stack.append((tag, hard, containers if soft else 0, article, link, tag in HEADINGS))
+        if tag in SCOPES:
+            scopes.append({})
+            barriers[tag] = barriers.get(tag, 0) + 1
+        else:
+            scopes[-1][tag] = scopes[-1].get(tag, 0) + 1
+        if tag in BLOCK_TAGS:
+            block_at.append(len(stack) - 1)
         if link:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][3]:
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK_TAGS:
-                    break
-        stack.append((tag, c, a, link, h))
-        chrome += c
-        article += a
+            link_at.append(len(stack) - 1)
+        if soft:
+            named.append(containers)
+        if tag in ARTICLE_TAGS and not article:
+            articles += 1
+            article = articles
+            if not chrome:
+                holds_article.update(named)
+        chrome += hard
         links += link
-        headings += h
+        headings += tag in HEADINGS
     found = []
     for b in out:
         joined = " ".join("".join(b.parts).split())
         if joined:
+            words = WORDS.findall(joined.lower())
+            b.stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+            b.links = b.linked / max(1, len(joined) - joined.count(" "))
             found.append((joined, b))
-    return found
+    return found, holds_article
 
 
-def first_pass(text: str, b: Block, in_article_page: bool) -> str:
-    """good, bad or open."""
-    solid = len(text) - text.count(" ")
-    link_share = b.linked / max(1, solid)
-    if b.chrome:
-        return "bad"
-    if b.article:
-        # structure speaks for it: only a block that is nearly all links, as of a menu, speaks against
-        if link_share > 0.8 and (b.listed or len(text) < SHORT):
-            return "open"
-        return "good" if len(text) >= SHORT or link_share == 0 and not b.heading else "open"
-    if link_share > MANY_LINKS:
-        return "bad"
-    if in_article_page or text.startswith(("©", "Copyright", "copyright")):
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hide what is open before them from endings within.
+SCOPES = frozenset("article main body html table".split())
+
+
+def prose(text: str, b: Block) -> str:
+    """good, bad or open by stop words, length and links alone."""
+    if b.links > MANY_LINKS:
         return "bad"
-    words = WORDS.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if len(text) < SHORT:
         return "open"
-    if stops >= MANY_STOP_WORDS:
+    if b.stops >= MANY_STOP_WORDS or b.stops >= FEW_STOP_WORDS and len(text) >= LONG:
         return "good"
-    if stops >= FEW_STOP_WORDS:
-        return "good" if len(text) >= LONG else "open"
-    return "open" if len(text) >= LONG or stops > 0 else "bad"
+    if b.stops >= FEW_STOP_WORDS:
+        return "open"
+    return "bad" if len(text) >= LONG else "open"
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page: its blocks in page order, joined by one space."""
-    if not page:
-        return ""
-    found = blocks(page)
-    in_article_page = any(b.article and not b.chrome for _, b in found)
-    labels = [first_pass(t, b, in_article_page) for t, b in found]
-    n = len(labels)
-    before, after = [None] * n, [None] * n
-    last = None
-    for k in range(n):
-        if labels[k] != "open":
-            last = (labels[k], k)
-        before[k] = last
-    last = None
-    for k in range(n - 1, -1, -1):
-        if labels[k] != "open":
-            last = (labels[k], k)
-        after[k] = last
-    kept = []
+def first_pass(found: list[tuple[str, Block]], holds_article: set[int]) -> tuple[list[str], list[int]]:
+    """A label for each block, good, bad or open; and the article each block counts to (0: none)."""
+    labels = ["bad" if b.chrome else prose(t, b) for t, b in found]
+    bulk = [len(t) if label == "good" else 0 for (t, _), label in zip(found, labels, strict=True)]
+    total = sum(bulk)
+    inside: dict[int, int] = {}
+    for (_, b), k in zip(found, bulk, strict=True):
+        for c in b.named:
+            inside[c] = inside.get(c, 0) + k
+    # a name does not outvote an article in its container, nor most of the prose of a page that has no article elsewhere
+    elsewhere = any(b.article and not b.chrome and not b.named for _, b in found)
+    refuted = {c for c, k in inside.items() if c in holds_article or 2 * k > total and not elsewhere}
+    stands = [not b.chrome and all(c in refuted for c in b.named) for _, b in found]
+    within = sum(k for (_, b), k, s in zip(found, bulk, stands, strict=True) if b.article and s)
+    without = sum(k for (_, b), k, s in zip(found, bulk, stands, strict=True) if not b.article and s)
+    has_article = any(b.article and s for (_, b), s in zip(found, stands, strict=True)) and within >= without
+    home = [b.article if has_article and s else 0 for (_, b), s in zip(found, stands, strict=True)]
     for k, (t, b) in enumerate(found):
-        label = labels[k]
+        if not stands[k]:
+            labels[k] = "bad"
+        elif home[k]:
+            # in the article: what no rule speaks for is open, unless it is a long listing of links
+            if labels[k] == "bad" and (b.links <= MOST_LINKS or len(t) < SHORT):
+                labels[k] = "open"
+        elif has_article:
+            # beside it: only long, dense text is open
+            labels[k] = "open" if labels[k] == "good" and len(t) >= LONG and b.stops >= MANY_STOP_WORDS else "bad"
+        elif b.article and len(t) < LONG:
+            labels[k] = "bad" if labels[k] != "good" or b.links > 0 or without > 2 * within else "good"  # cards beside the story
+        elif t.startswith(("©", "Copyright", "copyright")):
+            labels[k] = "bad"
+    return labels, home
+
+
+def second_pass(found: list[tuple[str, Block]], labels: list[str], home: list[int]) -> list[str]:
+    """Open blocks take the label of their nearest decided neighbours; those of an article look at neighbours in it."""
+    n = len(labels)
+
+    def nearest(order: range) -> list:
+        out: list = [None] * n
+        last: dict[int, tuple[str, int]] = {}
+        for k in order:
+            out[k] = last.get(home[k]) if home[k] else last.get(0)
+            if labels[k] != "open":
+                last[0] = (labels[k], k)
+                if home[k]:
+                    last[home[k]] = (labels[k], k)
+        return out
+
+    before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
+    out = []
+    for k, label in enumerate(labels):
         if label == "open":
             p, q = before[k], after[k]
             if p is None and q is None:
-                label = "good"  # nothing speaks against the page's only text
+                # nothing is decided near it: short text stands for itself, longer text had its chance
+                label = "good" if len(found[k][0]) < SHORT or found[k][1].links <= MANY_LINKS else "bad"
             elif p is None or q is None:
                 label = (p or q)[0]
             elif p[0] == q[0]:
                 label = p[0]
-            elif b.heading:
+            elif found[k][1].heading:
                 label = q[0]  # a heading belongs to what follows it
             else:
-                label = p[0] if k - p[1] < q[1] - k else q[0] if q[1] - k < k - p[1] else "bad"
-        if label == "good":
-            kept.append(t)
-    return " ".join(kept)
+                label = p[0] if k - p[1] < q[1] - k else q[0] if q[1] - k < k - p[1] else "good" if home[k] else "bad"
+        out.append(label)
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The article of a page: its blocks in page order, joined by one space."""
+    if not page:
+        return ""
+    found, holds_article = blocks(page)
+    labels, home = first_pass(found, holds_article)
+    return " ".join(t for (t, _), label in zip(found, second_pass(found, labels, home), strict=True) if label == "good")
 
 
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -90,6 +90,78 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+PROSE = "<p>This is the story of a town in which all of the people were of the same mind, and it was the best of times for them.</p>"
+
+
+def test_html_names_and_articles():
+    story = lambda n: " ".join([PROSE[3:-4]] * n)
+    for page, want in (
+        (f"<div class='content has-sidebar'><div>{PROSE * 3}</div></div>", story(3)),
+        (f"<div class='layout sidebar'><article>{PROSE * 3}</article></div>", story(3)),
+        (f"<article><h2 id='related-work'>Related work</h2>{PROSE}<h2 id='legal-notice-history'>Legal notice</h2><p id='share-of-market'>{PROSE[3:-4]}</p></article>", f"Related work {story(1)} Legal notice {story(1)}"),
+        (f"<form><div>{PROSE * 3}</div></form>", story(3)),
+        (f"<article><a href=x>Card one</a></article><article><a href=y>Card two of the day</a></article><div class=story>{PROSE * 4}</div>", story(4)),
+        (f"<nav>{PROSE}</nav><div>{PROSE * 3}</div><div class='comments-area'><p>I think that this is the best of all of the articles that I have read in the paper of the day.</p></div>", story(3)),
+        (f"<article><h1>Junk</h1><p>{'Reed ' * 40}</p></article><div class=ad>{PROSE[3:-4]}</div>", "Junk " + ("Reed " * 40).strip()),
+        ("<article><h1>T</h1><p>Es.</p></article><footer>of the day</footer>", "T Es."),
+    ):
+        assert html.main_text(page) == want
+
+
+def test_html_both_passes_decide(monkeypatch):
+    """Without an article element, stop words, links and neighbours make the text what it is."""
+    links = "<div>" + "".join(f"<a href={k}>The news of the day and of the town {k}</a> " for k in range(6)) + "</div>"
+    keys = f"<div>{'chair table lamp sofa desk shelf ' * 8}</div>"
+    page = f"{links}<h2>Short head</h2>{PROSE * 2}<p>So it was.</p>{PROSE}{keys}<div>tags here</div>{links}"
+    want = html.main_text(page)
+    assert want == "Short head " + " ".join([PROSE[3:-4]] * 2) + " So it was. " + PROSE[3:-4]
+    for name, value in (("STOP_WORDS", frozenset()), ("MANY_LINKS", 2.0), ("second_pass", lambda found, labels, home: labels), ("prose", lambda t, b: "open")):
+        with monkeypatch.context() as m:
+            m.setattr(html, name, value)
+            assert html.main_text(page) != want, name
+
+
+def test_html_second_pass_on_the_test_pages(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    want = [html.main_text(p) for p in pages]
+    monkeypatch.setattr(html, "second_pass", lambda found, labels, home: labels)
+    assert sum(a != html.main_text(p) for a, p in zip(want, pages, strict=True)) > len(pages) / 2
+
+
+def test_html_second_pass_is_nearest_neighbours():
+    """Against brute force."""
+
+    class B:
+        heading, links = False, 0.0
+
+    for _ in range(500):
+        n = R.randint(1, 9)
+        labels = [R.choice(["good", "bad", "open", "open"]) for _ in range(n)]
+        got = html.second_pass([("x" * 10, B)] * n, labels, [0] * n)
+        for k in range(n):
+            decided = sorted((abs(j - k), labels[j]) for j in range(n) if labels[j] != "open")
+            left = [labels[j] for j in range(k, -1, -1) if labels[j] != "open"][:1]
+            right = [labels[j] for j in range(k, n) if labels[j] != "open"][:1]
+            if labels[k] != "open":
+                want = labels[k]
+            elif not decided:
+                want = "good"
+            elif not left or not right or left == right:
+                want = (left or right)[0]
+            else:
+                want = "bad" if len(decided) > 1 and decided[0][0] == decided[1][0] else decided[0][1]
+            assert got[k] == want
+
+
+def test_html_malformed_pages_take_linear_time():
+    import time
+
+    for page in ("<i>" * 100_000 + "</b>" * 100_000, "<i>" * 6_000 + "</b>" * 6_000, "<i>" * 6_000 + "<div></div>" * 60_000, "<svg>" * 100_000, "<table>" + "<i>" * 100_000 + "</table>", "<a>" * 100_000):
+        began = time.time()
+        html.main_text(page)
+        assert time.time() - began < 3
+
+
 def test_bpe(docs, rows, none):
     import public_tokenizers as P
     import tiktoken
