@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from foliograph.llm.common import cut
 
-#: Bounds of the fit: rows of the sample and number of centroids.
-SAMPLE_ROWS = 20_000
-MOST_LISTS = 2_048
+#: Bounds of the fit: rows of the sample, and number of centroids, which grows with the table up to here
+#: (1.6 million rows); beyond that lists grow, and are split over tasks.
+SAMPLE_ROWS = 32_768
+MOST_LISTS = 8_192
 #: Rows that a list should have.
 LIST_ROWS = 200
 #: A list or the queries of one are split beyond this.
@@ -50,9 +51,12 @@ class Graph:
         near = np.zeros((n, 0), int)
         if n > 1:
             k = min(NEIGHBOURS, n - 1)
-            d = self.square[None, :] - 2 * self.c @ self.c.T
-            np.fill_diagonal(d, np.inf)
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            parts = []
+            for at in range(0, n, 1024):
+                d = self.square[None, :] - 2 * self.c[at : at + 1024] @ self.c.T
+                d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+                parts.append(np.argsort(d, axis=1, kind="stable")[:, :k])
+            near = np.concatenate(parts)
             # a ring keeps every centroid within reach
             near = np.concatenate([near, (np.arange(n)[:, None] + [1, n - 1]) % n], axis=1)
         self.near = near
@@ -189,7 +193,7 @@ def _measured(rows: DataFrame, posted: DataFrame, graph: Graph, trials, k: int)
 
     order = Window.partitionBy("trial").orderBy("d", "vec_id")
     true = rows.mapInArrow(nearest, "trial int, vec_id long, d double").groupBy("trial", "vec_id").agg(F.min("d").alias("d")).withColumn("n", F.row_number().over(order)).where(F.col("n").between(2, k + 1))  # the first is the row itself
-    pairs = posted.select("list", "vec_id").join(F.broadcast(true.select("trial", "vec_id")), "vec_id").select("trial", "vec_id", "list").collect()  # TRIALS * (k + 1) * COPIES rows
+    pairs = posted.select("list", "vec_id").join(F.broadcast(true.select("trial", "vec_id")), "vec_id").select("trial", "vec_id", "list").distinct().collect()  # TRIALS * k ids, each in the lists of its rows
     d = np.sqrt(np.maximum((trials**2).sum(1)[:, None] + graph.square[None] - 2 * trials @ graph.c.T, 0))
     least = np.maximum(d.min(1), 1e-9)
     need: dict[tuple[int, int], float] = {}
@@ -201,7 +205,7 @@ def _measured(rows: DataFrame, posted: DataFrame, graph: Graph, trials, k: int)
     return ratio, max(BEAM, 2 * read)
 
 
-def search(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", vector: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
+def search(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", vector: str = "embedding", queries: DataFrame | None = None, report: dict | None = None) -> DataFrame:
     """The k nearest found of every query: query_id, rank, vec_id, score.
 
     Queries are the rows whose id is divisible by ``every``, or the table
@@ -210,7 +214,10 @@ def search(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", v
     id.  Null, zero, or vectors with null or non-finite components take no
     part, neither do vectors of another length than most of the sample; rows
     that repeat an id are candidates once, with the larger score.  Queries
-    with fewer than k candidates get them all.
+    with fewer than k candidates get them all.  Of query rows that repeat an
+    id, the larger score of each candidate counts.  Other columns are not read,
+    and an empty table gives an empty result.  ``report`` takes the number of
+    lists, and of those read for a query on average.
     """
     import numpy as np
 
@@ -273,6 +280,8 @@ def search(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", v
 
     reads = cut(asked.mapInArrow(ask, f"list int, vec_id long, vector {kind}"), "ann-reads")
     read_sizes = {r["list"]: r["n"] for r in reads.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if report is not None:
+        report.update(lists=int((size > 0).sum()), lists_read=sum(read_sizes.values()) / max(1, asked.count()), ratio=ratio)
     # row shards and query shards of each list; a task joins one of each
     shards = spark.createDataFrame([(c, -(-m // SPLIT_ROWS), -(-read_sizes.get(c, 1) // SPLIT_ROWS)) for c, m in sizes.items()], "list int, shards int, turns int")
     dealt = lambda table, mine: table.join(F.broadcast(shards), "list").withColumn(mine[0], F.pmod(F.xxhash64("vec_id"), F.col(mine[1])).cast("int"))

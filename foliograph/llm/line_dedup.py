@@ -18,8 +18,9 @@ from foliograph.llm.common import cut, join_small
 
 #: A line on more than this share of a host's pages is boilerplate ...
 RATIO = 0.3
-#: ... if it is on so many pages at least.
-LEAST_PAGES = 3
+#: ... if it is repeated: on one page it is no boilerplate, whatever its share (by the ratio alone,
+#: every line of a host of up to three pages would go).
+LEAST_PAGES = 2
 
 HIDDEN = ("script", "style", "head", "noscript", "template")
 BLOCKS = "address|article|aside|blockquote|body|br|dd|details|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
@@ -66,7 +67,9 @@ def deduplicate(df: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, p
     drop = cut(boilerplate(lines, ratio, least), "line-boilerplate")
     size = F.aggregate("drop", F.lit(0), lambda a, x: a + F.octet_length(x))
     out = join_small(lines, drop, "host", "left", size=size)
-    stays = F.filter("lines", lambda line: ~F.array_contains("drop", line))
+    # the page's own share of its host's dropped lines comes from a hash set
+    out = out.withColumn("own", F.array_intersect("lines", "drop"))
+    stays = F.filter("lines", lambda line: ~F.array_contains("own", line))
     out = out.withColumn("stays", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(stays))
     return out.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stays")).cast("long").alias("n_dropped"), F.array_join("stays", "\n").alias("text"))
 

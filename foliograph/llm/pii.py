@@ -40,11 +40,13 @@ GENERATORS = (
 ALL_KINDS = (*KINDS, "secret", "ssn", "iban")
 #: Code points before a span that count as its surroundings.
 CONTEXT = 40
+#: Code points after it, up to the next match.
+AFTER = 12
 
 #: Arrays are built in parts of this many elements, so that a text with many spans costs no square of them.
 PART = 256
 
-SPAN = "array<struct<k:int,s:int,e:int,v:string,b:string>>"
+SPAN = "array<struct<k:int,s:int,e:int,v:string,b:string,a:string>>"
 KEPT = "array<struct<o:double,s:int,x:int,k:int,e:int>>"
 
 
@@ -69,13 +71,14 @@ def _whole(acc: Column) -> Column:
 def _found(text: Column, pattern: str, kind: int, needs: Column) -> Column:
     """All matches: array of (kind, start, end, value, text before), in code points; empty where ``needs`` is false."""
     # what stands between the matches says where they begin; after the last one there is a gap without a match
-    steps = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    gaps = F.split(text, pattern, -1)
+    steps = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("g"), F.transform(F.slice(gaps, F.lit(2), F.size(gaps)), lambda g: F.left(g, F.lit(AFTER))).alias("n"))
 
     def add(acc, x):
         s = acc["at"] + F.length(x["g"])
         e = s + F.length(x["m"])
         before = F.substring(F.concat(acc["tail"], x["g"]), -CONTEXT, CONTEXT)
-        span = F.struct(F.lit(kind).alias("k"), s.alias("s"), e.alias("e"), x["m"].alias("v"), before.alias("b"))
+        span = F.struct(F.lit(kind).alias("k"), s.alias("s"), e.alias("e"), x["m"].alias("v"), before.alias("b"), F.coalesce(x["n"], F.lit("")).alias("a"))
         return _with(acc, F.array(span), at=e, tail=F.substring(F.concat(acc["tail"], x["g"], x["m"]), -CONTEXT, CONTEXT))
 
     every = F.aggregate(F.filter(steps, lambda x: x["m"].isNotNull()), _parts(SPAN, at=F.lit(0), tail=F.lit("")), add, _whole)
@@ -112,10 +115,10 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def features(value: Column, before: Column, generator: int) -> dict[str, Column]:
+def features(value: Column, before: Column, generator: int, after: Column | None = None) -> dict[str, Column]:
     """Format and context features of a candidate; pii_model.measured() says the same in Python."""
     count = lambda p: F.length(value) - F.length(F.regexp_replace(value, p, ""))
-    low = F.lower(before)
+    low, after = F.lower(before), F.lit("") if after is None else after
     out = {
         "chars": F.length(value),
         "digits": count("[0-9]"),
@@ -131,6 +134,9 @@ def features(value: Column, before: Column, generator: int) -> dict[str, Column]
         "near_secret": low.rlike(pii_model.NEAR_SECRET).cast("int"),
         "near_identity": low.rlike(pii_model.NEAR_IDENTITY).cast("int"),
         "after_slash": before.rlike(r"[/.#@]$").cast("int"),
+        "near_hash": F.concat(low, F.lit(" "), F.lower(after)).rlike(pii_model.NEAR_HASH).cast("int"),
+        "ssn": value.rlike(pii_model.SSN).cast("int"),
+        "goes_on": after.rlike("^[/.@:%][A-Za-z0-9]").cast("int"),
         "generator": F.lit(generator),
     }
     return {k: v.cast("double") for k, v in out.items()}
@@ -157,7 +163,7 @@ def _judged(text: Column, generator: int, model: pii_model.Model) -> Column:
     k = ALL_KINDS.index(kind)
 
     def described(c):
-        return F.struct(c["s"].alias("s"), c["e"].alias("e"), *[v.alias(name) for name, v in features(c["v"], c["b"], generator).items()])
+        return F.struct(c["s"].alias("s"), c["e"].alias("e"), *[v.alias(name) for name, v in features(c["v"], c["b"], generator, c["a"]).items()])
 
     def judged(c):
         p = 1 / (1 + F.exp(-(F.lit(model.slope[kind]) * tree_sum(model, c) + F.lit(model.shift[kind]))))
@@ -218,7 +224,7 @@ def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, n_added, spans for every row of ``df``.
 
     Null counts as empty, and an empty text has no spans (base_sha256 is that
-    of the empty string).  Every row is handled for itself.
+    of the empty string).  Every row is handled for itself; other columns are not read.
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.withColumn("_base", base_spans(F.col("_text")))
@@ -231,7 +237,10 @@ def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[{}]") -> DataFrame:
-    """``df`` with every span of its text replaced by its kind; overlapping base spans are replaced as one."""
+    """``df`` with every span of its text replaced by its kind; overlapping base spans are replaced as one.
+
+    Null texts stay null, empty ones empty; rows are handled each for itself.
+    """
     names = F.array(*[F.lit(mark.format(k)) for k in ALL_KINDS])
     t = F.col(text)
     base = base_spans(F.coalesce(t, F.lit("")))

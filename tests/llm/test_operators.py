@@ -216,6 +216,15 @@ def test_line_dedup(spark):
     assert line_dedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_line_dedup_small_hosts_and_long_lines(spark):
+    """Two pages of one host lose what both hold; one page loses nothing; long pages and lines are whole."""
+    long = "x" * 300_000
+    pages = [(1, "http://a.example/1", "<p>Menu</p><p>one</p>"), (2, "http://a.example/2", "<p>Menu</p><p>two</p>"), (3, "http://b.example/", "<p>Menu</p>"), (4, "http://c.example/1", f"<p>{long}</p>" + "<p>line</p>" * 20_000), (5, "http://c.example/2", f"<p>{long}</p><p>own</p>")]
+    got = {r.page_id: r for r in line_dedup.deduplicate(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[k].text for k in (1, 2, 3, 5)] == ["one", "two", "Menu", "own"]
+    assert got[4].n_dropped == 1 and got[4].n_lines == 20_001
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(600, 16))
@@ -243,6 +252,25 @@ def test_nearest_neighbours(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_nearest_neighbours_where_few_lists_are_read(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(300, 24))
+    v = centres[rng.integers(300, size=12_000)] + 0.35 * rng.normal(size=(12_000, 24))
+    report = {}
+    got = ann.search(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>"), report=report).collect()
+    unit = v / np.sqrt((v * v).sum(1))[:, None]
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 12_000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(found[q] & set(np.argsort(-s)[:5].tolist()))
+    assert report["lists"] >= 50 and report["lists_read"] < report["lists"] / 3
+    assert hits / (5 * 240) >= 0.9
+
+
 def test_nearest_neighbours_of_repeated_rows(spark):
     x = np.random.default_rng(2).normal(size=(60, 8))
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x) for _ in range(6)], "vec_id long, embedding array<double>")
@@ -365,11 +393,25 @@ def test_pii_features_and_trees_agree(spark):
         row = spark.range(1).select(*[c.alias(k) for k, c in cols.items()], pii.tree_sum(model, cols).alias("sum")).first().asDict()
         total = row.pop("sum")
         assert row == x and total == pytest.approx(model.raw(x))
-    kept = [(k, x, y) for k, x, y in pii_model.examples(99, 200)]
+    assert pii_model.measured("x", "", 1, ".com")["goes_on"] == 1
+    kept = [(k, x, y) for k, x, y in pii_model.unlike(99, 200)]
     right = sum((model.probability(k, x) >= model.threshold[k]) == bool(y) for k, x, y in kept)
     assert right / len(kept) > 0.9
 
 
+def test_pii_thresholds_select():
+    """Thresholds come from calibration, differ by kind, and moving one changes what is accepted."""
+    model, rows = pii_model.trained(), pii_model.unlike(77, 400)
+    assert len(set(model.threshold.values())) > 1 and all(0 < t < 1 for t in model.threshold.values())
+    for kind, at in model.threshold.items():
+        scored = [(model.probability(k, x), y) for k, x, y in rows if k == kind]
+        taken = [y for p, y in scored if p >= at]
+        assert sum(taken) / len(taken) >= 0.93 and sum(taken) >= 0.75 * sum(y for _, y in scored)
+    of = lambda kind, v, g, b: model.probability(kind, pii_model.measured(v, b, g)) >= model.threshold[kind]
+    assert not of("phone", "123-45-6789", 0, "my ssn is ") and of("ssn", "123-45-6789", 3, "my ssn is ")
+    assert not of("secret", "9fceb02d0ae598e95dc970b74767f19372d61af8", 1, "fixed by commit ") and of("secret", "0641917ea4e9feb9cda83477b57ac2654884f485", 1, 'token = "')
+
+
 def near(word, term, most):
     a = list(range(len(term) + 1))
     for k, c in enumerate(word, 1):
