@@ -44,6 +44,8 @@ QUOTED = re.compile(
 )
 QUOTES = frozenset("\"“”«»„‘`")
 
+#: Tokens without a term that a worker remembers in each of two generations; what is forgotten is matched again.
+REMEMBERED = 150_000
 #: Signs that commonly stand beside a word.
 SIGNS = ".,;:!?()[]\"'“”„«»…"
 WORD = re.compile(r"[^\W\d_]+")
@@ -248,6 +250,7 @@ class Scorer:
     def __init__(self, terms: dict[str, float], proper: frozenset[str] = frozenset()):
         self.terms, self.proper, self.automaton = terms, proper, Automaton(terms)
         self.plain: set[str] = set()
+        self.older: set[str] = set()
         self.rich: dict[str, tuple] = {}
 
     def hits(self, low: str) -> dict[str, tuple[str, str]]:
@@ -257,16 +260,16 @@ class Scorer:
         all, and those known to hold nothing are left out at once.
         """
         hits, parts = {}, []
-        for token in set(low.split()) - self.plain:
+        for token in set(low.split()) - self.plain - self.older:
             found = self.rich.get(token)
             if found is None:
                 found = self._found(token)
                 if not found[0] and not found[1]:
-                    if len(self.plain) > 1_000_000:
-                        self.plain.clear()
+                    if len(self.plain) >= REMEMBERED:
+                        self.plain, self.older = set(), self.plain
                     self.plain.add(token)
                     continue
-                if len(self.rich) > 200_000:
+                if len(self.rich) > 20_000:
                     self.rich.clear()
                 self.rich[token] = found
             for w, k in found[0].items():
@@ -402,7 +405,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 (yes if y else no).update(_terms_of(t or ""))
-            if len(no) + len(yes) > 300_000:
+            if len(no) + len(yes) > 200_000:
                 yield _counted(yes, no)
                 yes, no = Counter(), Counter()
         yield _counted(yes, no)
