@@ -45,7 +45,9 @@ QUOTED = re.compile(
 QUOTES = frozenset("\"“”«»„‘`")
 
 #: Tokens without a term that a worker remembers in each of two generations; what is forgotten is matched again.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
+#: States of an automaton that a worker keeps.
+MOST_STATES = 20_000
 #: Signs that commonly stand beside a word.
 SIGNS = ".,;:!?()[]\"'“”„«»…"
 WORD = re.compile(r"[^\W\d_]+")
@@ -85,13 +87,17 @@ class Automaton:
             (self.begins if stem else self.ends)[node] = term
         #: children, each with the most errors that a term beyond it allows
         self.reach = [[(k, self.most[k]) for k in x.values() if self.most[k]] for x in self.children]
+        self._forget()
+        self._pieces(terms)
+
+    def _forget(self) -> None:
+        """Begin with the first state alone; states are made again when words lead to them."""
         self.ids: dict[frozenset, int] = {}
-        self.sets: list[frozenset] = []
+        self.sets: list[tuple[int, ...]] = []
         self.steps: list[dict[str, int]] = []
         #: letters that lead anywhere in the trie; all others take one and the same step
         self.labels: list[frozenset] = []
         self.start = self._state(self._closed({(0, 0)}))
-        self._pieces(terms)
 
     def _pieces(self, terms: dict[str, float]) -> None:
         """Pieces of the terms, with the lengths of the words that may hold them, as tables by length and place.
@@ -142,7 +148,7 @@ class Automaton:
         for node, e in pairs:
             if e < best.get(node, 9):
                 best[node] = e
-        return frozenset(best.items())
+        return frozenset(node << 2 | e for node, e in best.items())
 
     def _state(self, s: frozenset) -> int:
         if not s:
@@ -150,9 +156,9 @@ class Automaton:
         k = self.ids.get(s)
         if k is None:
             k = self.ids[s] = len(self.sets)
-            self.sets.append(s)
+            self.sets.append(tuple(s))
             self.steps.append({})
-            self.labels.append(frozenset().union(*[self.children[node] for node, _ in s]))
+            self.labels.append(frozenset().union(*[self.children[x >> 2] for x in s]))
         return k
 
     def _step(self, state: int, c: str) -> int:
@@ -163,7 +169,8 @@ class Automaton:
                 return nxt
         best: dict[int, int] = {}
         most, children, reach = self.most, self.children, self.reach
-        for node, e in self.sets[state]:
+        for x in self.sets[state]:
+            node, e = x >> 2, x & 3
             spare = e < most[node]
             if spare and e + 1 < best.get(node, 9):
                 best[node] = e + 1  # a letter too many
@@ -182,7 +189,7 @@ class Automaton:
                     if e < allowed and e + 1 < best.get(child, 9):
                         best[child] = e + 1
                         todo.append((child, e + 1))
-        nxt = self._state(frozenset(best.items()))
+        nxt = self._state(frozenset([node << 2 | e for node, e in best.items()]))
         self.steps[state][c] = nxt
         if c not in self.labels[state]:
             self.steps[state][""] = nxt
@@ -192,17 +199,20 @@ class Automaton:
         """(kind, term) of the nearest term: exact, begun or near."""
         if not self.might(word):
             return None
+        if len(self.sets) > MOST_STATES:
+            self._forget()
         state, begun = self.start, None
         for c in word:
             nxt = self.steps[state].get(c)
             state = self._step(state, c) if nxt is None else nxt
             if state < 0:
                 return begun
-            for node, e in self.sets[state] if self.begins else ():
-                if e == 0 and node in self.begins:
-                    begun = ("begun", self.begins[node])
+            for x in self.sets[state] if self.begins else ():
+                if x & 3 == 0 and x >> 2 in self.begins:
+                    begun = ("begun", self.begins[x >> 2])
         near = None
-        for node, e in self.sets[state]:
+        for x in self.sets[state]:
+            node, e = x >> 2, x & 3
             term = self.ends.get(node)
             if term is not None and e <= self.allowed[term]:
                 if e == 0:
@@ -225,7 +235,8 @@ class Automaton:
                 if state < 0:
                     break
                 if at >= end and at + 1 in ends:
-                    for node, e in self.sets[state]:
+                    for x in self.sets[state]:
+                        node, e = x >> 2, x & 3
                         term = self.ends.get(node)
                         if term is not None and e <= self.allowed[term] and (best is None or (e, term) < best[:2]):
                             best = (e, term, at + 1)
@@ -341,8 +352,7 @@ def scorer_of(terms: dict[str, float], proper: frozenset[str] = frozenset()) ->
     """The scorer of a lexicon; it outlives a task in its worker, and with it the states of its automaton."""
     key = hash(frozenset(terms.items()))
     if key not in _scorers:
-        if len(_scorers) > 2:
-            _scorers.clear()
+        _scorers.clear()  # one lexicon at a time
         _scorers[key] = Scorer(terms)
     found = _scorers[key]
     found.proper = proper
