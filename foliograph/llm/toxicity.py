@@ -45,9 +45,9 @@ QUOTED = re.compile(
 QUOTES = frozenset("\"“”«»„‘`")
 
 #: Tokens without a term that a worker remembers in each of two generations; what is forgotten is matched again.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 #: States of an automaton that a worker keeps.
-MOST_STATES = 20_000
+MOST_STATES = 6_000
 #: Signs that commonly stand beside a word.
 SIGNS = ".,;:!?()[]\"'“”„«»…"
 WORD = re.compile(r"[^\W\d_]+")
