@@ -5,7 +5,7 @@ Plain DataFrame functions over ledger tables; none of them collects rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as X
@@ -94,7 +94,8 @@ def paginate(df: DataFrame, page: int, size: int, *order) -> DataFrame:
 
 def latest(log: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     """The newest row of each key of an append-only log."""
-    return log.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq)))).where("_n = 1").drop("_n")
+    # max_by combines before it shuffles; no history is sorted
+    return log.groupBy(key).agg(F.max_by(F.struct(*log.columns), seq).alias("row")).select("row.*")
 
 
 def current_results(log: DataFrame) -> DataFrame:

@@ -52,16 +52,18 @@ def read_pointer(spark: SparkSession, root: str) -> dict | None:
 
 
 def write_pointer(spark: SparkSession, root: str, pointer: dict) -> None:
-    """Written under another name and renamed."""
+    """Written under another name and renamed over the old one, in one step."""
     fs, path = _hadoop(spark, f"{root}/active.json")
     _, staged = _hadoop(spark, f"{root}/active.json.new")
     out = fs.create(staged, True)
     out.write(json.dumps(pointer).encode())
     out.close()
-    if fs.exists(path):
-        fs.delete(path, False)
-    if not fs.rename(staged, path):
-        raise IndexProblem("index_pointer_not_written")
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    over = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(over, 1)
+    how[0] = over.OVERWRITE
+    where = path.makeQualified(fs.getUri(), fs.getWorkingDirectory())
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged.makeQualified(fs.getUri(), fs.getWorkingDirectory()), where, how)
 
 
 @dataclass
@@ -73,10 +75,10 @@ class Index:
 
 
 def build(docs: DataFrame, directory: str) -> int:
-    """Write postings sorted by token, so that a search skips all row groups but its tokens'."""
+    """Write postings sorted by token, so that a search skips all row groups but its tokens'; a frequent token is split by page."""
     spark = docs.sparkSession
     post = search.postings(docs)
-    post.repartitionByRange("token").sortWithinPartitions("token", "page_id").write.mode("overwrite").parquet(f"{directory}/postings")
+    post.repartitionByRange("token", "page_id").sortWithinPartitions("token", "page_id").write.mode("overwrite").parquet(f"{directory}/postings")
     search.lengths(docs).write.mode("overwrite").parquet(f"{directory}/lengths")
     spark.read.parquet(f"{directory}/lengths").agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("average"), F.lit(ANALYZER_VERSION).alias("analyzer")).coalesce(1).write.mode("overwrite").parquet(f"{directory}/corpus")
     return spark.read.parquet(f"{directory}/corpus").first()["documents"]

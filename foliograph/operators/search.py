@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,16 +73,29 @@ def index_documents(results: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str = "page_id", body: str = "body") -> DataFrame:
-    """(token, key, tf): a page's pairs are counted before anything moves."""
-    return docs.select(key, F.explode(X.bigrams(F.col(body))).alias("token")).groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"))
+    """(token, key, tf): a page's pairs are counted within its row, so nothing moves."""
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
+                keys, tokens, tfs = [], [], []
+                for k, low in enumerate(b.column("low").to_pylist()):
+                    tally = Counter(map("".join, zip(low, low[1:]))) if low else {}
+                    keys += [k] * len(tally)
+                    tokens += tally.keys()
+                    tfs += tally.values()
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), b.column("key").take(pa.array(keys, pa.int64())), pa.array(tfs, pa.int64())], ["token", key, "tf"])
 
-def postings_of(docs: DataFrame, grams: list[str], key: str = "page_id", body: str = "body") -> DataFrame:
-    """The postings of these pairs only, counted in the text; for a search without an index."""
+    rows = docs.select(F.col(key).alias("key"), F.lower(body).alias("low"))
+    return rows.mapInArrow(counted, f"token string, `{key}` {dict(rows.dtypes)['key']}, tf long")
+
+
+def tallies(docs: DataFrame, grams: list[str], key: str = "page_id", body: str = "body") -> DataFrame:
+    """key, length, and the frequency of each of these pairs (tf0, tf1, ...), counted in the text; for a search without an index."""
     low = F.lower(body)
     # overlapping occurrences: an empty match wherever the pair begins
-    each = F.array(*[F.struct(F.lit(g).alias("token"), F.regexp_count(low, F.lit("(?=" + re.sub(r"([^\w\s])", r"\\\1", g) + ")")).cast("long").alias("tf")) for g in grams])
-    return docs.select(key, F.explode(F.filter(each, lambda x: x["tf"] > 0)).alias("p")).select("p.token", key, "p.tf")
+    count = lambda g: F.when(low.contains(g), F.regexp_count(low, F.lit("(?=" + re.sub(r"([^\w\s])", r"\\\1", g) + ")"))).otherwise(0).cast("long")
+    return docs.select(key, F.greatest(F.length(low) - 1, F.lit(0)).cast("long").alias("length"), *[count(g).alias(f"tf{k}") for k, g in enumerate(grams)])
 
 
 def lengths(docs: DataFrame, key: str = "page_id", body: str = "body") -> DataFrame:
@@ -98,8 +114,24 @@ def rank(post: DataFrame, lens: DataFrame, query: Query, key: str = "page_id", m
         return lens.select(key, F.lit(0.0).alias("score")).limit(0)
     own = post.where(F.col("token").isin(*query.grams)) if query.grams else post.limit(0)
     df = {r["token"]: r["n"] for r in own.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as the query has pairs
-    weight = {g: math.log(1 + (n - d + 0.5) / (d + 0.5)) for g, d in df.items()}
     per = own.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "tf"))).alias("tfs")).join(lens, key)
+    return _scored(per, query, {g: F.element_at("tfs", F.lit(g)) for g in query.grams}, df, n, average, key, mode)
+
+
+def rank_texts(docs: DataFrame, query: Query, key: str = "page_id", body: str = "body", mode: str = "word_and") -> DataFrame:
+    """(key, score) of every match, from the texts themselves: one pass for the statistics, one for the scores, no shuffle."""
+    grams = query.grams
+    rows = tallies(docs, grams, key, body)
+    found = rows.agg(F.count(F.lit(1)), F.avg("length"), *[F.count_if(F.col(f"tf{k}") > 0) for k in range(len(grams))]).first()
+    if not found[0] or not query.words:
+        return rows.select(key, F.lit(0.0).alias("score")).limit(0)
+    tfs = {g: F.when(F.col(f"tf{k}") > 0, F.col(f"tf{k}")) for k, g in enumerate(grams)}
+    return _scored(rows, query, tfs, dict(zip(grams, found[2:], strict=True)), found[0], found[1], key, mode)
+
+
+def _scored(per: DataFrame, query: Query, tf_of: dict, df: dict[str, int], n: int, average: float, key: str, mode: str) -> DataFrame:
+    """Scores of rows that know their length and, by ``tf_of``, the frequency of each pair (null for none)."""
+    weight = {g: math.log(1 + (n - d + 0.5) / (d + 0.5)) for g, d in df.items()}
     norm = K1 * (1 - B + B * F.col("length") / F.lit(float(average or 1)))
     scored = lambda tf, idf: F.lit(idf) * tf * (K1 + 1) / (tf + norm)
     total, hit, must = F.lit(0.0), F.lit(False), F.lit(True)
@@ -109,7 +141,7 @@ def rank(post: DataFrame, lens: DataFrame, query: Query, key: str = "page_id", m
                 must = F.lit(False)
             continue
         distinct = list(dict.fromkeys(grams))
-        tfs = [F.element_at("tfs", F.lit(g)) for g in distinct]
+        tfs = [tf_of[g] for g in distinct]
         if mode == "any_bigram":
             here = F.lit(False)
             part = F.lit(0.0)
@@ -144,10 +176,11 @@ def enrich(hits: DataFrame, results: DataFrame, assets: DataFrame, strict: bool
     # at most MOST hits, found once
     hits = hits.sparkSession.createDataFrame([tuple(x) for x in hits.limit(MOST).collect()], hits.schema)
     small = F.broadcast(hits)
-    full = r.join(small, "page_id").join(assets.select("image_hash", F.col("file_path").alias("image_path")), "image_hash", "left").drop("image_hash")
-    if strict:
-        lost = hits.join(r.select("page_id"), "page_id", "left_anti").count()
-        if lost:
-            raise LookupError(f"{lost} hits have no current analysis")
+    full = small.join(r.join(F.broadcast(hits.select("page_id")), "page_id").withColumn("known", F.lit(True)), "page_id", "left" if strict else "inner")
+    full = full.join(assets.select("image_hash", F.col("file_path").alias("image_path")), "image_hash", "left").drop("image_hash")
+    if strict:  # told when the rows are asked for, in the same join
+        lost = F.raise_error(F.concat(F.lit("a hit has no current analysis: "), "page_id"))
+        full = full.withColumn("page_id", F.when(F.col("known"), F.col("page_id")).otherwise(lost))
+    full = full.drop("known")
     place = F.row_number().over(Window.orderBy(F.desc("score"), "page_id"))
     return full.withColumn("rank", place).withColumn("image_available", F.col("image_path").isNotNull())

@@ -594,7 +594,7 @@ scores AS (SELECT page_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE
 
 def _ranked(docs, limit):
     q = search.parse(QUERY)
-    return search.top(search.rank(search.postings_of(docs, q.grams), search.lengths(docs), q), limit)
+    return search.top(search.rank_texts(docs, q), limit)
 
 
 @query(f"WITH idx AS (SELECT page_id, slice AS body FROM page_records), {WORD_AND} SELECT page_id, score FROM scores ORDER BY score DESC, page_id LIMIT 20")
@@ -610,9 +610,10 @@ def search_results(v):
     return search.enrich(hits, v.results, v.assets).select("page_id", "score", "rank", "document_id", "page_number", "original_filename", "title", "image_path", "image_available")
 
 
-@query("SELECT page_id, array_to_string(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), '|') AS grams FROM (SELECT page_id, lower(left(slice, 60)) AS t FROM page_records)")
+@query("SELECT page_id, length(t) - 1 AS grams, sha256(array_to_string(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), '|')) AS grams_sha256 FROM (SELECT page_id, lower(slice) AS t FROM page_records)")
 def bigrams(v):
-    return v.pages.select("page_id", F.array_join(X.bigrams(F.left("slice", F.lit(60))), "|").alias("grams"))
+    g = X.bigrams(F.col("slice"))
+    return v.pages.select("page_id", F.size(g).cast("long").alias("grams"), F.sha2(F.array_join(g, "|"), 256).alias("grams_sha256"))
 
 
 STATUS = """

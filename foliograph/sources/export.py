@@ -31,12 +31,18 @@ def job_lines(jobs: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, *order: str) -> None:
-    """Ordered over the whole export by ranges, not in one task; a failed write leaves nothing under the name."""
+    """Ordered over the whole export by ranges, not in one task; a failed write leaves the export before it, under its name or, if the job dies between two renames, beside it (.old)."""
     spark = lines.sparkSession
     staged = f"{path}.new"
     (lines.orderBy(*order) if order else lines).select("value").write.mode("overwrite").text(staged)
     jvm = spark.sparkContext._jvm
     old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
     fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    fs.delete(aside, True)
+    if fs.exists(old) and not fs.rename(old, aside):
+        raise OSError(f"{path} could not be put aside")
+    if not fs.rename(new, old):
+        fs.rename(aside, old)
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(aside, True)
