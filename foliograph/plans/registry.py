@@ -12,7 +12,7 @@ from foliograph.functions import text as X
 from foliograph.operators import ledger as L
 from foliograph.operators import lifecycle, search
 from foliograph.plans.views import SQL, Views
-from foliograph.sources import export
+from foliograph.sources import export, files
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -46,7 +46,8 @@ def scan_pages(v):
 
 @query("SELECT page_id, document_id, page_number, image_hash FROM page_records")
 def import_pages(v):
-    return v.pages.select("page_id", "document_id", "page_number", "image_hash")
+    docs = v.documents.select("document_id", "original_filename", F.encode("text", "UTF-8").alias("content"))
+    return files.render(docs).where("error IS NULL").select("page_id", "document_id", "page_number", "image_hash")
 
 
 @query("SELECT document_id, count(*) AS pages FROM slices GROUP BY document_id")
@@ -81,7 +82,9 @@ def image_mime(v):
 
 @query("SELECT page_id, '第 ' || page_number || ' 页' AS title, 'mock analysis text' AS bm25_text, image_hash FROM page_records")
 def mock_analysis(v):
-    return v.pages.select("page_id", F.format_string("第 %d 页", "page_number").alias("title"), F.lit("mock analysis text").alias("bm25_text"), "image_hash")
+    made = files.analyse(v.pages.join(v.assets.select("image_hash", F.col("file_path").alias("image_path")), "image_hash"))
+    of = lambda p, name: F.get_json_object("record", p).alias(name)
+    return made.select("page_id", of("$.analysis.title", "title"), of("$.retrieval.bm25_text", "bm25_text"), of("$.image_hash", "image_hash"))
 
 
 # --- sinks
