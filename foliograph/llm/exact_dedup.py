@@ -26,6 +26,8 @@ from foliograph.llm.common import bits_of, cut, join_counted, located, new_path,
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Megabytes of one state store's write buffer, and of all stores of an executor; what is beyond lies on disk.
+STORE_BUFFER_MB, STORES_MB = "8", "128"
 #: Micro-batches that a stored table is streamed in.
 BATCHES = 3
 
@@ -48,7 +50,19 @@ def stream_state(spark: SparkSession, path: str, schema, checkpoint: str, log: s
     """Stream the files under ``path`` that the checkpoint has not seen through the state; the state after the last batch."""
     files, kept = spark.read.schema(schema).parquet(path).inputFiles(), {}
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-len(files) // BATCHES))).parquet(path)
-    options = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.minBatchesToRetain": "2"}
+    rocks = "spark.sql.streaming.stateStore.rocksdb"
+    options = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKS,
+        f"{rocks}.changelogCheckpointing.enabled": "true",
+        f"{rocks}.allowFAllocate": "false",
+        # an executor holds many small stores: small buffers for each, one bounded cache for all
+        f"{rocks}.writeBufferSizeMB": STORE_BUFFER_MB,
+        f"{rocks}.boundedMemoryUsage": "true",
+        f"{rocks}.maxMemoryUsageMB": STORES_MB,
+        # stores of an ended stream are closed by the next maintenance
+        "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
+        "spark.sql.streaming.minBatchesToRetain": "2",
+    }
     for k, v in options.items():
         kept[k] = spark.conf.get(k, None)
         spark.conf.set(k, v)
