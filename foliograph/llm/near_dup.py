@@ -35,6 +35,8 @@ MARGIN = 5
 #: Rows of one block of a trie node, and documents of one of a candidate group; a task compares two blocks at most.
 NODE_BLOCK, BLOCK = 4096, 512
 CHUNK = 1 << 20
+#: Rows whose texts are held as Python strings at a time.
+SLICE = 512
 
 _R = 0x9E3779B97F4A7C15
 _powers: dict[str, object] = {}
@@ -138,7 +140,7 @@ def _signed(bits: int):
         import xxhash
 
         keep = (1 << bits) - 1
-        for b in batches:
+        for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = b.column("text").to_pylist()
             copy, proof, paths = [None] * len(texts), [None] * len(texts), [None] * len(texts)
             for places, found in _chunks(texts):

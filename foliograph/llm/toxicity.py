@@ -44,6 +44,8 @@ QUOTED = re.compile(
 )
 QUOTES = frozenset("\"“”«»„‘`")
 
+#: Rows whose texts are held as Python strings at a time.
+SLICE = 512
 #: Tokens without a term that a worker remembers in each of two generations; what is forgotten is matched again.
 REMEMBERED = 50_000
 #: States of an automaton that a worker keeps.
@@ -566,7 +568,7 @@ def keep_clean(df: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model.terms, model.proper)
-        for b in batches:
+        for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             keep = [model.score(scorer.features(t)) < threshold for t in b.column(columns.index("text")).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
