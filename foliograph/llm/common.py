@@ -14,6 +14,9 @@ BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 4_000_000
 #: Bits of the filters that keep rows without a partner from moving; their size does not follow the corpus.
 FILTER_BITS = 1 << 22
+#: Bytes after which an Arrow batch on its way to Python ends.  At Spark's 64 MB a batch is a whole split of texts, held
+#: by the JVM outside its heap and by the worker; the setting moves no rows and changes no result.
+BATCH_BYTES = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,8 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Set BATCH_BYTES for the session, unless it has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB"):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path for one written table, removed when the driver ends."""
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/foliograph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -153,6 +164,7 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
