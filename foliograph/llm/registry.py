@@ -1,10 +1,10 @@
-"""The ten operators as queries over their whole tables."""
+"""The operators as queries over their whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import ann, bpe, exact_dedup, html, line_dedup, mixing, near_dup, pii, tokenfile, toxicity
+from foliograph.llm import ann, bpe, exact_dedup, fim, html, line_dedup, mixing, near_dup, pieces, pii, tokenfile, toxicity
 from foliograph.llm.common import table
 
 
@@ -49,7 +49,15 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_pareto_mixing, op2_html_extraction, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op6_nearest_neighbours, op7_token_files, op8_pii, op9_toxicity, op10_near_duplicates)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"), plain_share=10, spm_share=20, seed="1")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+
+
+QUERIES = (op1_pareto_mixing, op2_html_extraction, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op6_nearest_neighbours, op7_token_files, op8_pii, op9_toxicity, op10_near_duplicates, op11_fill_in_middle, op12_sentencepiece)
 
 
 def queries() -> dict:
@@ -57,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mixing": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_line_dedup": line_dedup.oracle()}
+    return {"op1_pareto_mixing": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_line_dedup": line_dedup.oracle(), "op11_fill_in_middle": fim.ORACLE}
