@@ -141,6 +141,25 @@ def _slices(texts: list) -> Iterator[tuple[int, list[str]]]:
         yield at, own
 
 
+def encoded_batches(batches: Iterator[pa.RecordBatch], own: Merger, sp, with_ids: bool = False, check: bool = True) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+    name = own.decimals
+    for batch in batches:
+        row_ids = batch.column("doc_id").to_pylist()
+        for at, texts in _slices([t or "" for t in batch.column("text").to_pylist()]):
+            made = [own.encode(t) for t in texts]
+            if check and made != sp.encode(texts, num_threads=1):
+                bad = next(k for k, t in enumerate(texts) if made[k] != sp.encode(t))
+                raise ValueError(f"doc_id {row_ids[at + bad]}: the agenda and the library differ")
+            decoded = [sp.decode(ids) if ids else "" for ids in made]
+            digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+            columns = [row_ids[at : at + len(texts)], [len(ids) for ids in made], [digest(",".join([name[i] for i in ids])) for ids in made], [digest(d) for d in decoded]]
+            if with_ids:
+                columns += [made, decoded]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
+
+
 def encode(df: DataFrame, vocabulary: str = "piece_bpe_32k.model", folder: str | None = None, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False, check: bool = True) -> DataFrame:
     """Encode every whole text and decode it again.
 
@@ -153,25 +172,6 @@ def encode(df: DataFrame, vocabulary: str = "piece_bpe_32k.model", folder: str |
     """
     path = vocabulary_path(vocabulary, folder)
     bound_batches(df.sparkSession)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sp = merger(path), library(path)
-        name = own.decimals
-        for batch in batches:
-            row_ids = batch.column("doc_id").to_pylist()
-            for at, texts in _slices([t or "" for t in batch.column("text").to_pylist()]):
-                made = [own.encode(t) for t in texts]
-                if check and made != sp.encode(texts, num_threads=1):
-                    bad = next(k for k, t in enumerate(texts) if made[k] != sp.encode(t))
-                    raise ValueError(f"doc_id {row_ids[at + bad]}: the agenda and the library differ")
-                decoded = [sp.decode(ids) if ids else "" for ids in made]
-                digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
-                columns = [row_ids[at : at + len(texts)], [len(ids) for ids in made], [digest(",".join([name[i] for i in ids])) for ids in made], [digest(d) for d in decoded]]
-                if with_ids:
-                    columns += [made, decoded]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
-
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
+    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(lambda batches: encoded_batches(batches, merger(path), library(path), with_ids, check), schema)

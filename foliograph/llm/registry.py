@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import ann, bpe, exact_dedup, fim, html, line_dedup, mixing, near_dup, pieces, pii, tokenfile, toxicity
+from foliograph.llm import ann, bpe, exact_dedup, fim, html, line_dedup, mixing, near_dup, pieces, pii, tokenfile, toxicity, trie
 from foliograph.llm.common import table
 
 
@@ -57,7 +57,11 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
-QUERIES = (op1_pareto_mixing, op2_html_extraction, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op6_nearest_neighbours, op7_token_files, op8_pii, op9_toxicity, op10_near_duplicates, op11_fill_in_middle, op12_sentencepiece)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"), family=20, shared=4)
+
+
+QUERIES = (op1_pareto_mixing, op2_html_extraction, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op6_nearest_neighbours, op7_token_files, op8_pii, op9_toxicity, op10_near_duplicates, op11_fill_in_middle, op12_sentencepiece, op13_conversation_trie)
 
 
 def queries() -> dict:
@@ -65,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mixing": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_line_dedup": line_dedup.oracle(), "op11_fill_in_middle": fim.ORACLE}
+    return {"op1_pareto_mixing": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_line_dedup": line_dedup.oracle(), "op11_fill_in_middle": fim.ORACLE, "op13_conversation_trie": trie.ORACLE}
