@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.operators import search
+from foliograph.operators import grammar, positions, search
 from foliograph.schemas import ANALYZER_VERSION
 
 
@@ -52,9 +53,9 @@ def read_pointer(spark: SparkSession, root: str) -> dict | None:
 
 
 def write_pointer(spark: SparkSession, root: str, pointer: dict) -> None:
-    """Written under another name and renamed over the old one, in one step."""
+    """Written under a name of its own and renamed over the old one, in one step; two writers never share a staged file."""
     fs, path = _hadoop(spark, f"{root}/active.json")
-    _, staged = _hadoop(spark, f"{root}/active.json.new")
+    _, staged = _hadoop(spark, f"{root}/active.json.{uuid.uuid4().hex}")
     out = fs.create(staged, True)
     out.write(json.dumps(pointer).encode())
     out.close()
@@ -68,23 +69,47 @@ def write_pointer(spark: SparkSession, root: str, pointer: dict) -> None:
 
 @dataclass
 class Index:
+    """postings (token, page_id, tf, positions), lengths (page_id, length and the exact fields), tokens (token, df)."""
+
     postings: DataFrame
     lengths: DataFrame
+    tokens: DataFrame
     documents: int
     average: float
 
+    def rank(self, tree: object) -> DataFrame:
+        return positions.rank(self.postings, self.lengths, tree, counted=self.tokens)
+
+
+#: What an index keeps of a page beside its text.
+FIELDS = {"page_id": "string", "document_id": "string", "original_filename": "string", "image_path": "string", "page_number": "bigint"}
+
+
+def stage(docs: DataFrame, directory: str) -> DataFrame:
+    """The documents, written once; everything of a build reads them there."""
+    have = docs.columns
+    docs.select(*[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in FIELDS.items()], "body").write.mode("overwrite").parquet(f"{directory}/staged")
+    return docs.sparkSession.read.parquet(f"{directory}/staged")
+
 
 def build(docs: DataFrame, directory: str) -> int:
     """Write postings sorted by token, so that a search skips all row groups but its tokens'; a frequent token is split by page."""
     spark = docs.sparkSession
-    post = search.postings(docs)
+    post = positions.postings(docs)
     post.repartitionByRange("token", "page_id").sortWithinPartitions("token", "page_id").write.mode("overwrite").parquet(f"{directory}/postings")
-    search.lengths(docs).write.mode("overwrite").parquet(f"{directory}/lengths")
+    counted = spark.read.parquet(f"{directory}/postings").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    counted.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{directory}/tokens")
+    length = F.greatest(F.length(F.lower("body")) - 1, F.lit(0)).cast("long").alias("length")
+    docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(kind).alias(c) for c, kind in FIELDS.items()], length).write.mode("overwrite").parquet(f"{directory}/lengths")
     spark.read.parquet(f"{directory}/lengths").agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("average"), F.lit(ANALYZER_VERSION).alias("analyzer")).coalesce(1).write.mode("overwrite").parquet(f"{directory}/corpus")
     return spark.read.parquet(f"{directory}/corpus").first()["documents"]
 
 
-SCHEMA = {"postings": [("token", "string"), ("page_id", "string"), ("tf", "bigint")], "lengths": [("page_id", "string"), ("length", "bigint")]}
+SCHEMA = {
+    "postings": [("token", "string"), ("page_id", "string"), ("tf", "bigint"), ("positions", "binary")],
+    "lengths": [*FIELDS.items(), ("length", "bigint")],
+    "tokens": [("token", "string"), ("df", "bigint")],
+}
 
 
 def open_index(spark: SparkSession, directory: str) -> Index:
@@ -99,19 +124,27 @@ def open_index(spark: SparkSession, directory: str) -> Index:
     corpus = spark.read.parquet(f"{directory}/corpus").first()
     if not corpus["documents"]:
         raise IndexProblem("index_empty", directory)
-    return Index(parts["postings"], parts["lengths"], corpus["documents"], corpus["average"])
+    return Index(parts["postings"], parts["lengths"], parts["tokens"], corpus["documents"], corpus["average"])
 
 
 def rebuild(docs: DataFrame, root: str, version_id: str) -> dict:
     """Build, check, probe, then switch; whatever fails before the switch leaves the old index in use."""
-    spark = docs.sparkSession
     directory = f"{root}/build-{version_id}"
-    n = build(docs, directory)
+    pointer = prepare(docs, directory, version_id)
+    write_pointer(docs.sparkSession, root, pointer)
+    return pointer
+
+
+def prepare(docs: DataFrame, directory: str, version_id: str) -> dict:
+    """An index that has been opened and asked, and the pointer that would make it the active one."""
+    spark = docs.sparkSession
+    staged = stage(docs, directory)
+    n = build(staged, directory)
     index = open_index(spark, directory)
-    first = docs.select("body").orderBy("page_id").first()["body"].split("\n")[0]
+    first = staged.select(F.min_by("body", "page_id")).first()[0].split("\n")[0]
     word = next((w for w in first.split() if len(w) > 1 and w.isalnum()), None)
-    if word and not search.rank(index.postings, index.lengths, search.parse(word), n=index.documents, average=index.average).limit(1).count():
+    if word and index.rank(grammar.Word(word)).isEmpty():
         raise IndexProblem("index_probe_failed", word)
-    pointer = {"version_id": version_id, "directory": directory, "documents": n}
-    write_pointer(spark, root, pointer)
-    return pointer
+    fs, path = _hadoop(spark, f"{directory}/staged")
+    fs.delete(path, True)
+    return {"version_id": version_id, "directory": directory, "documents": n}

@@ -12,25 +12,20 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as X
+from foliograph.operators import positions
+from foliograph.operators.grammar import QueryInvalid
 
 K1, B = 1.2, 0.75
 DEFAULT_LIMIT, MOST = 20, 100
 EXACT_FIELDS = ("page_id", "document_id", "original_filename")
 
 
-class QueryInvalid(ValueError):
-    code = "search_query_invalid"
-
-
 @dataclass
 class Query:
     """words: (bigrams, sign) for each word; filters: field to value."""
@@ -49,7 +44,7 @@ def clamp(limit: int | None) -> int:
 
 
 def parse(text: str) -> Query:
-    """Bare words, +word, -word and field:value; anything else of a query grammar is refused."""
+    """Bare words, +word, -word and field:value, for searches without an index; the whole grammar is :mod:`foliograph.operators.grammar`."""
     query = Query(text.strip())
     for part in query.text.split():
         sign = part[0] if part[0] in "+-" else ""
@@ -74,28 +69,19 @@ def index_documents(results: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, key: str = "page_id", body: str = "body") -> DataFrame:
     """(token, key, tf): a page's pairs are counted within its row, so nothing moves."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
-                keys, tokens, tfs = [], [], []
-                for k, low in enumerate(b.column("low").to_pylist()):
-                    tally = Counter(map("".join, zip(low, low[1:]))) if low else {}
-                    keys += [k] * len(tally)
-                    tokens += tally.keys()
-                    tfs += tally.values()
-                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), b.column("key").take(pa.array(keys, pa.int64())), pa.array(tfs, pa.int64())], ["token", key, "tf"])
-
-    rows = docs.select(F.col(key).alias("key"), F.lower(body).alias("low"))
-    return rows.mapInArrow(counted, f"token string, `{key}` {dict(rows.dtypes)['key']}, tf long")
+    return positions.postings(docs, key, body, positions=False)
 
 
 def tallies(docs: DataFrame, grams: list[str], key: str = "page_id", body: str = "body") -> DataFrame:
     """key, length, and the frequency of each of these pairs (tf0, tf1, ...), counted in the text; for a search without an index."""
-    low = F.lower(body)
-    # overlapping occurrences: an empty match wherever the pair begins
-    count = lambda g: F.when(low.contains(g), F.regexp_count(low, F.lit("(?=" + re.sub(r"([^\w\s])", r"\\\1", g) + ")"))).otherwise(0).cast("long")
-    return docs.select(key, F.greatest(F.length(low) - 1, F.lit(0)).cast("long").alias("length"), *[count(g).alias(f"tf{k}") for k, g in enumerate(grams)])
+    rows = docs.select(key, F.lower(body).alias("low"))
+
+    def count(g: str):
+        if g[0] != g[1]:  # occurrences cannot overlap: what is left when they are taken out tells their number
+            return F.floor((F.octet_length("low") - F.octet_length(F.replace("low", F.lit(g), F.lit("")))) / len(g.encode()))
+        return F.regexp_count("low", F.lit("(?=" + re.sub(r"([^\w\s])", r"\\\1", g) + ")"))
+
+    return rows.select(key, F.greatest(F.length("low") - 1, F.lit(0)).cast("long").alias("length"), *[F.coalesce(count(g), F.lit(0)).cast("long").alias(f"tf{k}") for k, g in enumerate(grams)])
 
 
 def lengths(docs: DataFrame, key: str = "page_id", body: str = "body") -> DataFrame:
@@ -115,25 +101,32 @@ def rank(post: DataFrame, lens: DataFrame, query: Query, key: str = "page_id", m
     own = post.where(F.col("token").isin(*query.grams)) if query.grams else post.limit(0)
     df = {r["token"]: r["n"] for r in own.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as the query has pairs
     per = own.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "tf"))).alias("tfs")).join(lens, key)
-    return _scored(per, query, {g: F.element_at("tfs", F.lit(g)) for g in query.grams}, df, n, average, key, mode)
+    weight = {g: F.lit(math.log(1 + (n - d + 0.5) / (d + 0.5))) for g, d in df.items()}
+    return _scored(per, query, {g: F.element_at("tfs", F.lit(g)) for g in query.grams}, weight, F.lit(float(average or 1)), key, mode)
 
 
 def rank_texts(docs: DataFrame, query: Query, key: str = "page_id", body: str = "body", mode: str = "word_and") -> DataFrame:
-    """(key, score) of every match, from the texts themselves: one pass for the statistics, one for the scores, no shuffle."""
+    """(key, score) of every match, from the texts themselves.
+
+    The texts are read once: what is counted in them is dealt out by key, and
+    that exchange of a few numbers a page serves the statistics and the scores.
+    """
     grams = query.grams
-    rows = tallies(docs, grams, key, body)
-    found = rows.agg(F.count(F.lit(1)), F.avg("length"), *[F.count_if(F.col(f"tf{k}") > 0) for k in range(len(grams))]).first()
-    if not found[0] or not query.words:
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tallies(docs, grams, key, body).repartition(parts, key)
+    if not query.words:
         return rows.select(key, F.lit(0.0).alias("score")).limit(0)
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(grams))])
+    rarity = {g: F.log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)) for k, g in enumerate(grams)}
     tfs = {g: F.when(F.col(f"tf{k}") > 0, F.col(f"tf{k}")) for k, g in enumerate(grams)}
-    return _scored(rows, query, tfs, dict(zip(grams, found[2:], strict=True)), found[0], found[1], key, mode)
+    return _scored(rows.crossJoin(F.broadcast(stats)), query, tfs, rarity, F.greatest(F.col("average"), F.lit(1e-9)), key, mode)  # one row
 
 
-def _scored(per: DataFrame, query: Query, tf_of: dict, df: dict[str, int], n: int, average: float, key: str, mode: str) -> DataFrame:
-    """Scores of rows that know their length and, by ``tf_of``, the frequency of each pair (null for none)."""
-    weight = {g: math.log(1 + (n - d + 0.5) / (d + 0.5)) for g, d in df.items()}
-    norm = K1 * (1 - B + B * F.col("length") / F.lit(float(average or 1)))
-    scored = lambda tf, idf: F.lit(idf) * tf * (K1 + 1) / (tf + norm)
+def _scored(per: DataFrame, query: Query, tf_of: dict, weight: dict, average, key: str, mode: str) -> DataFrame:
+    """Scores of rows that know their length and, by ``tf_of``, the frequency of each pair (null for none); ``weight`` has the pairs' rarity."""
+    norm = K1 * (1 - B + B * F.col("length") / average)
+    none = F.lit(0.0)
+    scored = lambda tf, idf: idf * tf * (K1 + 1) / (tf + norm)
     total, hit, must = F.lit(0.0), F.lit(False), F.lit(True)
     for grams, sign in query.words:
         if not grams:
@@ -147,13 +140,16 @@ def _scored(per: DataFrame, query: Query, tf_of: dict, df: dict[str, int], n: in
             part = F.lit(0.0)
             for g, tf in zip(distinct, tfs, strict=True):
                 here = here | tf.isNotNull()
-                part = part + F.coalesce(scored(tf, weight.get(g, 0.0)), F.lit(0.0))
+                part = part + F.coalesce(scored(tf, weight.get(g, none)), none)
         else:
             here = F.lit(True)
             for tf in tfs:
                 here = here & tf.isNotNull()
             low = F.least(*tfs) if len(tfs) > 1 else tfs[0]
-            part = F.coalesce(scored(low, sum(weight.get(g, 0.0) for g in grams)), F.lit(0.0))
+            idf = none
+            for g in grams:
+                idf = idf + weight.get(g, none)
+            part = F.coalesce(scored(low, idf), none)
         if sign == "-":
             must = must & ~here
             continue

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliograph.functions import records as R
 from foliograph.functions import text as X
 from foliograph.operators import ledger as L
-from foliograph.operators import lifecycle, search
+from foliograph.operators import grammar, lifecycle, positions, search
 from foliograph.plans.views import SQL, Views
 from foliograph.sources import export, files
 
@@ -606,6 +606,75 @@ def bm25_topk(v):
     return _ranked(docs, None)
 
 
+PHRASE = '"the a"'
+BOOLEAN = '("the a" OR und^2.5 OR "de la") AND NOT (ing AND "ion ") document_id:1^0.5 original_filename:doc-1*'
+
+
+def _times(text: str) -> str:
+    """Occurrences, for texts that cannot overlap themselves."""
+    return f"(length(t) - length(replace(t, '{text}', ''))) // {len(text)}"
+
+
+def _leaf(text: str, phrase: bool) -> str:
+    """SQL for a leaf: hit and score, from t, length, n, average and the pairs' counts."""
+    pairs = [text[k : k + 2] for k in range(len(text) - 1)]
+    tf = _times(text) if phrase else f"least({', '.join(map(_times, pairs))})"
+    rare = " + ".join(f"ln(1 + (n - df['{g}'] + 0.5::DOUBLE) / (df['{g}'] + 0.5::DOUBLE))" for g in pairs)
+    return f"CASE WHEN {tf} > 0 THEN ({rare}) * {tf} * 2.2::DOUBLE / ({tf} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / average)) END"
+
+
+def _scored_sql(texts: list[str], leaves: dict[str, str], hit: str, score: str) -> str:
+    pairs = sorted({t[k : k + 2] for t in texts for k in range(len(t) - 1)})
+    counts = ", ".join(f"'{g}': count(*) FILTER (WHERE contains(t, '{g}'))" for g in pairs)
+    return f"""WITH idx AS (SELECT page_id, document_id, original_filename, lower(slice) AS t, length(slice) - 1 AS length FROM page_records),
+stats AS (SELECT count(*) AS n, avg(length) AS average, count(*) FILTER (WHERE document_id = '1') AS own, MAP {{{counts}}} AS df FROM idx),
+leaves AS (SELECT page_id, document_id, original_filename, n, own, {', '.join(f'{sql} AS {name}' for name, sql in leaves.items())} FROM idx, stats)
+SELECT page_id, round({score}, 6) AS score FROM leaves WHERE {hit} ORDER BY score DESC, page_id LIMIT 20"""
+
+
+def _asked(v, text):
+    """The first 20 pages for a query: pages and the postings of its tokens are read once each, and dealt out by page."""
+    parts = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    tree = grammar.parse(text)
+    tokens, beginnings = positions.needed(tree)
+    docs = v.pages.withColumnRenamed("slice", "body")
+    post = positions.postings(docs, tokens=tokens, beginnings=beginnings).repartition(parts, "page_id")
+    pages = docs.select("page_id", "document_id", "original_filename", F.greatest(F.length(F.lower("body")) - 1, F.lit(0)).cast("long").alias("length")).repartition(parts, "page_id")
+    return search.top(positions.rank(post, pages, tree), 20)
+
+
+@query(_scored_sql(["the a"], {"a": _leaf("the a", True)}, "a IS NOT NULL", "a"))
+def phrase_search(v):
+    return _asked(v, PHRASE)
+
+
+@query(
+    _scored_sql(
+        ["the a", "und", "de la", "ing", "ion "], {"a": _leaf("the a", True), "u": _leaf("und", False), "d": _leaf("de la", True), "i": _leaf("ing", False), "o": _leaf("ion ", True)},
+        "(a IS NOT NULL OR u IS NOT NULL OR d IS NOT NULL) AND NOT (i IS NOT NULL AND o IS NOT NULL) OR document_id = '1' OR original_filename LIKE 'doc-1%'",
+        """CASE WHEN (a IS NOT NULL OR u IS NOT NULL OR d IS NOT NULL) AND NOT (i IS NOT NULL AND o IS NOT NULL) THEN coalesce(a, 0) + coalesce(u, 0) * 2.5::DOUBLE + coalesce(d, 0) ELSE 0 END
+  + CASE WHEN document_id = '1' THEN ln(1 + (n - own + 0.5::DOUBLE) / (own + 0.5::DOUBLE)) * 0.5::DOUBLE ELSE 0 END + CASE WHEN original_filename LIKE 'doc-1%' THEN 1 ELSE 0 END""",
+    )
+)
+def boolean_search(v):
+    return _asked(v, BOOLEAN)
+
+
+@query("SELECT page_id, token, count(*) AS tf, min(i - 1) AS first_place, max(i - 1) AS last_place, CAST(sum(i - 1) AS BIGINT) AS places FROM (SELECT page_id, i, substr(t, i, 2) AS token FROM (SELECT page_id, lower(slice) AS t, unnest(range(1, length(slice))) AS i FROM page_records)) GROUP BY ALL")
+def positional_postings(v):
+    """Postings with their places, taken apart again as a check of their packing."""
+    import numpy as np
+    import pyarrow as pa
+
+    def seen(batches):
+        for b in batches:
+            own = [positions.places(x) for x in b.column("positions").to_pylist()]
+            ends = [pa.array(np.array([f(x) for x in own], "i8")) for f in (lambda x: x[0], lambda x: x[-1], lambda x: x.sum())]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("token"), b.column("tf"), *ends], ["page_id", "token", "tf", "first_place", "last_place", "places"])
+
+    return positions.postings(v.pages.withColumnRenamed("slice", "body")).mapInArrow(seen, "page_id string, token string, tf long, first_place long, last_place long, places long")
+
+
 @query(f"WITH idx AS (SELECT page_id, {COMBINED} AS body FROM analysis_results WHERE status = 'succeeded'), {WORD_AND} SELECT s.page_id, s.score, row_number() OVER (ORDER BY s.score DESC, s.page_id) AS rank, r.document_id, r.page_number, r.original_filename, r.title, a.file_path AS image_path, a.file_path IS NOT NULL AS image_available FROM (SELECT * FROM scores ORDER BY score DESC, page_id LIMIT 10) s JOIN analysis_results r USING (page_id) LEFT JOIN image_assets a USING (image_hash)")
 def search_results(v):
     docs = search.index_documents(v.results)

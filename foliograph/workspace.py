@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.operators import ledger, lifecycle, search
+from foliograph.operators import grammar, ledger, lifecycle, search
 from foliograph.sources import export, files
 
 
@@ -78,8 +78,12 @@ class Workspace:
     def jobs(self) -> DataFrame:
         return self.table("jobs")
 
-    def rebuild_index(self, version_id: str) -> dict:
+    def search_documents(self) -> DataFrame:
         docs = search.index_documents(self.results())
+        return docs.join(self.table("image_assets").select("image_hash", F.col("file_path").alias("image_path")), "image_hash", "left")
+
+    def rebuild_index(self, version_id: str) -> dict:
+        docs = self.search_documents()
         if docs.isEmpty():
             raise lifecycle.IndexProblem("index_no_documents")
         return lifecycle.rebuild(docs, self.index_root, version_id)
@@ -99,13 +103,7 @@ class Workspace:
         if pointer is None:
             raise lifecycle.IndexProblem("index_not_ready")
         index = lifecycle.open_index(self.spark, pointer["directory"])
-        query = search.parse(q)
-        scores = search.rank(index.postings, index.lengths, query, n=index.documents, average=index.average)
-        if query.filters:
-            own = self.table("page_records")
-            for name, value in query.filters.items():
-                own = own.where(F.col(name) == value)
-            scores = scores.join(own.select("page_id"), "page_id", "left_semi")
+        scores = index.rank(grammar.parse(q))
         hits = search.enrich(search.top(scores, limit), self.results(), self.table("image_assets"), strict)
         return {"items": [r.asDict() for r in hits.orderBy("rank").collect()], "query": q.strip(), "limit": limit}
 

@@ -31,7 +31,10 @@ def test_round_trip(spark, tmp_path):
     with pytest.raises(lifecycle.IndexProblem):
         lifecycle.open_index(spark, ws.index_root + "/build-none")
     with pytest.raises(search.QueryInvalid):
-        ws.search("a AND b")
+        ws.search("a AND")
+    page = hits["items"][0]["page_id"]
+    assert [h["page_id"] for h in ws.search(f'"采购合同" AND page_id:{page}')["items"]] == [page]
+    assert not ws.search("采购合同 AND NOT object")["items"]
     assert lifecycle.read_pointer(spark, ws.index_root) == pointer
     ws.export()
     lines = [json.loads(x.value) for x in spark.read.text(str(tmp_path / "ws/metadata/pages.jsonl")).collect()]
