@@ -59,6 +59,21 @@ def places(data: bytes):
     return np.cumsum(unpack(data))
 
 
+def places_of(packed: pa.Array) -> tuple:
+    """The places of many postings at once, one after the other, and where each posting's begin."""
+    import numpy as np
+
+    data = packed.cast(pa.large_binary())
+    ends = np.frombuffer(data.buffers()[1], "<i8")[data.offset : data.offset + len(data) + 1]
+    raw = np.frombuffer(data.buffers()[2] or b"", "u1")[ends[0] : ends[-1]] if len(data) else np.zeros(0, "u1")
+    steps = unpack(raw.tobytes())
+    count = np.concatenate([[0], np.cumsum(raw < 128)])  # numbers that end before a byte
+    starts = count[ends[:-1] - ends[0]] if len(data) else np.zeros(0, "i8")
+    total = np.cumsum(steps)
+    before = np.where(starts > 0, total[starts - 1], 0) if len(starts) else starts
+    return total - np.repeat(before, np.diff(np.append(starts, len(steps)))), starts
+
+
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     at, held = 0, 0
     for k, text in enumerate(texts):

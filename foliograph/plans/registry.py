@@ -668,8 +668,11 @@ def positional_postings(v):
 
     def seen(batches):
         for b in batches:
-            own = [positions.places(x) for x in b.column("positions").to_pylist()]
-            ends = [pa.array(np.array([f(x) for x in own], "i8")) for f in (lambda x: x[0], lambda x: x[-1], lambda x: x.sum())]
+            if not b.num_rows:
+                continue
+            own, starts = positions.places_of(b.column("positions"))
+            last = np.append(starts[1:], len(own)) - 1
+            ends = [pa.array(x) for x in (own[starts], own[last], np.add.reduceat(own, starts))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("token"), b.column("tf"), *ends], ["page_id", "token", "tf", "first_place", "last_place", "places"])
 
     return positions.postings(v.pages.withColumnRenamed("slice", "body")).mapInArrow(seen, "page_id string, token string, tf long, first_place long, last_place long, places long")

@@ -106,6 +106,16 @@ def test_packed_places():
     assert positions.unpack(b"").tolist() == [] and positions.pack([])[0] == b""
 
 
+def test_places_of_many_postings():
+    import pyarrow as pa
+
+    lists = [[0], [3, 400, 70_000], [1, 2], [5]]
+    data = pa.array([positions.pack([x[0], *(b - a for a, b in zip(x, x[1:], strict=False))])[0] for x in lists], pa.binary())
+    flat, starts = positions.places_of(data.slice(1))
+    assert flat.tolist() == [y for x in lists[1:] for y in x] and starts.tolist() == [0, 3, 5]
+    assert positions.places_of(data.slice(0, 0))[0].tolist() == []
+
+
 def test_postings(spark, rows):
     df = spark.createDataFrame(rows, PAGES)
     want = {}
