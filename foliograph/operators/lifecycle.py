@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliograph.operators import grammar, positions, search
 from foliograph.schemas import ANALYZER_VERSION
+from foliograph.sources.commits import hadoop, replace_file
 
 
 class IndexProblem(RuntimeError):
@@ -35,14 +35,9 @@ def status(versions: DataFrame, active: DataFrame, pages: DataFrame, documents:
     return one.withColumn("search_uses_stale_index", F.col("can_search") & F.col("stale")).select("status", "active_version", "indexed", "indexable", "analyzed", "pending", "skipped", "stale", "can_search", "can_rebuild", "search_uses_stale_index", "last_failed")
 
 
-def _hadoop(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def read_pointer(spark: SparkSession, root: str) -> dict | None:
     """None if there is none; a broken one is an error."""
-    fs, path = _hadoop(spark, f"{root}/active.json")
+    fs, path = hadoop(spark, f"{root}/active.json")
     if not fs.exists(path):
         return None
     try:
@@ -53,18 +48,7 @@ def read_pointer(spark: SparkSession, root: str) -> dict | None:
 
 
 def write_pointer(spark: SparkSession, root: str, pointer: dict) -> None:
-    """Written under a name of its own and renamed over the old one, in one step; two writers never share a staged file."""
-    fs, path = _hadoop(spark, f"{root}/active.json")
-    _, staged = _hadoop(spark, f"{root}/active.json.{uuid.uuid4().hex}")
-    out = fs.create(staged, True)
-    out.write(json.dumps(pointer).encode())
-    out.close()
-    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    over = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    how = gateway.new_array(over, 1)
-    how[0] = over.OVERWRITE
-    where = path.makeQualified(fs.getUri(), fs.getWorkingDirectory())
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged.makeQualified(fs.getUri(), fs.getWorkingDirectory()), where, how)
+    replace_file(spark, f"{root}/active.json", json.dumps(pointer))
 
 
 @dataclass
@@ -114,7 +98,7 @@ SCHEMA = {
 
 def open_index(spark: SparkSession, directory: str) -> Index:
     """Missing, differing and empty indexes are errors."""
-    fs, path = _hadoop(spark, f"{directory}/corpus")
+    fs, path = hadoop(spark, f"{directory}/corpus")
     if not fs.exists(path):
         raise IndexProblem("index_not_found", directory)
     parts = {name: spark.read.parquet(f"{directory}/{name}") for name in SCHEMA}
@@ -145,6 +129,6 @@ def prepare(docs: DataFrame, directory: str, version_id: str) -> dict:
     word = next((w for w in first.split() if len(w) > 1 and w.isalnum()), None)
     if word and index.rank(grammar.Word(word)).isEmpty():
         raise IndexProblem("index_probe_failed", word)
-    fs, path = _hadoop(spark, f"{directory}/staged")
+    fs, path = hadoop(spark, f"{directory}/staged")
     fs.delete(path, True)
     return {"version_id": version_id, "directory": directory, "documents": n}

@@ -260,12 +260,20 @@ def set_documents(log: Log, rows: DataFrame) -> Transaction:
     return log.run(lambda own: own.add("documents", rows, guards=("documents",)))
 
 
-def add_pages(own: Transaction, pages: DataFrame, assets: DataFrame) -> None:
-    """Page records, and of the assets those that are not known; the known ones must still be there when it is committed."""
+def add_pages(own: Transaction, pages: DataFrame, assets: DataFrame, images: DataFrame | None = None) -> None:
+    """Page records, and of the assets (and images: image_hash, content) those that are not known.
+
+    The known ones must still be there when it is committed.  Images lie in
+    Parquet files sorted by their hash, each once; one is found by its hash
+    through the row groups' ranges and Bloom filters.
+    """
     own.add("page_records", pages)
     known = own.current("image_assets").select("image_hash")
     own.add("image_assets", assets.join(known, "image_hash", "left_anti"), guards=("image_assets",))
     own.touch("image_assets", assets.select("image_hash").distinct())
+    if images is not None:
+        new = images.join(known, "image_hash", "left_anti").groupBy("image_hash").agg(F.first("content").alias("content"))
+        own.add("images", new.repartitionByRange("image_hash").sortWithinPartitions("image_hash"))
 
 
 def drop_documents(own: Transaction, doomed: DataFrame) -> DataFrame:
@@ -280,7 +288,8 @@ def drop_documents(own: Transaction, doomed: DataFrame) -> DataFrame:
     assets = own.read("image_assets", places=True).join(shown, "image_hash", "left_semi").join(left, "image_hash", "left_anti")
     if not own.hide("documents", documents):
         raise LedgerProblem("document_not_found")
-    for table, rows in (("page_records", pages), ("analysis_results", results), ("image_assets", assets)):
+    images = own.read("images", places=True).join(assets.select("image_hash"), "image_hash", "left_semi")
+    for table, rows in (("page_records", pages), ("analysis_results", results), ("image_assets", assets), ("images", images)):
         own.hide(table, rows)
     own.reads("image_assets", shown)  # another import may show one of these images meanwhile
     return documents.select(F.col("original_path").alias("file_path")).unionByName(assets.select("file_path")).distinct()

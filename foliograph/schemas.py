@@ -15,7 +15,7 @@ LEDGER_VERSION = 5
 
 
 def _struct(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "l": T.LongType(), "b": T.BooleanType(), "a": T.ArrayType(T.StringType())}
+    kinds = {"s": T.StringType(), "l": T.LongType(), "b": T.BooleanType(), "a": T.ArrayType(T.StringType()), "x": T.BinaryType()}
     fields = []
     for part in spec.split():
         name, kind = part.split(":")
@@ -30,12 +30,13 @@ TABLES = {
     "job_events": _struct("event_id:s job_id:s event_type:s message:s? progress:l? created_at:s"),
     "documents": _struct("document_id:s original_filename:s file_type:s file_hash:s original_path:s page_count:l? status:s error_summary:s? job_id:s? created_at:s updated_at:s"),
     "image_assets": _struct("image_hash:s file_path:s file_size:l created_at:s"),
+    "images": _struct("image_hash:s content:x"),
     "page_records": _struct("page_id:s document_id:s page_number:l image_hash:s status:s error_summary:s? created_at:s updated_at:s"),
     "analysis_results": _struct("analysis_id:s page_id:s schema_version:s provider:s model_name:s status:s result_json:s? error_id:s? created_at:s updated_at:s"),
     "index_versions": _struct("version_id:s provider:s analyzer_version:s status:s index_directory:s document_count:l build_started_at:s? build_finished_at:s? activated_at:s? error_id:s? created_at:s updated_at:s"),
     "index_active": _struct("provider:s version_id:s updated_at:s"),
 }
-KEYS = {"settings": "key", "errors": "error_id", "jobs": "job_id", "job_events": "event_id", "documents": "document_id", "image_assets": "image_hash", "page_records": "page_id", "analysis_results": "page_id", "index_versions": "version_id", "index_active": "provider"}
+KEYS = {"settings": "key", "errors": "error_id", "jobs": "job_id", "job_events": "event_id", "documents": "document_id", "image_assets": "image_hash", "images": "image_hash", "page_records": "page_id", "analysis_results": "page_id", "index_versions": "version_id", "index_active": "provider"}
 
 ANALYSIS = T.StructType(
     [

@@ -62,6 +62,21 @@ def read_file(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Written under a name of its own and renamed over the old file, in one step; two writers never share a staged file."""
+    fs, p = hadoop(spark, path)
+    _, staged = hadoop(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(staged, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    over = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(over, 1)
+    how[0] = over.OVERWRITE
+    at = p.makeQualified(fs.getUri(), fs.getWorkingDirectory())
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged.makeQualified(fs.getUri(), fs.getWorkingDirectory()), at, how)
+
+
 def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     """Whether this call made the file; readers see all of it or nothing.
 
@@ -331,7 +346,7 @@ class Transaction:
         path = self.log.part(table, part)
         place = F.lit(0).cast("long") if kept_numbers else F.monotonically_increasing_id()
         kept = [] if kept_numbers else [F.lit(None).cast("long").alias(x) for x in (VERSION, NUMBER)]
-        rows.select("*", *kept, place.alias(PLACE)).write.parquet(path)
+        rows.select("*", *kept, place.alias(PLACE)).write.option(f"parquet.bloom.filter.enabled#{KEYS[table]}", "true").parquet(path)
         written = self.spark.read.parquet(path)
         # as many rows as the write had partitions; the footers are not enough, as a task may write several files
         counts = sorted((r[0], r[1]) for r in written.groupBy(F.shiftright(PLACE, 33).cast("int")).count().collect())

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.operators.ledger import DOCUMENT, JOB
+from foliograph.sources.commits import read_file, replace_file
 
 
 def page_lines(pages: DataFrame, assets: DataFrame, results: DataFrame) -> DataFrame:
@@ -30,19 +33,19 @@ def job_lines(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", F.to_json(F.struct(*JOB)).alias("value"))
 
 
-def write_lines(lines: DataFrame, path: str, *order: str) -> None:
-    """Ordered over the whole export by ranges, not in one task; a failed write leaves the export before it, under its name or, if the job dies between two renames, beside it (.old)."""
-    spark = lines.sparkSession
-    staged = f"{path}.new"
-    (lines.orderBy(*order) if order else lines).select("value").write.mode("overwrite").text(staged)
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
-    fs.delete(aside, True)
-    if fs.exists(old) and not fs.rename(old, aside):
-        raise OSError(f"{path} could not be put aside")
-    if not fs.rename(new, old):
-        fs.rename(aside, old)
-        raise OSError(f"{path} could not be replaced")
-    fs.delete(aside, True)
+def write_lines(lines: DataFrame, path: str, *order: str) -> str:
+    """Ordered over the whole export by ranges, not in one task.  Returns the folder written.
+
+    Each export is a folder of its own below ``path``; one file says which is
+    the current one and is replaced in one step, so readers see the export
+    before it or all of the new one.
+    """
+    name = uuid.uuid4().hex
+    (lines.orderBy(*order) if order else lines).select("value").write.text(f"{path}/{name}")
+    replace_file(lines.sparkSession, f"{path}/current", name)
+    return f"{path}/{name}"
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The current export."""
+    return spark.read.text(f"{path}/{read_file(spark, f'{path}/current')}")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as X
-from foliograph.schemas import TABLES
 
 
 class Renderer(Protocol):
@@ -121,12 +120,3 @@ def text_record(page: dict, raw: str) -> dict:
         "analysis": {"title": f"第 {page['page_number']} 页分析", "summary": line[:240], "visible_text": shown, "topics": ["页面分析"], "keywords": []},
         "retrieval": {"bm25_text": shown}, "model": {"provider": "mock", "model_name": "mock-v1"},
     }
-
-
-def ledger_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A ledger table of a workspace; an empty one where nothing was written yet."""
-    path = f"{root}/ledger/{name}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], TABLES[name])
-    return spark.read.parquet(path)

@@ -1,13 +1,19 @@
 """Import, analyse, index, search and export of one workspace; the old index survives a failed rebuild."""
 
+import hashlib
 import json
 
 import pytest
 
-from foliograph.operators import lifecycle, search
+from foliograph.operators import builds, lifecycle, mutations, search
+from foliograph.sources import export
 from foliograph.workspace import Workspace
 
 
+def outcomes(df):
+    return {r["outcome"]: r["count"] for r in df.collect()}
+
+
 def test_round_trip(spark, tmp_path):
     files = tmp_path / "in"
     files.mkdir()
@@ -17,13 +23,20 @@ def test_round_trip(spark, tmp_path):
     (files / "d.txt").write_text("ignored")
     ws = Workspace(spark, str(tmp_path / "ws"))
     assert ws.import_files(str(files)) == 2
+    commits = ws.log.state().version
     assert ws.import_files(str(files)) == 0
+    assert [r.status for r in ws.log.read("documents").collect()].count("importing") == 2  # each was, once
+    pages = ws.table("page_records").collect()
+    assert all(hashlib.sha256(ws.image(p.image_hash)).hexdigest() == p.image_hash for p in pages) and ws.image("none") is None
+    assert ws.log.state().version > commits and ws.table("images").count() == ws.table("image_assets").count()
     bad = lambda page: "no object here 采购合同" if page["page_number"] == 1 else "{"
-    assert {r["outcome"]: r["count"] for r in ws.analyse(bad).collect()} == {"succeeded": 2}
-    ws.analyse()
+    assert outcomes(ws.analyse(bad, "own", "own-1")) == {"succeeded": 2}
+    assert {(r.provider, r.model_name) for r in ws.results().collect()} == {("own", "own-1")}
+    assert outcomes(ws.analyse()) == {}
     with pytest.raises(lifecycle.IndexProblem, match="index_not_ready"):
         ws.search("合同")
     assert ws.search("  ") == {"items": [], "query": "", "limit": 20}
+    assert ws.index_status()["status"] == "not_built"
     pointer = ws.rebuild_index("1")
     assert ws.index_status()["status"] == "ready"
     hits = ws.search("采购合同", 5)
@@ -36,10 +49,71 @@ def test_round_trip(spark, tmp_path):
     assert [h["page_id"] for h in ws.search(f'"采购合同" AND page_id:{page}')["items"]] == [page]
     assert not ws.search("采购合同 AND NOT object")["items"]
     assert lifecycle.read_pointer(spark, ws.index_root) == pointer
-    ws.export()
-    lines = [json.loads(x.value) for x in spark.read.text(str(tmp_path / "ws/metadata/pages.jsonl")).collect()]
-    assert lines and all("page_id" in x for x in lines)
+    for _ in range(2):
+        ws.export()
+    lines = [json.loads(x.value) for x in export.read_lines(spark, str(tmp_path / "ws/metadata/pages.jsonl")).collect()]
+    assert len(lines) == len(pages) and all("page_id" in x for x in lines)
     assert [r["succeeded_pages"] for r in ws.documents().collect()] == [1, 1]
+    assert {(r.job_type, r.status) for r in ws.jobs().collect()} == {("import", "succeeded"), ("page_analysis_batch", "succeeded"), ("index_rebuild", "succeeded")}
+
+
+def test_again_retry_and_deletion(spark, tmp_path):
+    files = tmp_path / "in"
+    files.mkdir()
+    (files / "a.pdf").write_text("x" * 2500)
+    (files / "b.pdf").write_text("bad")
+    ws = Workspace(spark, str(tmp_path / "ws"))
+
+    def broken(name, content):
+        if name == "b.pdf":
+            raise OSError("cannot be read")
+        return [content[k : k + 1000] for k in range(0, len(content), 1000)]
+
+    assert ws.import_files(str(files), broken) == 2
+    state = {r.original_filename: r for r in ws.table("documents").collect()}
+    assert (state["a.pdf"].status, state["b.pdf"].status) == ("ready", "failed")
+    a, b = state["a.pdf"].document_id, state["b.pdf"].document_id
+    some = lambda page: "text" if page["page_number"] < 3 else 1 / 0
+    assert outcomes(ws.analyse(some)) == {"failed": 1, "succeeded": 2}
+    assert ws.table("errors").where("stage = 'analysis' AND code LIKE 'model_failed%'").count() == 1
+    taken = mutations.lease(ws.log, ws.table("page_records").where("page_number = 1"), forced=True)  # another session
+    assert outcomes(ws.reanalyse_document(a)) == {"skipped": 1, "succeeded": 2}
+    mutations.release(taken)
+    assert outcomes(ws.reanalyse_document(a, some)) == {"failed": 1, "succeeded": 2}
+    assert outcomes(ws.reanalyse_failed(a)) == {"succeeded": 1}
+    with pytest.raises(mutations.LedgerProblem, match="document_not_failed"):
+        ws.retry_import(a)
+    assert ws.retry_import(b) == 1
+    assert {r.document_id: (r.status, r.page_count) for r in ws.table("documents").collect()} == {a: ("ready", 3), b: ("ready", 1)}
+    ws.delete_document(a)
+    assert [r.document_id for r in ws.table("page_records").collect()] == [b] and ws.results().count() == 0 and ws.table("images").count() == 1
+    assert (files / "a.pdf").exists()  # it lies outside the workspace
+    ws.set("k", "1")
+    ws.set("k", "2")
+    assert (ws.setting("k"), ws.setting("none", "d")) == ("2", "d")
+
+
+def test_builds(spark, tmp_path):
+    ws = Workspace(spark, str(tmp_path / "ws"))
+    with pytest.raises(lifecycle.IndexProblem, match="index_no_documents"):
+        ws.rebuild_index("0")
+    build = builds.start(ws.log, "v1", "there", "2024-01-01T00:00:00Z")
+    with pytest.raises(mutations.LedgerProblem, match="index_version_exists"):
+        builds.start(ws.log, "v1", "there")
+    build.beat("2024-01-01T00:05:00Z")
+    assert builds.fail_stale(ws.log, "2024-01-01T00:04:00Z").result == 0
+    other = builds.start(ws.log, "v2", "there", "2024-01-01T00:09:00Z")
+    assert builds.fail_stale(ws.log, "2024-01-01T00:06:00Z").result == 1
+    assert builds.fail_stale(ws.log, "2024-01-01T00:06:00Z").result == 0
+    with pytest.raises(mutations.LedgerProblem, match=builds.LOST):
+        build.ready(5)
+    other.ready(7, "2024-01-01T00:10:00Z")
+    assert builds.active(ws.log).first().version_id == "v2"
+    row = builds.version(ws.log, "v1").first()
+    assert (row.status, row.error_code) == ("failed", builds.STALE)
+    third = builds.start(ws.log, "v3", "there")
+    third.failed("disk_full", "no room")
+    assert builds.active(ws.log).first().version_id == "v2" and builds.version(ws.log, "v3").first().error_message == "no room"
 
 
 def test_files_without_pages(spark, tmp_path):
