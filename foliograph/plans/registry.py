@@ -2,36 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions import records as R
 from foliograph.functions import text as X
 from foliograph.operators import ledger as L
 from foliograph.operators import grammar, lifecycle, positions, search
+from foliograph.plans import changes
+from foliograph.plans.base import QUERIES, SQLS, query
 from foliograph.plans.views import SQL, Views
 from foliograph.sources import export, files
 
-_QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 DOC, PAGE, JOB = ", ".join(L.DOCUMENT), ", ".join(L.PAGE), ", ".join(L.JOB)
 ROOT_DOC = "1"
 QUERY = "the and"
 SPACES = "[" + "".join(R.WHITE).replace("\n", "\\n").replace("\t", "\\t").replace("\r", "\\r").replace("\x0b", "\\x0B").replace("\x0c", "\\f") + "]"
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def put(f):
-        _QUERIES[name or f.__name__] = f
-        if sql is not None:
-            _SQL[name or f.__name__] = sql
-        return f
-
-    return put
-
-
 def trimmed(sql: str) -> str:
     return f"regexp_replace({sql}, '^{SPACES}+|{SPACES}+$', '', 'g')"
 
@@ -213,9 +200,12 @@ def status_labels(v):
     return v.pages.select("page_id", L.mapped(s, L.PAGE_LABELS, s).alias("label"), L.mapped(s, L.PAGE_TONES, F.lit("neutral")).alias("tone"))
 
 
-@query("SELECT kind, CAST(position AS INT) AS position, status FROM (VALUES ('document',0,'pending'),('document',1,'importing'),('document',2,'ready'),('document',3,'failed'),('page',0,'pending'),('page',1,'rendered'),('page',2,'analysis_pending'),('page',3,'analyzed'),('page',4,'failed'),('job',0,'queued'),('job',1,'running'),('job',2,'succeeded'),('job',3,'failed'),('job',4,'cancelled')) t(kind, position, status)")
+@query("WITH t(kind, position, status) AS (VALUES ('document',0,'pending'),('document',1,'importing'),('document',2,'ready'),('document',3,'failed'),('page',0,'pending'),('page',1,'rendered'),('page',2,'analysis_pending'),('page',3,'analyzed'),('page',4,'failed'),('job',0,'queued'),('job',1,'running'),('job',2,'succeeded'),('job',3,'failed'),('job',4,'cancelled')), held AS (SELECT 'document' AS kind, status FROM ledger_documents UNION ALL SELECT 'page', status FROM page_records UNION ALL SELECT 'job', status FROM jobs) SELECT kind, CAST(position AS INT) AS position, status, count(h.status) AS rows_ FROM t LEFT JOIN held h USING (kind, status) GROUP BY ALL")
 def status_catalog(v):
-    return L.status_catalog(v.spark)
+    """The states that there are, each with the rows that are in it."""
+    held = v.documents.select(F.lit("document").alias("kind"), "status").unionByName(v.pages.select(F.lit("page").alias("kind"), "status")).unionByName(v.jobs.select(F.lit("job").alias("kind"), "status"))
+    counts = held.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("rows_"))
+    return L.status_catalog(v.spark).join(counts, ["kind", "status"], "left").select("kind", "position", "status", F.coalesce("rows_", F.lit(0)).alias("rows_"))
 
 
 @query("SELECT event_id, concat_ws(',', CASE WHEN NOT (progress * 4 BETWEEN 72 AND 300) THEN 'default_image_dpi' END, CASE WHEN NOT (progress % 10 BETWEEN 1 AND 8) THEN 'conversion_concurrency' END, CASE WHEN NOT (progress % 12 BETWEEN 1 AND 8) THEN 'analysis_concurrency' END, CASE WHEN progress * 20 < 1024 THEN 'api_port' END) AS problems FROM job_events")
@@ -570,8 +560,17 @@ def sanitize_language(v):
 
 @query(f"SELECT page_id, '第 ' || page_number || ' 页分析' AS title, coalesce(left(list_filter(list_transform(string_split({trimmed('slice')}, chr(10)), lambda x: {trimmed('x')}), lambda x: x <> '')[1], 240), '模型未返回结构化 JSON，原始响应已保留。') AS summary, '页面分析' AS topic FROM page_records")
 def fallback_record(v):
-    shown = F.coalesce(X.blank_to_null(F.left(X.ws_trim(F.col("slice")), F.lit(R.FIELD_CHARS))), F.lit("模型未返回结构化 JSON，原始响应已保留。"))
-    return v.pages.select("page_id", F.format_string("第 %d 页分析", "page_number").alias("title"), X.first_line_summary(shown).alias("summary"), F.lit("页面分析").alias("topic"))
+    """The record that is made of an answer without an object: here the page's own text is the answer."""
+    import pandas as pd
+
+    names = ["page_id", "document_id", "page_number", "image_hash", "image_path"]
+
+    def run(batches):
+        for b in batches:
+            made = [files.text_record(dict(zip(names, row, strict=True)), text) for *row, text in b[[*names, "slice"]].itertuples(index=False)]
+            yield pd.DataFrame({"page_id": [m["page_id"] for m in made], "title": [m["analysis"]["title"] for m in made], "summary": [m["analysis"]["summary"] for m in made], "topic": [m["analysis"]["topics"][0] for m in made]})
+
+    return v.pages.select(*names[:4], F.lit(None).cast("string").alias("image_path"), "slice").mapInPandas(run, "page_id string, title string, summary string, topic string")
 
 
 @query("SELECT document_id, ['\\\\srv\\' || document_id, 'C:\\' || document_id, 'plain/' || document_id][seq % 3 + 1] AS shown, replace(['\\\\srv\\' || document_id, 'C:\\' || document_id, 'plain/' || document_id][seq % 3 + 1], '\\', '/') AS slashed FROM raw_documents")
@@ -705,15 +704,7 @@ def index_status(v):
     return lifecycle.status(v.versions, v.active, v.pages, search.index_documents(v.results))
 
 
-@query("SELECT count(*) AS documents, round(avg(length(lower(body)) - 1), 6) AS average FROM (" + f"SELECT {COMBINED} AS body FROM analysis_results WHERE status = 'succeeded')")
-def index_rebuild_result(v):
-    docs = search.index_documents(v.results)
-    return search.lengths(docs).agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("length"), 6).alias("average"))
-
-
-@query("SELECT version_id, 'failed' AS status FROM index_versions WHERE status = 'building'")
-def stale_builds(v):
-    return v.versions.where("status = 'building'").select("version_id", F.lit("failed").alias("status"))
+changes.put_sql(COMBINED)
 
 
 @query("SELECT job_id AS document_id, event_type AS status, created_at AS updated_at FROM job_events QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1")
@@ -751,12 +742,12 @@ def index_ledger_drift(v):
 
 
 def queries() -> dict:
-    return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, f in _QUERIES.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for name, sql in _SQL.items():
+    for name, sql in SQLS.items():
         body = sql.strip()
         out[name] = f"WITH {SQL}, {body[5:]}" if body.startswith("WITH ") else f"WITH {SQL} {body}"
     return out

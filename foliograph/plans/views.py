@@ -130,7 +130,8 @@ class Views:
     @cached_property
     def active(self) -> DataFrame:
         """The newest version that is ready and older than the newest three days."""
-        ready = self.versions.where("status = 'ready' AND version_id <= 'v-2024-01-27'")
+        newest = F.broadcast(self.versions.agg(F.date_sub(F.to_date(F.substring(F.max("version_id"), 3, 10)), 3).cast("string").alias("day")))  # one row
+        ready = self.versions.where("status = 'ready'").crossJoin(newest).where(F.substring("version_id", 3, 10) <= F.col("day"))
         return ready.groupBy("provider").agg(F.max("version_id").alias("version_id"), F.max("updated_at").alias("updated_at"))
 
 
@@ -188,5 +189,5 @@ index_versions AS (
     'indexes/bm25/build-' || day AS index_directory, n AS document_count, a AS created_at, b AS updated_at
   FROM (SELECT substr(created_at, 1, 10) AS day, count(*) AS n, min(created_at) AS a, max(created_at) AS b FROM job_events GROUP BY 1)
 ),
-index_active AS (SELECT provider, max(version_id) AS version_id, max(updated_at) AS updated_at FROM index_versions WHERE status = 'ready' AND version_id <= 'v-2024-01-27' GROUP BY provider)
+index_active AS (SELECT provider, max(version_id) AS version_id, max(updated_at) AS updated_at FROM index_versions WHERE status = 'ready' AND substr(version_id, 3) <= (SELECT CAST(CAST(substr(max(version_id), 3) AS DATE) - 3 AS VARCHAR) FROM index_versions) GROUP BY provider)
 """
