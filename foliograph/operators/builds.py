@@ -93,6 +93,15 @@ def active(log: Log) -> DataFrame:
 
 
 def version(log: Log, version_id: str) -> DataFrame:
-    """A version with the error it ended with."""
-    errors = log.read("errors").select("error_id", F.col("code").alias("error_code"), F.col("message").alias("error_message"), "correlation_id")
-    return log.current("index_versions").drop(VERSION).where(F.col("version_id") == version_id).join(errors, "error_id", "left")
+    """A version with the error it ended with; of versions and errors only the parts that may hold them are read."""
+    state = log.state()
+    rows = log.lookup("index_versions", "version_id", version_id, state)
+    newest = rows.groupBy("version_id").agg(F.max_by(F.struct(*rows.columns), F.struct(VERSION, "_number")).alias("row")).select("row.*").drop(VERSION, "_number")
+    found = newest.select("error_id").first()
+    told = ["error_id", F.col("code").alias("error_code"), F.col("message").alias("error_message"), "correlation_id"]
+    errors = log.lookup("errors", "error_id", found[0], state) if found and found[0] else log.read("errors", state, only=[])
+    return newest.join(errors.select(*told), "error_id", "left")
+
+
+def error(log: Log, correlation_id: str) -> DataFrame:
+    return log.lookup("errors", "correlation_id", correlation_id)

@@ -25,11 +25,12 @@ import os
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.schemas import KEYS, TABLES
+from foliograph.schemas import KEYS, MIGRATIONS, TABLES, columns_at, lifted
 
 #: Groups of keys that conflicts are told apart by.
 BUCKETS = 4096
@@ -40,6 +41,11 @@ ATTEMPTS = 20
 #: Columns that the log adds: the commit of a row, its number, and its place in its partition.
 VERSION, NUMBER, PLACE = "_version", "_number", "_place"
 _IN_PARTITION = (1 << 33) - 1
+#: Columns by which rows are looked up, beside a table's key.
+LOOKED_UP = {"errors": ("correlation_id",), "documents": ("file_hash",), "index_versions": ("error_id",)}
+#: A part of up to so many rows has a Bloom filter of these columns in its commit, of BLOOM_BITS bits a row and HASHES
+#: hashes; larger ones have their columns' ranges there, and Parquet's own filters in their files.
+BLOOM_ROWS, BLOOM_BITS, HASHES = 10_000, 10, 7
 
 
 class Conflict(RuntimeError):
@@ -125,6 +131,24 @@ def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.sql(f"SELECT {', '.join(f'cast({n} AS {kind}) AS {n}' for n, kind in fields)} FROM VALUES {cells} AS t({', '.join(n for n, _ in fields)})")
 
 
+def _told(df: DataFrame, key: str, columns: tuple, rows: int) -> tuple[int, dict]:
+    """The groups of a part's keys, and of the columns the ranges and Bloom filters, in one pass."""
+    columns = tuple(c for c in columns if dict(df.dtypes)[c] == "string")
+    bits = BLOOM_BITS * rows if rows <= BLOOM_ROWS else 0
+    asked = [F.collect_set(F.pmod(F.xxhash64(key), F.lit(BUCKETS)))]
+    for c in columns:
+        at = F.array(*[F.pmod(F.pmod(F.xxhash64(c), F.lit(bits)) + k * F.pmod(F.xxhash64(c, F.lit(1)), F.lit(bits)), F.lit(bits)) for k in range(HASHES)]) if bits else F.array(F.lit(0))
+        asked += [F.min(c), F.max(c), F.collect_set(F.when(F.col(c).isNotNull(), at))]
+    found = df.agg(*[x.alias(f"c{k}") for k, x in enumerate(asked)]).first()
+    told = {}
+    for k, c in enumerate(columns):
+        least, most, places = found[1 + 3 * k : 4 + 3 * k]
+        told[c] = {"least": least, "most": most}
+        if bits:
+            told[c] |= {"bits": bits, "bloom": f"{sum(1 << p for p in {p for own in places for p in own}):x}"}
+    return sum(1 << b for b in found[0]), told
+
+
 @dataclass
 class State:
     """What a reader needs of all commits up to one: the live parts of each table, batches done, numbers given, files to remove."""
@@ -159,8 +183,9 @@ class State:
 class Log:
     """The ledger under ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, f"{root.rstrip('/')}/ledger"
+    def __init__(self, spark: SparkSession, root: str, migrations: tuple = MIGRATIONS):
+        self.spark, self.root, self.migrations = spark, f"{root.rstrip('/')}/ledger", migrations
+        self.generation = max(m.version for m in migrations)
         self.folder = f"{self.root}/_commits"
         self._commits: dict[int, dict] = {}
         self._state = State()
@@ -204,20 +229,66 @@ class Log:
     def part(self, table: str, part: str) -> str:
         return f"{self.root}/{table}/part={part}"
 
-    def read(self, table: str, state: State | None = None, after: int = 0, places: bool = False) -> DataFrame:
-        """The live rows of a table with the commit and the number of each; of commits after ``after`` only.
+    def migrate(self, now: str | None = None) -> list[int]:
+        """Record the generations that are not recorded yet, in order; returns them.  Old files stay: readers lift them."""
+
+        def work(own: Transaction) -> list[int]:
+            done = {r[0] for r in own.read("schema_migrations").select("version").collect()}
+            new = sorted((m.version, m.name) for m in self.migrations if m.version not in done)
+            if new:
+                at = F.lit(now) if now else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+                own.add("schema_migrations", _small(self.spark, new, "version long, name string").withColumn("applied_at", at), guards=("schema_migrations",))
+            return [v for v, _ in new]
+
+        return self.run(work).result
+
+    def candidates(self, table: str, column: str, value: str, state: State | None = None) -> list[str]:
+        """The live parts that may hold a value, by their ranges and Bloom filters; nothing of the table is read."""
+        state = state or self.state()
+        h1, h2 = self.spark.range(1).select(F.xxhash64(F.lit(value)), F.xxhash64(F.lit(value), F.lit(1))).first()
+        found = []
+        for part, told in state.parts.get(table, {}).items():
+            own = told.get("columns", {}).get(column)
+            if own is not None:
+                if own["least"] is None or not own["least"] <= value <= own["most"]:
+                    continue
+                bits = own.get("bits")
+                if bits:
+                    held = int(own["bloom"], 16)
+                    if any(not held >> ((h1 % bits + k * (h2 % bits)) % bits) & 1 for k in range(HASHES)):
+                        continue
+            found.append(part)
+        return found
+
+    def lookup(self, table: str, column: str, value: str, state: State | None = None) -> DataFrame:
+        """The rows with a value, from the parts that may hold it."""
+        state = state or self.state()
+        return self.read(table, state, only=self.candidates(table, column, value, state)).where(F.col(column) == value)
+
+    def read(self, table: str, state: State | None = None, after: int = 0, places: bool = False, only: list[str] | None = None) -> DataFrame:
+        """The live rows of a table with the commit and the number of each; of commits after ``after`` only, of the parts ``only``.
 
         ``places`` adds _file and _row, which :meth:`Transaction.hide` takes.
+        Parts of older generations are read as they were written, and lifted.
         """
         state = state or self.state()
-        live = {p: told for p, told in state.parts.get(table, {}).items() if told["version"] > after}
+        live = {p: told for p, told in state.parts.get(table, {}).items() if told["version"] > after and (only is None or p in only)}
         names = [f.name for f in TABLES[table]]
         extra = f"{VERSION} long, {NUMBER} long" + (", _file string, _row long" if places else "")
         if not live:
             return self.spark.sql("SELECT " + ", ".join(f"cast(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in TABLES[table])).limit(0).select("*", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in extra.split(", ")])
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in TABLES[table]) + f", {PLACE} long, {VERSION} long, {NUMBER} long, part string"
-        rows = self.spark.read.option("basePath", f"{self.root}/{table}").schema(schema).parquet(*[self.part(table, p) for p in live])
-        rows = rows.select(*names, PLACE, VERSION, NUMBER, "part", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        generations: dict[int, list[str]] = {}
+        for p, told in live.items():
+            generations.setdefault(told.get("generation", self.generation), []).append(p)
+        own = [PLACE, VERSION, NUMBER, "part", "_file", "_row"]
+        scans = []
+        for version, parts in sorted(generations.items()):
+            columns = columns_at(table, version, self.migrations)
+            schema = ", ".join(f"`{n}` {k}" for n, k in columns) + f", {PLACE} long, {VERSION} long, {NUMBER} long, part string"
+            scan = self.spark.read.option("basePath", f"{self.root}/{table}").schema(schema).parquet(*[self.part(table, p) for p in parts])
+            scan = scan.select(*[n for n, _ in columns], PLACE, VERSION, NUMBER, "part", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+            scans.append(lifted(scan, table, version, self.migrations).select(*names, *own))
+        rows = reduce(DataFrame.unionByName, scans)
         if state.hidden.get(table):
             bits = self.spark.read.parquet(*[f"{self.root}/{table}/_hidden/{x}" for x in state.hidden[table]]).groupBy("_file", "_word").agg(F.expr("bit_or(bits)").alias("_bits"))
             rows = rows.withColumn("_word", F.floor(F.col("_row") / 64)).join(bits, ["_file", "_word"], "left").where("_bits IS NULL OR (shiftright(_bits, cast(_row % 64 AS int)) & 1) = 0")
@@ -335,7 +406,8 @@ class Transaction:
         if part is None:
             return 0
         written = self.spark.read.parquet(self.log.part(table, part))
-        bits = buckets(written, KEYS[table])
+        bits, columns = _told(written, KEYS[table], (KEYS[table], *LOOKED_UP.get(table, ())), self.adds[table][part]["rows"])
+        self.adds[table][part]["columns"] = columns
         self.touched[table] = self.touched.get(table, 0) | bits
         for guard in guards:
             self.read_bits[guard] = self.read_bits.get(guard, 0) | bits
@@ -356,7 +428,7 @@ class Transaction:
         for at, n in counts:
             starts[str(at)] = total
             total += n
-        self.adds.setdefault(table, {})[part] = {"rows": total, "starts": starts} | ({"kept_numbers": True, "first": 0} if kept_numbers else {})
+        self.adds.setdefault(table, {})[part] = {"rows": total, "starts": starts, "generation": self.log.generation} | ({"kept_numbers": True, "first": 0} if kept_numbers else {})
         return part
 
     def touch(self, table: str, keys: DataFrame) -> None:

@@ -3,7 +3,9 @@
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
+from foliograph import schemas
 from foliograph.operators import mutations as M
 from foliograph.schemas import TABLES
 from foliograph.sources import commits
@@ -169,7 +171,7 @@ def test_deletion_is_seen_whole_or_not_at_all(spark, log, tmp_path, monkeypatch)
     assert before == {"documents": 3, "page_records": 12, "analysis_results": 6, "image_assets": 8}
     steps = []
     hide = commits.Transaction.hide
-    for dies_at in range(4):  # after none, one, two, three of the four tables
+    for dies_at in (0, 3):  # after none and after three of the tables
 
         def dying(self, table, rows, dies_at=dies_at, done=steps):
             if len(done) == dies_at:
@@ -243,7 +245,7 @@ def test_compaction_keeps_what_is_read(spark, log):
     assert sorted(log.read("job_events").collect()) == rows
     M.append_events(log, events(spark, range(90, 95)), "w", 3)
     assert sorted(r["_number"] for r in log.read("job_events").collect()) == list(range(35))
-    assert log.vacuum() and sorted(log.read("job_events", log.state()).collect())[: len(rows)] is not None
+    assert log.vacuum() and log.read("job_events").count() == 35
 
 
 def test_state_is_written_down(spark, log, monkeypatch):
@@ -253,3 +255,49 @@ def test_state_is_written_down(spark, log, monkeypatch):
     fresh = Log(spark, log.root.removesuffix("/ledger"))
     assert fresh.state().__dict__ == log.state().__dict__ and set(fresh._commits) == {5}
     assert fresh.read("job_events", fresh.state(3)).count() == 3
+
+
+def errors(spark, ids):
+    return spark.createDataFrame([(f"e{k:04}", "code", f"message {k}", "s", True, None, f"c{7919 * k % 10_000:04}", NOW) for k in ids], TABLES["errors"])
+
+
+def test_lookups_skip_parts(spark, log, monkeypatch):
+    for k in range(6):
+        M.record_errors(log, errors(spark, range(20 * k, 20 * k + 20)), "w", k)
+    assert [len(log.candidates("errors", "error_id", f"e{k:04}")) for k in (0, 45, 119)] == [1, 1, 1]
+    assert log.candidates("errors", "error_id", "e9999") == [] and log.lookup("errors", "error_id", "e9999").count() == 0
+    one = errors(spark, [45]).first()
+    # correlation ids are spread over all parts' ranges: the filters tell them apart
+    assert len(log.candidates("errors", "correlation_id", one.correlation_id)) <= 2
+    found = log.lookup("errors", "correlation_id", one.correlation_id)
+    assert [r.error_id for r in found.collect()] == ["e0045"]
+    files = found.select(F.input_file_name()).distinct().count()
+    parts = lambda df: len({f.split("part=")[1][:32] for f in df.inputFiles()})
+    assert files == 1 and parts(found) <= 2 and parts(log.read("errors")) == 6
+    monkeypatch.setattr(commits, "BLOOM_ROWS", 3)
+    M.record_errors(log, errors(spark, range(500, 520)), "w", 6)
+    assert [r.message for r in log.lookup("errors", "error_id", "e0510").collect()] == ["message 510"]
+
+
+def test_three_generations_read_as_one(spark, tmp_path, monkeypatch):
+    root, newest = str(tmp_path / "ws"), TABLES["settings"]
+    steps = [
+        schemas.Migration(1, "first"),
+        schemas.Migration(2, "when", {"settings": [("rename", "at", "updated_at"), ("drop", "owner", "string")]}),
+        schemas.Migration(3, "value", {"settings": [("add", "value", "string", "upper(key)")]}),
+    ]
+    assert [n for n, _ in schemas.columns_at("settings", 1, tuple(steps))] == ["key", "at", "owner"]
+    then = [schemas.T.StructType([schemas.T.StructField(n, schemas.T.StringType()) for n, _ in schemas.columns_at("settings", k + 1, tuple(steps))]) for k in range(3)]
+    for k in range(3):  # three releases, each with the tables of its day
+        log = Log(spark, root, tuple(steps[: k + 1]))
+        monkeypatch.setitem(commits.TABLES, "settings", then[k])
+        row = {"key": f"k{k}", "value": "own", "updated_at": NOW, "at": NOW, "owner": "o"}
+        log.run(lambda own, row=row: own.add("settings", spark.createDataFrame([tuple(row[f.name] for f in commits.TABLES["settings"])], commits.TABLES["settings"])))
+    monkeypatch.setitem(commits.TABLES, "settings", newest)
+    assert sorted(tuple(r) for r in log.current("settings").select("key", "value", "updated_at").collect()) == [("k0", "K0", NOW), ("k1", "K1", NOW), ("k2", "own", NOW)]
+    assert log.migrate(NOW) == [1, 2, 3]
+    version = log.state().version
+    assert log.migrate() == [] and log.state().version == version
+    log.compact("settings")
+    assert log.current("settings").where("key = 'k0' AND value = 'K0'").count() == 1
+    assert Log(spark, str(tmp_path / "other")).migrate() == [1, 2, 3, 4, 5]
