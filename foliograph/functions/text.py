@@ -167,6 +167,30 @@ def provider_name(provider: Column, base: Column, custom: Column, model: Column)
     return F.when(provider.isin("mimo", "xiaomi", "xiaomimimo") | ((provider == "openai") & own), "mimo").otherwise(provider)
 
 
+#: The providers that are known; each has an endpoint of its own and wants a key.
+PROVIDERS = ("siliconflow", "mimo", "openai", "anthropic")
+
+
+def model_name(c: Column) -> Column:
+    """Trimmed; names of one family are lower-cased, others stay."""
+    trimmed = ws_trim(c)
+    return F.when(F.lower(trimmed).startswith("mimo-"), F.lower(trimmed)).otherwise(trimmed)
+
+
+def missing_configuration(provider: Column, base: Column, custom: Column, model: Column, has_key: Column) -> Column:
+    """Names of what is still to be set before a model can be asked, in order."""
+    name = provider_name(provider, base, custom, model)
+    known = name.isin(*PROVIDERS)
+    blank = lambda c: F.coalesce(ws_trim(c), F.lit("")) == ""
+    checks = (("model_provider", ~known), ("model_name", blank(model)), ("endpoint", ~known & blank(base) & blank(custom)), ("api_key", ~F.coalesce(has_key, F.lit(False))))
+    return F.array_compact(F.array(*[F.when(wrong, field) for field, wrong in checks]))
+
+
+def date_label(c: Column) -> Column:
+    """A time as it is shown, short; what is no time is shown as it is."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(c), "y/M/d HH:mm:ss"), c)
+
+
 def bigrams(c: Column) -> Column:
     """All character pairs of the whole text, lower-cased: an empty match before each pair, which it captures."""
     return F.regexp_extract_all(F.lower(c), F.lit("(?s)(?=(..))"), F.lit(1))

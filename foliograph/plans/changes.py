@@ -144,6 +144,29 @@ def version_lookup(v):
     return v.versions.select("version_id", "status").join(now, "version_id")
 
 
+@query("SELECT error_id, code, details, correlation_id FROM errors WHERE correlation_id = (SELECT min_by(correlation_id, seq) FROM errors)")
+def error_lookup(v):
+    """An error by its correlation id: of three parts those are read whose range and Bloom filter let it pass."""
+    log = Log(v.spark, scratch(v.spark, "errors"))
+    whole = v.errors.withColumn("stage", F.lit("job")).withColumn("retryable", F.lit(True))
+    for batch in range(3):
+        M.record_errors(log, whole.where(F.col("seq") % 3 == batch), "writer", batch)
+    first = v.errors.agg(F.min_by("correlation_id", "seq")).first()[0]
+    return builds.error(log, first).select("error_id", "code", "details", "correlation_id")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_regionkey % 2 = 0 THEN n_name || ' again' ELSE n_name END AS value FROM nation")
+def settings_upsert(v):
+    """Settings written twice: the later value of a key stands, the log keeps both."""
+    log = Log(v.spark, scratch(v.spark, "settings"))
+    nation = v.table("nation")
+    given = nation.select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"), F.lit(NOW).alias("updated_at"))
+    log.run(lambda own: own.add("settings", given))
+    again = nation.where("n_regionkey % 2 = 0").select(F.col("n_nationkey").cast("string").alias("key"), F.concat("n_name", F.lit(" again")).alias("value"), F.lit(NOW).alias("updated_at"))
+    log.run(lambda own: own.add("settings", again))
+    return log.current("settings").select("key", "value")
+
+
 def put_sql(combined: str) -> None:
     """The rebuild's query needs the SQL of the searched text, which the other registry has."""
 

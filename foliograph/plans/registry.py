@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliograph.functions import prompts as P
 from foliograph.functions import records as R
 from foliograph.functions import text as X
 from foliograph.operators import ledger as L
@@ -580,6 +581,51 @@ def path_display(v):
     return v.raw_documents.select("document_id", X.path_display(given).alias("shown"), X.forward_slashes(X.path_display(given)).alias("slashed"))
 
 
+def _given(values: tuple, by: str = "seq"):
+    return F.element_at(F.array(*[F.lit(x) for x in values]), (F.col(by) % len(values) + 1).cast("int"))
+
+
+MODELS = (" MiMo-V2 ", "GPT-x", "mimo-Pro", "", "Qwen MIMO-1")
+
+
+@query(f"SELECT document_id, CASE WHEN lower(m) LIKE 'mimo-%' THEN lower(m) ELSE m END AS model_name FROM (SELECT document_id, trim({list(MODELS)}[seq % 5 + 1]) AS m FROM raw_documents)")
+def model_names(v):
+    return v.raw_documents.select("document_id", X.model_name(_given(MODELS)).alias("model_name"))
+
+
+OFFERED, ADDRESSES = ("mimo", " openai ", "xiaomi", "other", "siliconflow", "", "anthropic"), ("", " https://api.xiaomimimo.com/v1", "https://a.example ")
+
+
+@query(f"""SELECT document_id, concat_ws(',', CASE WHEN p NOT IN ('siliconflow', 'mimo', 'openai', 'anthropic') THEN 'model_provider' END, CASE WHEN m = '' THEN 'model_name' END,
+  CASE WHEN p NOT IN ('siliconflow', 'mimo', 'openai', 'anthropic') AND b = '' THEN 'endpoint' END, CASE WHEN seq % 4 <> 0 THEN 'api_key' END) AS missing
+  FROM (SELECT *, CASE WHEN o IN ('mimo', 'xiaomi') OR (o = 'openai' AND (contains(b, 'xiaomimimo.com') OR lower(m) LIKE 'mimo-%')) THEN 'mimo' ELSE o END AS p
+  FROM (SELECT document_id, seq, trim({list(OFFERED)}[seq % 7 + 1]) AS o, trim({list(ADDRESSES)}[seq % 3 + 1]) AS b, trim({list(MODELS)}[seq % 5 + 1]) AS m FROM raw_documents))""")
+def missing_configuration(v):
+    names = X.missing_configuration(_given(OFFERED), _given(ADDRESSES), F.lit(""), _given(MODELS), F.col("seq") % 4 == 0)
+    return v.raw_documents.select("document_id", F.array_join(names, ",").alias("missing"))
+
+
+@query("SELECT event_id, CASE WHEN seq % 5 = 0 THEN 'not a time' ELSE strftime(CAST(created_at AS TIMESTAMP), '%Y/%-m/%-d %H:%M:%S') END AS shown FROM job_events")
+def date_labels(v):
+    return v.events.select("event_id", X.date_label(F.when(F.col("seq") % 5 == 0, "not a time").otherwise(F.col("created_at"))).alias("shown"))
+
+
+def _prompt_sql() -> str:
+    """The prompt by JSON functions of the other engine: names sorted, two blanks a level."""
+    made = """replace(json_pretty(json_object('analysis', json_object('keywords', json('[]'), 'summary', '', 'title', '', 'topics', json('[]'), 'visible_text', ''), 'image_hash', image_hash, 'image_path', file_path,
+      'model', json_object('model_name', 'm"1', 'provider', 'openai'), 'page_id', page_id, 'retrieval', json_object('bm25_text', ''), 'schema_version', 'page_analysis_v1', 'source', json_object('document_id', document_id, 'original_filename', NULL, 'page_number', page_number)))::VARCHAR, '    ', '  ')"""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    whole = f"{text(P.CONTRACT + P.LANGUAGE)} || 'de-DE' || {text(P.VERSION + P.TEMPLATE)} || {made} || {text(P.TASK)}"
+    return f"SELECT page_id, length(p) AS chars, sha256(p) AS prompt_sha256, sha256(p || {text(P.AGAIN[0])} || 'bad' || {text(P.AGAIN[1])}) AS repair_sha256 FROM (SELECT page_id, {whole} AS p FROM page_records JOIN image_assets USING (image_hash))"
+
+
+@query(_prompt_sql())
+def page_prompts(v):
+    made = P.template(F.col("page_id"), F.col("document_id"), F.col("page_number"), F.col("image_hash"), F.col("file_path"), F.lit("openai"), F.lit('m"1'))
+    rows = v.pages.join(v.assets.select("image_hash", "file_path"), "image_hash").select("page_id", P.analysis(F.lit(" de-DE! "), made).alias("p"))
+    return rows.select("page_id", F.length("p").cast("long").alias("chars"), F.sha2("p", 256).alias("prompt_sha256"), F.sha2(P.repair(F.col("p"), F.lit("bad")), 256).alias("repair_sha256"))
+
+
 # --- search
 
 WORD_AND = """
