@@ -37,11 +37,12 @@ THRESHOLD = 0.7
 #: Words that report what others said, and marks that open a quotation; fixed values.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quoting cites cited word words term insult insults dit écrit appelle mot citation sagt sagte schrieb nannte wort zitat dijo escribió llamó palabra cita".split())
 ADDRESSING = frozenset("you your you're youre u ur tu te toi vous du dich dir dein ihr usted ustedes vosotros eres".split())
-#: Pairs of marks that hold a quotation; it ends before a line does.  A single mark opens
+#: Marks that open a quotation, and those that end it; it ends before a line does.  A single mark opens
 #: after something else than a letter and closes before it; a line that begins with > is quoted as a whole.
-QUOTED = re.compile(
-    r"\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]|«[^»\n]+»|‘[^’\n]+’(?!\w)|`[^`\n]+`|(?<!\w)'(?=\w)[^\n']*(?:(?<=\w)'(?=\w)[^\n']*)*'(?!\w)|^[ \t]*>[^\n]*", re.M
-)
+CLOSING = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’", "`": "`"}
+OPENING = re.compile(r"[\"“„«‘`]|(?<!\w)'(?=\w)|^[ \t]*>[^\n]*", re.M)
+SINGLE = re.compile(r"'(?!(?<=\w')\w)|\n")
+STOPS = {mark: re.compile(f"[{ends}\n]") for mark, ends in CLOSING.items()}
 QUOTES = frozenset("\"“”«»„‘`")
 
 #: Rows whose texts are held as Python strings at a time.
@@ -53,8 +54,8 @@ MOST_STATES = 6_000
 #: Signs that commonly stand beside a word.
 SIGNS = ".,;:!?()[]\"'“”„«»…"
 WORD = re.compile(r"[^\W\d_]+")
-#: Words with digits or signs between their letters.
-RUN = re.compile(r"[^\W\d_]+(?:(?:[^\w\s]|[\d_])+[^\W\d_]+)+")
+#: Words with digits or signs between their letters; nothing is given back, so a long token is read once.
+RUN = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:(?:[^\w\s]|[\d_])++[^\W\d_]++)+")
 FEATURES = ("exact_kinds", "exact", "begun_kinds", "begun", "near_kinds", "near", "quoted", "addressed", "share")
 
 
@@ -319,7 +320,7 @@ class Scorer:
         quoted = addressed = 0
         terms_met = set()
         found = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, sorted(hits, key=len, reverse=True))) + r")(?![^\W\d_])")
-        spans = [m.span() for m in QUOTED.finditer(low)]
+        spans = quotations(low)
         opened = [a for a, _ in spans]
         for m in found.finditer(low):
             kind, term = hits[m[0]]
@@ -340,6 +341,35 @@ class Scorer:
         return [log(kinds["exact"]), log(count["exact"]), log(kinds["begun"]), log(count["begun"]), log(kinds["near"]), log(count["near"]), log(quoted), log(addressed), min(1.0, 20 * total / max(1, len(words)))]
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where quotations stand, from left to right, none overlapping.
+
+    For each kind of mark the next place that ends it is found once and kept,
+    so unclosed marks, however many, cost one scan of their line.
+    """
+    out, at, stops, n = [], 0, {}, len(text)
+    while True:
+        opened = OPENING.search(text, at)
+        if opened is None:
+            return out
+        begin, mark = opened.start(), text[opened.start()]
+        at = begin + 1
+        if opened.end() > begin + 1 or mark == ">":  # a quoted line
+            at = opened.end()
+            out.append((begin, at))
+            continue
+        if stops.get(mark, -1) <= begin:
+            stop = (SINGLE if mark == "'" else STOPS[mark]).search(text, begin + 1)
+            stops[mark] = n if stop is None else stop.start()
+        stop = stops[mark]
+        if stop >= n or text[stop] == "\n" or (mark != "'" and stop == begin + 1):
+            continue
+        if mark in "‘'" and stop + 1 < n and (text[stop + 1].isalnum() or text[stop + 1] == "_"):
+            continue
+        at = stop + 1
+        out.append((begin, at))
+
+
 def _reported(before: str) -> bool:
     """Whether one of the last words names what follows as someone's words, with no quotation or sentence closed since."""
     words = list(WORD.finditer(before))[-5:]
