@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from foliograph.functions.text import sanitize_language
 from foliograph.schemas import SCHEMA_VERSION
 
-#: The texts that a model gets.  They have to be these word for word.
-CONTRACT = """你是 SLICER 的页面图片分析器。你必须只返回一个符合 schema_version=page_analysis_v1 的 JSON 对象。
+#: The texts that a model gets, word for word, but for the assistant's name.
+CONTRACT = """你是 Foliograph 的页面图片分析器。你必须只返回一个符合 schema_version=page_analysis_v1 的 JSON 对象。
 
 规则：
 - 所有可见内容摘要、标题、主题、关键词和检索文本都使用中文。
