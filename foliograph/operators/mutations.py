@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +35,8 @@ class LedgerProblem(RuntimeError):
 
 
 def moment(now: str | None) -> Column:
-    return F.lit(now) if now else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """One time for all that a call writes: ids that are made of it are the same in each of its tables."""
+    return F.lit(now or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ"))
 
 
 def mark(*parts) -> Column:

@@ -10,6 +10,7 @@ from foliograph.operators import mutations as M
 from foliograph.plans.base import query
 from foliograph.plans.views import Views
 from foliograph.schemas import TABLES
+from foliograph.sources import files
 from foliograph.sources.commits import Log
 from foliograph.sources.scratch import scratch
 
@@ -167,6 +168,56 @@ def settings_upsert(v):
     return log.current("settings").select("key", "value")
 
 
+def _sulky(page: dict) -> str:
+    """Answers every third page with an error, the others with a record."""
+    if page["page_number"] % 3 == 0:
+        raise TimeoutError("no answer")
+    return files.mock_model(page)
+
+
+AGAIN = "SELECT *, page_number % 2 = 0 AND status <> 'analysis_pending' AS taken FROM page_records WHERE seq % 10 = 1"
+
+
+@query(f"""SELECT page_id, CASE WHEN taken OR status = 'analysis_pending' THEN 'analysis_pending' WHEN page_number % 3 = 0 THEN 'failed' ELSE 'analyzed' END AS status,
+  CASE WHEN taken OR status = 'analysis_pending' THEN old WHEN page_number % 3 = 0 THEN 'failed' ELSE 'succeeded' END AS result, CASE WHEN NOT taken AND status <> 'analysis_pending' AND page_number % 3 = 0 THEN 'model_failed: TimeoutError' END AS error_code
+  FROM (SELECT p.*, r.status AS old FROM ({AGAIN}) p LEFT JOIN analysis_results r USING (page_id))""")
+def forced_reanalysis(v):
+    """Documents analysed again while another session holds their even pages; a model that fails for every third page."""
+    from foliograph.workspace import Workspace
+
+    log = _filled(v, "page_records", "analysis_results", "image_assets", "documents")
+    ws = Workspace(v.spark, log.root.removesuffix("/ledger"))
+    wanted = v.pages.where("seq % 10 = 1").select("page_id")
+    M.lease(log, v.pages.where("seq % 10 = 1 AND page_number % 2 = 0").select("page_id"), forced=True, now=NOW)
+    ws.reanalyse(wanted, _sulky, workers=8)
+    errors = log.read("errors").select("error_id", F.col("code").alias("error_code"))
+    results = log.current("analysis_results").select("page_id", F.col("status").alias("result"), "error_id").join(errors, "error_id", "left")
+    return log.current("page_records").select("page_id", "status").join(wanted, "page_id", "left_semi").join(results, "page_id", "left").select("page_id", "status", "result", "error_code")
+
+
+@query("SELECT code, pages, CASE WHEN code = 'model_timeout' THEN pages ELSE 0 END AS kept FROM (SELECT ['model_timeout', 'page_analysis_already_running', 'page_not_eligible_for_analysis', 'stale_page_analysis_lease_lost'][seq % 4 + 1] AS code, count(*) AS pages FROM (" + ELIGIBLE + ") GROUP BY 1)")
+def failure_rule(v):
+    """Failures of four kinds; three of them leave no row."""
+    log = _filled(v, "page_records", "analysis_results")
+    held = M.lease(log, now=NOW)
+    kinds = F.array(*[F.lit(x) for x in ("model_timeout", *M.NOT_KEPT)])
+    bad = v.pages.select("page_id", F.element_at(kinds, (F.col("seq") % 4 + 1).cast("int")).alias("code"), F.lit("no answer").alias("message"), F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("model_name"))
+    bad = bad.join(held.held().select("page_id"), "page_id", "left_semi")
+    M.fail(held, bad, NOW)
+    kept = log.current("page_records").where(F.col("status") == "failed").where(F.col("updated_at") == NOW).select("page_id", F.lit(1).alias("one"))
+    return bad.join(kept, "page_id", "left").groupBy("code").agg(F.count(F.lit(1)).alias("pages"), F.count("one").alias("kept"))
+
+
+@query("SELECT image_hash, image_hash AS content_sha256, file_size AS bytes, 1 AS copies FROM image_assets")
+def image_store(v):
+    """The pages' images imported twice over: each is kept once and its bytes come back under their hash."""
+    log = Log(v.spark, scratch(v.spark, "images"))
+    images = v.pages.select("image_hash", F.encode("slice", "UTF-8").alias("content"))
+    for _ in range(2):
+        log.run(lambda own: M.add_pages(own, v.pages.limit(0).select(*[f.name for f in TABLES["page_records"]]), v.assets, images))
+    return log.read("images").groupBy("image_hash").agg(F.sha2(F.first("content"), 256).alias("content_sha256"), F.first(F.octet_length("content")).cast("long").alias("bytes"), F.count(F.lit(1)).cast("int").alias("copies"))
+
+
 def put_sql(combined: str) -> None:
     """The rebuild's query needs the SQL of the searched text, which the other registry has."""
 

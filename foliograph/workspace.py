@@ -133,15 +133,18 @@ class Workspace:
         """Every page without a success; returns how many succeeded, failed and were skipped (outcome, count)."""
         return self._analyse("page_analysis_batch", None, False, model, provider, model_name, workers)
 
-    def reanalyse_document(self, document_id: str, model=files.mock_model, provider: str = "mock", model_name: str = "mock-v1", workers: int = DEFAULT_WORKERS) -> DataFrame:
-        """All pages of a document again, whatever they are; those that another session analyses just now are skipped."""
-        wanted = self.table("page_records").where(F.col("document_id") == document_id).select("page_id")
-        return self._analyse("document_reanalysis", wanted, True, model, provider, model_name, workers)
+    def reanalyse(self, wanted: DataFrame, model=files.mock_model, provider: str = "mock", model_name: str = "mock-v1", workers: int = DEFAULT_WORKERS, kind: str = "document_reanalysis") -> DataFrame:
+        """The pages ``wanted`` (page_id) again, whatever they are; those that another session analyses just now are skipped."""
+        return self._analyse(kind, wanted, True, model, provider, model_name, workers)
 
-    def reanalyse_failed(self, document_id: str, model=files.mock_model, provider: str = "mock", model_name: str = "mock-v1", workers: int = DEFAULT_WORKERS) -> DataFrame:
+    def reanalyse_document(self, document_id: str, model=files.mock_model, **options) -> DataFrame:
+        """All pages of a document again."""
+        return self.reanalyse(self.table("page_records").where(F.col("document_id") == document_id).select("page_id"), model, **options)
+
+    def reanalyse_failed(self, document_id: str, model=files.mock_model, **options) -> DataFrame:
         """The pages of a document that failed, or whose result did."""
         wanted = ledger.failed_pages(self.table("page_records"), self.results(), document_id).select("page_id")
-        return self._analyse("document_failed_reanalysis", wanted, True, model, provider, model_name, workers)
+        return self.reanalyse(wanted, model, kind="document_failed_reanalysis", **options)
 
     def _analyse(self, kind: str, wanted: DataFrame | None, forced: bool, model, provider: str, model_name: str, workers: int) -> DataFrame:
         if wanted is not None:

@@ -76,6 +76,7 @@ def test_again_retry_and_deletion(spark, tmp_path):
     some = lambda page: "text" if page["page_number"] < 3 else 1 / 0
     assert outcomes(ws.analyse(some)) == {"failed": 1, "succeeded": 2}
     assert ws.table("errors").where("stage = 'analysis' AND code LIKE 'model_failed%'").count() == 1
+    assert ws.table("analysis_results").join(ws.table("errors").select("error_id"), "error_id").count() == 1
     taken = mutations.lease(ws.log, ws.table("page_records").where("page_number = 1"), forced=True)  # another session
     assert outcomes(ws.reanalyse_document(a)) == {"skipped": 1, "succeeded": 2}
     mutations.release(taken)
