@@ -87,6 +87,11 @@ def fail_stale(log: Log, before: str, now: str | None = None) -> Transaction:
     return log.run(lambda own: _fail(own, own.current("index_versions").where((F.col("status") == "building") & (F.col("updated_at") < before)), STALE, "the build was interrupted", now))
 
 
+def fail_versions(log: Log, versions: DataFrame, now: str | None = None) -> Transaction:
+    """Fail these builds (version_id), as far as they are building still."""
+    return log.run(lambda own: _fail(own, own.current("index_versions").where("status = 'building'").join(versions, "version_id", "left_semi"), STALE, "the build was interrupted", now))
+
+
 def active(log: Log) -> DataFrame:
     """The active version's row; none where a version was never ready."""
     return log.current("index_versions").drop(VERSION).join(log.current("index_active").select("provider", "version_id"), ["provider", "version_id"], "left_semi")

@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliograph.operators import builds, lifecycle, mutations, search
 from foliograph.sources import export
@@ -152,3 +153,28 @@ def test_streaming_fold(spark, tmp_path):
             last[r.job_id] = r
     want = {r.job_id: r for r in job_fold.fold(events).collect()}
     assert last == want
+
+
+def test_silent_builds_are_failed_by_the_stream(spark, tmp_path):
+    from foliograph.sources.commits import Log
+    from foliograph.streaming import build_watch
+
+    log = Log(spark, str(tmp_path / "ws"))
+    at = lambda minute: f"2024-01-01T00:{minute:02}:00Z"
+    kept = {v: builds.start(log, v, "there", at(0)) for v in ("v1", "v2", "v3")}
+    schema = "version_id string, status string, at timestamp"
+    steps = [[(v, "building", at(0)) for v in kept], [("v2", "building", at(8)), ("v3", "ready", at(9))], [("v2", "building", at(16))], [("v2", "building", at(24))]]
+    for rows in steps:  # one file a micro-batch
+        df = spark.createDataFrame(rows, "version_id string, status string, t string").select("version_id", "status", F.to_timestamp("t").alias("at"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "beats"))
+    kept["v3"].ready(1, at(9))
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for _ in range(2):  # the second run finds nothing new
+            beats = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "beats"))
+            build_watch.fail_silent(log, beats, str(tmp_path / "cp"), now=at(30)).awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    assert {r.version_id: r.status for r in log.current("index_versions").collect()} == {"v1": "failed", "v2": "building", "v3": "ready"}
+    assert log.read("errors").count() == 1 and builds.active(log).first().version_id == "v3"
