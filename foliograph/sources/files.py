@@ -55,6 +55,11 @@ def render(files: DataFrame, renderer: Renderer = text_pages) -> DataFrame:
     return pages.withColumn("page_id", F.concat_ws("_", "document_id", F.col("page_number").cast("string"))).withColumn("image_hash", F.sha2("image", 256))
 
 
+#: What the stand-in model answers, and what a record says that was made of an answer without an object.
+MOCK_TITLE, MOCK_SUMMARY, MOCK_TEXT, MOCK_TOPICS, MOCK_KEYWORDS = "第 {} 页", "本地 mock provider 生成的确定性页面分析摘要。", "mock analysis text", ["mock", "analysis"], ["mock"]
+MADE_TITLE, MADE_TOPIC, NO_ANSWER = "第 {} 页分析", "页面分析", "模型未返回结构化 JSON，原始响应已保留。"
+
+
 def mock_model(page: dict) -> str:
     """The same answer for the same page, always."""
     import json
@@ -63,8 +68,8 @@ def mock_model(page: dict) -> str:
         {
             "schema_version": "page_analysis_v1", "page_id": page["page_id"], "image_hash": page["image_hash"], "image_path": page["image_path"],
             "source": {"document_id": page["document_id"], "page_number": page["page_number"], "original_filename": None},
-            "analysis": {"title": f"第 {page['page_number']} 页", "summary": "本地 mock provider 生成的确定性页面分析摘要。", "visible_text": "mock analysis text", "topics": ["mock", "analysis"], "keywords": ["mock"]},
-            "retrieval": {"bm25_text": "mock analysis text"}, "model": {"provider": "mock", "model_name": "mock-v1"},
+            "analysis": {"title": MOCK_TITLE.format(page["page_number"]), "summary": MOCK_SUMMARY, "visible_text": MOCK_TEXT, "topics": MOCK_TOPICS, "keywords": MOCK_KEYWORDS},
+            "retrieval": {"bm25_text": MOCK_TEXT}, "model": {"provider": "mock", "model_name": "mock-v1"},
         },
         ensure_ascii=False,
     )
@@ -112,11 +117,11 @@ def text_record(page: dict, raw: str) -> dict:
     """A record made of an answer that holds no object."""
     from foliograph.functions.records import FIELD_CHARS, WHITE
 
-    shown = raw.strip(WHITE)[:FIELD_CHARS] or "模型未返回结构化 JSON，原始响应已保留。"
+    shown = raw.strip(WHITE)[:FIELD_CHARS] or NO_ANSWER
     line = next((x.strip(WHITE) for x in shown.split("\n") if x.strip(WHITE)), "")
     return {
         "schema_version": "page_analysis_v1", "page_id": page["page_id"], "image_hash": page["image_hash"], "image_path": page["image_path"],
         "source": {"document_id": page["document_id"], "page_number": page["page_number"], "original_filename": None},
-        "analysis": {"title": f"第 {page['page_number']} 页分析", "summary": line[:240], "visible_text": shown, "topics": ["页面分析"], "keywords": []},
+        "analysis": {"title": MADE_TITLE.format(page["page_number"]), "summary": line[:240], "visible_text": shown, "topics": [MADE_TOPIC], "keywords": []},
         "retrieval": {"bm25_text": shown}, "model": {"provider": "mock", "model_name": "mock-v1"},
     }
