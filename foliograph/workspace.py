@@ -8,9 +8,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliograph.functions import text
 from foliograph.operators import builds, grammar, ledger, lifecycle, mutations, search
 from foliograph.schemas import SCHEMA_VERSION
-from foliograph.sources import export, files
+from foliograph.sources import export, files, settings
 from foliograph.sources.commits import VERSION, Log
 
 #: How many model calls may be under way at a time.
@@ -211,6 +212,22 @@ class Workspace:
         row = self.table("settings").where(F.col("key") == key).first()
         return default if row is None else row["value"]
 
+    def settings(self) -> dict:
+        """All settings: built in, then the ledger's record, then ``settings.json`` beside the ledger."""
+        return settings.merged(self.setting(settings.RECORD), settings.load(self.spark, f"{self.root}/settings.json", {}))
+
+    def missing_configuration(self, has_key: bool) -> list[str]:
+        """What is still to be set before a model can be asked."""
+        own = self.settings()
+        given = [F.lit(own[k]) for k in ("model_provider", "base_url", "custom_endpoint", "model_name")]
+        return list(self.spark.range(1).select(text.missing_configuration(*given, F.lit(has_key))).first()[0])
+
+    def first_page(self, document_id: str) -> dict | None:
+        """The first page of a document that has an image, with its path."""
+        pages = self.table("page_records").where(F.col("document_id") == document_id).join(self.table("image_assets").select("image_hash", "file_path"), "image_hash")
+        row = pages.orderBy("page_number").first()
+        return row and row.asDict()
+
     def search_documents(self) -> DataFrame:
         docs = search.index_documents(self.results())
         return docs.join(self.table("image_assets").select("image_hash", F.col("file_path").alias("image_path")), "image_hash", "left")

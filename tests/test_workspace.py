@@ -74,6 +74,7 @@ def test_again_retry_and_deletion(spark, tmp_path):
     state = {r.original_filename: r for r in ws.table("documents").collect()}
     assert (state["a.pdf"].status, state["b.pdf"].status) == ("ready", "failed")
     a, b = state["a.pdf"].document_id, state["b.pdf"].document_id
+    assert ws.first_page(a)["page_number"] == 1 and ws.first_page(b) is None
     some = lambda page: "text" if page["page_number"] < 3 else 1 / 0
     assert outcomes(ws.analyse(some)) == {"failed": 1, "succeeded": 2}
     assert ws.table("errors").where("stage = 'analysis' AND code LIKE 'model_failed%'").count() == 1
@@ -95,6 +96,23 @@ def test_again_retry_and_deletion(spark, tmp_path):
     assert (ws.setting("k"), ws.setting("none", "d")) == ("2", "d")
 
 
+def test_settings_in_layers(spark, tmp_path):
+    from foliograph.sources import settings
+
+    ws = Workspace(spark, str(tmp_path / "ws"))
+    assert ws.settings() == settings.DEFAULTS and ws.missing_configuration(False) == ["model_name", "api_key"]
+    ws.set(settings.RECORD, json.dumps({"model_provider": "own", "model_name": "m-1", "api_port": 2000, "unknown": 1}))
+    settings.save(spark, f"{ws.root}/settings.json", {"api_port": 3000})
+    assert {k: v for k, v in ws.settings().items() if v != settings.DEFAULTS[k]} == {"model_provider": "own", "model_name": "m-1", "api_port": 3000}
+    assert ws.missing_configuration(True) == ["model_provider", "endpoint"]
+    (tmp_path / "ws" / "settings.json").write_text("{")
+    for crc in (tmp_path / "ws").glob(".settings.json*.crc"):
+        crc.unlink()
+    with pytest.raises(mutations.LedgerProblem, match="settings_parse_failed"):
+        ws.settings()
+    assert ws.first_page("none") is None
+
+
 def test_builds(spark, tmp_path):
     ws = Workspace(spark, str(tmp_path / "ws"))
     with pytest.raises(lifecycle.IndexProblem, match="index_no_documents"):
