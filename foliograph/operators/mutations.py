@@ -238,7 +238,9 @@ def release(held: Lease, now: str | None = None) -> Transaction:
         pages = held.held(own)
         before = own.read("page_records").where(F.col(VERSION) < held.fence).join(pages.select("page_id"), "page_id", "left_semi")
         newest = F.max_by(F.struct("status", "error_summary"), F.struct(VERSION, NUMBER)).alias("was")
-        rows = pages.drop("status", "error_summary").join(before.groupBy("page_id").agg(newest), "page_id").select("*", "was.*").withColumn("updated_at", moment(now))
+        # where the rows before the lease were put together since, the page was rendered at least
+        was = [F.coalesce("was.status", F.lit("rendered")).alias("status"), F.col("was.error_summary").alias("error_summary")]
+        rows = pages.drop("status", "error_summary").join(before.groupBy("page_id").agg(newest), "page_id", "left").select("*", *was).withColumn("updated_at", moment(now))
         return own.add("page_records", rows, guards=("page_records",))
 
     return held.log.run(work)

@@ -7,8 +7,8 @@ what was committed since it began to read and goes on if nothing of it touches
 what it has read, or begins anew.
 
 - ``Transaction.reads`` and ``Transaction.add`` keep a bit for each of BUCKETS
-  groups of keys, so conflicts are found by comparing a few hundred bytes,
-  however many rows were read.
+  groups of keys, so most commits are told apart by comparing a few hundred
+  bytes, however many rows were read; where bits meet, the keys are compared.
 - A commit carries its writer's batch number; a batch that comes again adds
   nothing.
 - Rows of a commit are numbered without gaps: the number of its first row, what
@@ -377,7 +377,11 @@ class Transaction:
         self.removes: dict[str, list[str]] = {}
         self.hides: dict[str, list[str]] = {}
         self.read_bits: dict[str, int] = {}
+        #: the keys behind the bits, for an exact look; None where the whole table was read
+        self.read_keys: dict[str, list[DataFrame] | None] = {}
         self.touched: dict[str, int] = {}
+        #: tables of which keys were touched whose rows stay as they are
+        self.leaned: set[str] = set()
         self.writer: str | None = None
         self.batch: int | None = None
         self.version: int | None = None
@@ -392,8 +396,14 @@ class Transaction:
 
     def reads(self, table: str, keys: DataFrame | None = None) -> None:
         """This transaction depends on these keys (the first column) of a table, or on all of it."""
-        every = (1 << BUCKETS) - 1
-        self.read_bits[table] = self.read_bits.get(table, 0) | (every if keys is None else buckets(keys, keys.columns[0]))
+        self._rely(table, (1 << BUCKETS) - 1 if keys is None else buckets(keys, keys.columns[0]), keys)
+
+    def _rely(self, table: str, bits: int, keys: DataFrame | None) -> None:
+        self.read_bits[table] = self.read_bits.get(table, 0) | bits
+        if keys is None:
+            self.read_keys[table] = None
+        elif self.read_keys.get(table, []) is not None:
+            self.read_keys.setdefault(table, []).append(keys.select(F.col(keys.columns[0]).alias("key")))
 
     def add(self, table: str, rows: DataFrame, guards: tuple[str, ...] = ()) -> int:
         """Append rows (all of the table's columns); returns their number.
@@ -410,7 +420,7 @@ class Transaction:
         self.adds[table][part]["columns"] = columns
         self.touched[table] = self.touched.get(table, 0) | bits
         for guard in guards:
-            self.read_bits[guard] = self.read_bits.get(guard, 0) | bits
+            self._rely(guard, bits, written.select(KEYS[table]))
         return self.adds[table][part]["rows"]
 
     def _write(self, table: str, rows: DataFrame, kept_numbers: bool = False) -> str | None:
@@ -435,7 +445,8 @@ class Transaction:
         """These keys (the first column) are relied upon by what is written here, though their rows stay as they are."""
         bits = buckets(keys, keys.columns[0])
         self.touched[table] = self.touched.get(table, 0) | bits
-        self.read_bits[table] = self.read_bits.get(table, 0) | bits
+        self.leaned.add(table)
+        self._rely(table, bits, keys)
 
     def hide(self, table: str, rows: DataFrame) -> int:
         """Delete rows that were read with their places; returns their number."""
@@ -444,7 +455,7 @@ class Transaction:
         own = rows.select(F.col(KEYS[table]).alias("key"), "_file", "_row")
         keys = buckets(own, "key")
         self.touched[table] = self.touched.get(table, 0) | keys
-        self.read_bits[table] = self.read_bits.get(table, 0) | keys
+        self._rely(table, keys, own)
         bits = own.groupBy("_file", F.floor(F.col("_row") / 64).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_row % 64 AS int)))").alias("bits"))
         bits.write.parquet(path)
         n = self.spark.read.parquet(path).agg(F.sum(F.expr("bit_count(bits)"))).first()[0]
@@ -452,9 +463,17 @@ class Transaction:
             self.hides.setdefault(table, []).append(name)
         return n or 0
 
+    def _overlaps(self, table: str, other: dict) -> bool:
+        """Whether keys that fell into the same groups are the same keys: those read here, and those of the rows that the other commit wrote."""
+        own = self.read_keys.get(table)
+        if own is None or table in other["hides"] or table in other.get("leaned", []) or table not in other["adds"]:
+            return True
+        theirs = self.spark.read.parquet(*[self.log.part(table, p) for p in other["adds"][table]]).select(F.col(KEYS[table]).alias("key"))
+        return not reduce(DataFrame.unionByName, own).join(theirs, "key", "left_semi").isEmpty()
+
     def _clashes(self, other: dict) -> str | None:
         for table, bits in self.read_bits.items():
-            if int(other["touched"].get(table, "0"), 16) & bits:
+            if int(other["touched"].get(table, "0"), 16) & bits and self._overlaps(table, other):
                 return table
         for table in self.hides:
             if table in other["removes"]:
@@ -479,7 +498,7 @@ class Transaction:
                 if table:
                     raise Conflict(f"{table} was changed by commit {v}")
             seen = newest
-            commit = {"version": newest + 1, "adds": self.adds, "removes": self.removes, "hides": self.hides, "touched": {t: f"{b:x}" for t, b in self.touched.items()}, "writer": self.writer, "batch": self.batch, "told": self.told}
+            commit = {"version": newest + 1, "adds": self.adds, "removes": self.removes, "hides": self.hides, "touched": {t: f"{b:x}" for t, b in self.touched.items()}, "writer": self.writer, "batch": self.batch, "told": self.told, "leaned": sorted(self.leaned)}
             if put_if_absent(self.spark, log._name(newest + 1), json.dumps(commit)):
                 self.version = newest + 1
                 if self.version % SNAPSHOT_EVERY == 0:

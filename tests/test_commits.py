@@ -75,6 +75,17 @@ def test_each_page_is_leased_by_one_session(spark, log):
     assert none.pages == 0 and held(none) == set()
 
 
+def test_keys_of_one_group_are_told_apart(spark, log, monkeypatch):
+    monkeypatch.setattr(commits, "BUCKETS", 1)  # all keys are of one group
+    log.run(lambda own: own.add("page_records", pages(spark, 12)))
+    a, b, c = log.begin(), log.begin(), log.begin()
+    first = M.lease(log, pages(spark, 6), begun=a)
+    second = M.lease(log, pages(spark, 6, first=6), begun=b)
+    assert (a.version, b.version) == (first.fence, second.fence) == (2, 3)  # neither began anew
+    third = M.lease(log, pages(spark, 3, first=5), begun=c)
+    assert (c.version, third.pages) == (None, 0)
+
+
 def test_sessions_at_the_same_time(spark, log):
     log.run(lambda own: own.add("page_records", pages(spark, 30)))
     got = {}
