@@ -12,6 +12,7 @@ its documents together by position.  Decoding looks the ids up in the token-byte
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,10 @@ BLOCK_TOKENS = 2_000_000
 #: A block's words travel in so many parcels for each shuffle partition; a word's parcel is decided by its hash.
 PARCELS = 2
 
+#: Steps of a plan, by the names at the beginnings of its lines, after which rows might come in another order the second
+#: time.  (A scan of files names its InMemoryFileIndex further on in its line.)
+MOVING = re.compile(r"^[\s:+*()\d-]*\w*(Exchange|Python|MapIn|FlatMap|Sample|InMemory|Coalesce)", re.MULTILINE)
+
 BLOCKS = "block long, row_ids array<long>, lens array<int>, places binary, parcels binary"
 WORDS = "block long, parcel int, words binary"
 
@@ -208,7 +213,7 @@ def encode(df: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", folde
     """
     path = vocabulary_path(vocabulary, folder)
     docs = df.select(F.col(doc_id).cast("long").alias("row_id"), F.col(text).alias("text"))
-    if any(x in docs._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Python", "Sample", "InMemory", "Coalesce")):
+    if MOVING.search(docs._jdf.queryExecution().executedPlan().toString()):
         docs = cut(docs, "bpe-input")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = docs.mapInArrow(lambda b: _blocks(b, PARCELS * n, False), BLOCKS)
