@@ -20,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import cut
+from foliograph.llm.common import cut, held, lean
 from foliograph.llm.vocab import piece_encoder, pieces, token_bytes, vocabulary_path
 
 #: A block is closed at this many pre-tokens (a longer document is a block of its own).
 BLOCK_TOKENS = 2_000_000
 
+#: Ids after which a batch of results ends.
+BATCH_IDS = 250_000
+
 #: A block's words travel in so many parcels for each shuffle partition; a word's parcel is decided by its hash.
 PARCELS = 2
 
@@ -69,26 +72,32 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_parcels: int, want_words: bool)
     """Blocks of the documents of one partition: their positions, or their words in parcels."""
     import numpy as np
 
+    held("bpe")
     seen: dict[str, int] = {}
     ids: list[int] = []
     lens: list[int] = []
-    places: list = []
+    places = bytearray()  # positions are not needed where words are wanted
     total = 0
 
     def block() -> pa.RecordBatch:
+        nonlocal seen
         mark = hashlib.blake2b(repr([i for i in ids if i is None]).encode() + np.array([i or 0 for i in ids], "<i8").tobytes() + np.array(lens, "<i8").tobytes(), digest_size=8)
-        raw = [w.encode() for w in seen]
-        mark.update(np.array([len(raw), zlib.crc32(b"\0".join(raw))], "<i8").tobytes())
+        check, n, parcel = 0, len(seen), np.empty(len(seen), "<u4")
+        dealt: dict[int, list[bytes]] = {}
+        for k, w in enumerate(seen):
+            raw = w.encode()
+            check = zlib.crc32(raw + b"\0", check)
+            parcel[k] = p = zlib.crc32(raw) % n_parcels
+            if want_words:
+                dealt.setdefault(p, []).append(raw)
+        seen = {}
+        mark.update(np.array([n, check], "<i8").tobytes())
         key = int.from_bytes(mark.digest(), "little", signed=True)
-        parcel = [zlib.crc32(w) % n_parcels for w in raw]
         if not want_words:
-            packed = _pack(_planes(np.concatenate(places)))
-            values = ([key], [ids], [lens], [packed], [_pack(_planes(np.array(parcel, "<u4")))])
+            packed = _pack(_planes(np.frombuffer(places, "<u4")))
+            values = ([key], [ids], [lens], [packed], [_pack(_planes(parcel))])
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds, strict=True)], ["block", "row_ids", "lens", "places", "parcels"])
-        dealt: dict[int, list[bytes]] = {}
-        for p, w in zip(parcel, raw, strict=True):
-            dealt.setdefault(p, []).append(w)
         values = ([key] * len(dealt), list(dealt), [_packed_strings(x) for x in dealt.values()])
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["block", "parcel", "words"])
 
@@ -98,11 +107,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_parcels: int, want_words: bool)
             found = pieces(text) if text else []
             if total and total + len(found) > BLOCK_TOKENS:
                 yield block()
-                seen, ids, lens, places, total = {}, [], [], [], 0
+                ids, lens, places, total = [], [], bytearray(), 0
             put = seen.setdefault
             ids.append(doc_id)
             lens.append(len(found))
-            places.append(np.fromiter((put(w, len(seen)) for w in found), "<u4", len(found)))
+            if want_words:
+                for w in found:
+                    put(w, 0)
+            else:
+                places += np.fromiter((put(w, len(seen)) for w in found), "<u4", len(found)).tobytes()
             total += len(found)
     if ids:
         yield block()
@@ -147,14 +160,13 @@ def _encoded(path: str):
     return encode
 
 
-def _ids(data: bytes) -> list[list[int]]:
+def _ids(data: bytes) -> tuple:
+    """Numbers of ids of a parcel's words, and their ids one after the other."""
     import numpy as np
 
     raw = _unpack(data)
     (n,) = np.frombuffer(raw, "<u4", 1).tolist()
-    ends = np.cumsum(_unplaned(raw[4 : 4 + 4 * n])).tolist()
-    flat = _unplaned(raw[4 + 4 * n :]).tolist()
-    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if n else []
+    return _unplaned(raw[4 : 4 + 4 * n]), _unplaned(raw[4 + 4 * n :])
 
 
 def _assembled(path: str, full: bool):
@@ -164,35 +176,66 @@ def _assembled(path: str, full: bool):
     def assemble(blocks: pa.Table, words: pa.Table) -> pa.Table:
         import numpy as np
 
-        out: list[list] = [[] for _ in names]
+        held("bpe")
         table = token_bytes(path)
         differ = ValueError("a block and its words differ: the input's rows changed between two reads")
         if not blocks.num_rows:
             raise differ
+        order = _unplaned(_unpack(blocks.column("parcels")[0].as_py()))
         parcels = {}
-        for parcel, packed in zip(words.column("parcel").to_pylist(), words.column("ids").to_pylist(), strict=True):
-            parcels.setdefault(parcel, packed)  # a block twice over (equal rows in two partitions) brings its words twice
-        listed = {p: iter(_ids(x)) for p, x in parcels.items()}
-        order = _unplaned(_unpack(blocks.column("parcels")[0].as_py())).tolist()
-        try:
-            ids = [next(listed[p]) for p in order]
-        except (KeyError, StopIteration):
-            raise differ from None
-        decimals = [",".join(map(str, x)) for x in ids]
-        raw = [b"".join([table[i] for i in x]) for x in ids]
-        counts = np.array([len(x) for x in ids], "i8")
-        for row_ids, lens, packed in zip(blocks.column("row_ids").to_pylist(), blocks.column("lens").to_pylist(), blocks.column("places").to_pylist(), strict=True):
-            places = _unplaned(_unpack(packed))
+        for parcel, packed in zip(words.column("parcel").to_pylist(), words.column("ids"), strict=True):
+            if parcel not in parcels:  # a block twice over (equal rows in two partitions) brings its words twice
+                parcels[parcel] = _ids(packed.as_py())
+        met, each = np.unique(order, return_counts=True)
+        if met.tolist() != sorted(parcels) or [len(parcels[p][0]) for p in sorted(parcels)] != each.tolist():
+            raise differ
+        # a parcel has its words in the block's order, so the words sorted by parcel are its parcels in a row
+        by = np.argsort(order, kind="stable")
+        counts, starts = np.zeros(len(order), "i8"), np.zeros(len(order), "i8")
+        none = np.zeros(0, "<u4")
+        listed = np.concatenate([none, *(parcels[p][0] for p in sorted(parcels))]).astype("i8")
+        flat = np.concatenate([none, *(parcels[p][1] for p in sorted(parcels))])
+        parcels.clear()
+        counts[by], starts[by] = listed, np.cumsum(listed) - listed
+        del by, listed, order
+        decimals, raw = [], []
+        for at, n in zip(starts.tolist(), counts.tolist(), strict=True):
+            ids = flat[at : at + n].tolist()
+            decimals.append(",".join(map(str, ids)))
+            raw.append(b"".join([table[i] for i in ids]))
+
+        rows: list[tuple] = []
+        own_ids: list = []
+        made: list[pa.RecordBatch] = []
+        held_ids = 0
+
+        def close() -> None:
+            nonlocal rows, own_ids, held_ids
+            columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=False)]
+            if full:
+                ends = np.cumsum([0, *map(len, own_ids)]).astype("i4")
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *own_ids]).astype("i4"))))
+            made.append(pa.RecordBatch.from_arrays(columns, names))
+            rows, own_ids, held_ids = [], [], 0
+
+        for row_ids, lens, packed in zip(blocks.column("row_ids").to_pylist(), blocks.column("lens").to_pylist(), blocks.column("places"), strict=True):
+            places = _unplaned(_unpack(packed.as_py()))
             at = 0
             for row_id, n in zip(row_ids, lens, strict=True):
                 own = places[at : at + n]
                 at += n
-                each = own.tolist()
+                each, sizes = own.tolist(), counts[own]
+                size = int(sizes.sum())
                 text = ",".join([decimals[k] for k in each])
-                row = (row_id, int(counts[own].sum()), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(b"".join([raw[k] for k in each])).hexdigest(), [i for k in each for i in ids[k]] if full else None)
-                for column, x in zip(out, row, strict=False):
-                    column.append(x)
-        return pa.table({n: pa.array(x, k) for n, x, k in zip(names, out, kinds, strict=False)})
+                rows.append((row_id, size, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(b"".join([raw[k] for k in each])).hexdigest()))
+                if full:
+                    own_ids.append(flat[np.repeat(starts[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(size)])
+                held_ids += size
+                if held_ids >= BATCH_IDS:
+                    close()
+        if rows or not made:
+            close()
+        return pa.Table.from_batches(made)
 
     return assemble
 
@@ -216,9 +259,9 @@ def encode(df: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", folde
     if MOVING.search(docs._jdf.queryExecution().executedPlan().toString()):
         docs = cut(docs, "bpe-input")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = docs.mapInArrow(lambda b: _blocks(b, PARCELS * n, False), BLOCKS)
-    words = docs.mapInArrow(lambda b: _blocks(b, PARCELS * n, True), WORDS)
-    encoded = words.repartition(n, "parcel").sortWithinPartitions("parcel").mapInArrow(_encoded(path), "block long, parcel int, ids binary")
+    whole = docs.mapInArrow(lean(lambda b: _blocks(b, PARCELS * n, False)), BLOCKS)
+    words = docs.mapInArrow(lean(lambda b: _blocks(b, PARCELS * n, True)), WORDS)
+    encoded = words.repartition(n, "parcel").sortWithinPartitions("parcel").mapInArrow(lean(_encoded(path)), "block long, parcel int, ids binary")
     schema = "row_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     back = whole.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assembled(path, with_ids), schema)
     return back.select(F.col("row_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -19,6 +22,40 @@ FILTER_BITS = 1 << 22
 BATCH_BYTES = "4m"
 
 
+_held: dict = {}
+
+
+def held(owner: str) -> dict:
+    """What a worker keeps from one task to the next, of one operator at a time: who comes next finds the others' gone."""
+    if owner not in _held:
+        _held.clear()
+    return _held.setdefault(owner, {})
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker waits for its next task beside the JVM, whatever runs there meanwhile."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """``run``, a function over the batches of a partition, gives its memory back when the partition is done."""
+
+    @functools.wraps(run)
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return own
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import bits_of, cut, join_counted, located, packed, sorted_out, without
+from foliograph.llm.common import bits_of, cut, held, join_counted, lean, located, packed, sorted_out, without
 from foliograph.llm.graph import components
 
 WORDS_PER_SHINGLE = 5
@@ -39,21 +39,21 @@ CHUNK = 1 << 20
 SLICE = 512
 
 _R = 0x9E3779B97F4A7C15
-_powers: dict[str, object] = {}
 
 
 def _tables(n: int):
     """Powers of an odd base and of its inverse, modulo 2^64."""
     import numpy as np
 
-    if "n" not in _powers or _powers["n"] < n:
+    powers = held("near-copies")
+    if "n" not in powers or powers["n"] < n:
         n = max(n, CHUNK)
         base = np.full(n + 1, _R, "u8")
         base[0] = 1
         inverse = np.full(n + 1, pow(_R, -1, 1 << 64), "u8")
         inverse[0] = 1
-        _powers.update(n=n, up=np.cumprod(base, dtype="u8"), down=np.cumprod(inverse, dtype="u8"))
-    return _powers["up"], _powers["down"]
+        powers.update(n=n, up=np.cumprod(base, dtype="u8"), down=np.cumprod(inverse, dtype="u8"))
+    return powers["up"], powers["down"]
 
 
 def normal(text: str | None) -> str:
@@ -338,7 +338,7 @@ def verdicts(located_rows: DataFrame, threshold: float = THRESHOLD, target_recal
     the recall estimated.
     """
     docs = located_rows.select(F.col("_id").alias("row_id"), F.col("_text").alias("text"), F.col("_place").alias("place"))
-    signed = cut(docs.mapInArrow(_signed(bits), SIGNED), "near-signatures")
+    signed = cut(docs.mapInArrow(lean(_signed(bits)), SIGNED), "near-signatures")
     rows = signed.count()
     # texts are told apart by both halves of their digest; where the first halves clash, both make new keys
     first, seed = F.min(F.struct(F.col("row_id").isNull().alias("nil"), "row_id", "place")), 0
@@ -394,7 +394,7 @@ def _linked(docs: DataFrame, classes: DataFrame, rows: int, threshold: float, de
     met = met.select("node", "pair.i", "pair.j", "copy", "paths").repartition(tasks, "node", "i", "j").sortWithinPartitions("node", "i", "j", "copy")
     levels = trees * DEPTH
     least = int(levels * threshold - MARGIN * (levels * threshold * (1 - threshold)) ** 0.5)
-    members = components(met.mapInArrow(_alike(least), "a long, b long"), "near-candidates", 2 * rows)
+    members = components(met.mapInArrow(lean(_alike(least)), "a long, b long"), "near-candidates", 2 * rows)
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = join_counted(members, sizes, ["component"], "size", rows).join(classes.select(F.col("copy").alias("v"), "n", "place"), "v")
     members = _in_blocks(members.withColumnRenamed("v", "copy").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
@@ -404,7 +404,7 @@ def _linked(docs: DataFrame, classes: DataFrame, rows: int, threshold: float, de
     texts = sorted_out(docs.select("place", "text"), bits_of(members, "place"), "place").where("_maybe").select("place", "text")
     dealt = members.join(texts, "place").select("component", "pair.i", "pair.j", "copy", F.col("block").alias("side"), "n", "text")
     dealt = dealt.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j", "copy")
-    found = cut(dealt.mapInArrow(_compared(threshold, depth, trees), "copy long, other long, links long, found double, counted double"), "near-links")
+    found = cut(dealt.mapInArrow(lean(_compared(threshold, depth, trees)), "copy long, other long, links long, found double, counted double"), "near-links")
     total, counted = found.agg(F.sum("found"), F.sum("counted")).first()
     # no link says nothing: what the depth promises at the threshold counts
     recall = total / counted if counted else expected_recall(threshold, depth, trees)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import cut
+from foliograph.llm.common import cut, held, lean
 
 #: Bound of the sample that the classifier is fitted on; what it learns is bounded by it alone.
 MAX_ROWS = 20_000
@@ -377,16 +377,13 @@ def _reported(before: str) -> bool:
     return bool(last) and not any(c in QUOTES or c in ".!?\n" for c in before[last[-1] :])
 
 
-_scorers: dict = {}
-
-
 def scorer_of(terms: dict[str, float], proper: frozenset[str] = frozenset()) -> Scorer:
     """The scorer of a lexicon; it outlives a task in its worker, and with it the states of its automaton."""
-    key = hash(frozenset(terms.items()))
-    if key not in _scorers:
-        _scorers.clear()  # one lexicon at a time
-        _scorers[key] = Scorer(terms)
-    found = _scorers[key]
+    key, scorers = hash(frozenset(terms.items())), held("toxicity")
+    if key not in scorers:
+        scorers.clear()  # one lexicon at a time
+        scorers[key] = Scorer(terms)
+    found = scorers[key]
     found.proper = proper
     return found
 
@@ -456,7 +453,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     n_yes, n_no = totals.get(True, 0), totals.get(False, 0)
     if not n_yes or not n_no:
         return Model({}, [0.0] * len(FEATURES), -30.0 if not n_yes else 30.0, float(bool(n_yes)))
-    per = rows.mapInArrow(counts, "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    per = rows.mapInArrow(lean(counts), "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     # how much likelier the term's counts are with a toxic rate of its own than with the common rate
     base = n_yes / (n_yes + n_no)
     both = F.col("yes") + F.col("no")
@@ -471,7 +468,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "terms": [[sorted(x) for w in sorted(_words_of(t or "")) if (x := held.value & _terms(w))] for t in b["text"]]})
 
-    holds = [r["terms"] for r in rows.where("toxic > 0").mapInPandas(holding, "doc_id long, terms array<array<string>>").orderBy("doc_id").select("terms").collect()]
+    holds = [r["terms"] for r in rows.where("toxic > 0").mapInPandas(lean(holding), "doc_id long, terms array<array<string>>").orderBy("doc_id").select("terms").collect()]
     terms = choose(holds, found, n_yes, n_no)
 
     # words near a term that clean documents of the sample use too much for a term
@@ -482,7 +479,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
             near = [[w for w, k in scorer.hits(t).items() if k[0] == "near"] for t in low]
             yield pd.DataFrame({"toxic": b["toxic"], "word": near}).explode("word").dropna().astype({"toxic": "int32", "word": "str"})
 
-    seen = rows.mapInPandas(nearby, "toxic int, word string").groupBy("word").agg(F.sum((F.col("toxic") > 0).cast("long")).alias("yes"), F.sum((F.col("toxic") <= 0).cast("long")).alias("no"))
+    seen = rows.mapInPandas(lean(nearby), "toxic int, word string").groupBy("word").agg(F.sum((F.col("toxic") > 0).cast("long")).alias("yes"), F.sum((F.col("toxic") <= 0).cast("long")).alias("no"))
     proper = frozenset(r["word"] for r in seen.where((F.col("no") > 0) & (F.col("yes") / n_yes <= 8 * F.col("no") / n_no)).collect())
 
     # weights, on the counts that the scorer itself makes
@@ -492,7 +489,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "x": [scorer.features(t) for t in b["text"]]})
 
-    measured_rows = rows.mapInPandas(measured, "doc_id long, toxic int, x array<double>").orderBy("doc_id").collect()
+    measured_rows = rows.mapInPandas(lean(measured), "doc_id long, toxic int, x array<double>").orderBy("doc_id").collect()
     return fit(terms, proper, [list(r["x"]) for r in measured_rows], [int(r["toxic"] > 0) for r in measured_rows])
 
 
@@ -583,7 +580,7 @@ def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": s})
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scored = rows.mapInPandas(run, "doc_id long, score double")
+    scored = rows.mapInPandas(lean(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -602,4 +599,4 @@ def keep_clean(df: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
             keep = [model.score(scorer.features(t)) < threshold for t in b.column(columns.index("text")).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(arrow, df.schema)
+    return df.mapInArrow(lean(arrow), df.schema)
