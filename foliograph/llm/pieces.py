@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ from foliograph.llm.vocab import vocabulary_path
 SPACE = "▁"
 #: Parts longer than this are not remembered, and a worker remembers twice so many at most.
 LONGEST_KEPT, MOST_KEPT = 64, 300_000
+#: Parts of up to so many characters have their agenda in a list.
+SHORT = 32
 #: Characters of texts that are held as ids at a time; a longer text is held alone.
 SLICE_CHARS = 1_000_000
 
@@ -69,6 +72,8 @@ class Merger:
         """The symbols that are left of ``part``, merged in the order of their pairs' scores."""
         symbols: list = list(part)
         n = len(symbols)
+        if n <= SHORT:
+            return self._short(part, symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         costs, push, pop = self.costs, heapq.heappush, heapq.heappop
         agenda = [(costs[x], k, k + 1, x) for k, x in enumerate(map("".join, zip(symbols, symbols[1:]))) if x in costs]
@@ -92,9 +97,30 @@ class Merger:
                     push(agenda, (costs[made], behind, left, made))
         return [s for s in symbols if s]
 
+    def _short(self, part: str, symbols: list[str]) -> list[str]:
+        """The same for a part of few symbols: its agenda lies in the order of places, the best score is looked for."""
+        get, never = self.costs.get, float("inf")
+        agenda = [get(part[k : k + 2], never) for k in range(len(symbols) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            k = agenda.index(best)  # leftmost among equals
+            del agenda[k]
+            made = symbols[k] = symbols[k] + symbols.pop(k + 1)
+            if k:
+                agenda[k - 1] = get(symbols[k - 1] + made, never)
+            if k < len(agenda):
+                agenda[k] = get(made + symbols[k + 1], never)
+        return symbols
+
     def ids(self, part: str) -> list[int]:
-        out: list[int] = []
-        for symbol in self.merged(part):
+        symbols = self.merged(part)
+        out = list(map(self.pieces.get, symbols))
+        if None not in out:
+            return out
+        out = []
+        for symbol in symbols:
             own = self.pieces.get(symbol)
             if own is not None:
                 out.append(own)
@@ -107,21 +133,24 @@ class Merger:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        out: list[int] = []
-        known = self.known
-        for part in self.part.findall(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(part)
+        parts = self.part.findall(SPACE + text.replace(" ", SPACE))
+        found = list(map(self.known.get, parts))
+        if None in found:
+            found = [self._met(part) if ids is None else ids for part, ids in zip(parts, found, strict=True)]
+        return list(itertools.chain.from_iterable(found))
+
+    def _met(self, part: str) -> tuple:
+        """Ids of a part that the text before did not leave in the younger generation."""
+        ids = self.known.get(part)
+        if ids is None:
+            ids = self.older.get(part)
             if ids is None:
-                ids = self.older.get(part)
-                if ids is None:
-                    ids = tuple(self.ids(part))
-                if len(part) <= LONGEST_KEPT:
-                    if len(known) >= MOST_KEPT:
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[part] = ids
-            out += ids
-        return out
+                ids = tuple(self.ids(part))
+            if len(part) <= LONGEST_KEPT:
+                if len(self.known) >= MOST_KEPT:
+                    self.older, self.known = self.known, {}
+                self.known[part] = ids
+        return ids
 
 
 @functools.cache
