@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import new_path
-from foliograph.llm.vocab import added_tokens, pieces, tokenizer, vocabulary_path
+from foliograph.llm.vocab import added_tokens, pieces, tokenizer, vocabulary_path, word_encoder
 
 #: Fixed values of the zstandard formats.
 SKIP_INDEX, SKIP_SEEK, SEEK_FOOT = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -169,7 +169,7 @@ class Words:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.added, self.young, self.old = tokenizer(path), added_tokens(path), {}, {}
+        self.tokenizer, self.added, self.one, self.young, self.old = tokenizer(path), added_tokens(path), word_encoder(path), {}, {}
 
     def encode(self, text: str) -> bytes:
         if self.added is not None and self.added.search(text):
@@ -179,7 +179,10 @@ class Words:
         parts = list(map(self.young.get, words))
         if None in parts:
             new = [w for w in dict.fromkeys(w for w, x in zip(words, parts, strict=True) if x is None) if not self._back(w)]
-            for k in range(0, len(new), 10_000):
+            for w in new if self.one else []:
+                ids = self.one(w)
+                self.young[w] = struct.pack(f"<{len(ids)}I", *ids)
+            for k in range(0, 0 if self.one else len(new), 10_000):
                 some = new[k : k + 10_000]
                 for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                     self.young[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)

@@ -68,6 +68,23 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.cache
+def word_encoder(path: str):
+    """Encodes one pre-token by the library's merges alone; None if the vocabulary does more to a word than write its bytes as letters."""
+    import json
+
+    library = tokenizer(path)
+    own = json.loads(library.to_str())
+    before = own["pre_tokenizer"] or {}
+    if own["normalizer"] or own["post_processor"] or own["model"]["type"] != "BPE" or own["model"].get("dropout") or before.get("type") != "ByteLevel" or before.get("add_prefix_space"):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: bytes that stand for themselves; the others follow from 256
+    letters = dict.fromkeys(plain) | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    letters = {b: b if to is None else to for b, to in letters.items()}
+    merges = library.model
+    return lambda word: [t.id for t in merges.tokenize(word.encode().decode("latin-1").translate(letters))]
+
+
 @functools.cache
 def added_tokens(path: str):
     """A pattern for the tokens that the library cuts out of a text before anything else; None if there are none."""
